@@ -34,7 +34,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn_dictionaries(labelled: DataFrame, sample_docs: int = 64, sample_chars: int = 20_000, dict_bytes: int = 48_000, max_languages: int = 500) -> dict[str, bytes]:
+def learn_dictionaries(labelled: DataFrame, sample_docs: int = 64, sample_chars: int = 20_000, dict_bytes: int = 110_000, max_languages: int = 500) -> dict[str, bytes]:
     """Per language the lower-cased sample texts, cut to ``dict_bytes``; from (doc_id, text, lang)."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     usable = rows.where(f"length(text) between 1 and {int(sample_chars)}")
@@ -56,27 +56,35 @@ def learn_dictionaries(labelled: DataFrame, sample_docs: int = 64, sample_chars:
     return out
 
 
-def sizes(texts: list[bytes], dictionaries: list[bytes], level: int, block: int):
-    """A row per text and a column per dictionary: compressed bytes, summed over blocks."""
-    import numpy as np
+def coders(dictionaries: list[bytes], level: int) -> list:
+    """One compressor per dictionary; each indexes its dictionary once."""
     import zstandard as zstd
 
+    out = []
+    for content in dictionaries:
+        known = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=level)
+        out.append(zstd.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_dict_id=False))
+    return out
+
+
+def sizes(texts: list[bytes], compressors: list, block: int):
+    """A row per text and a column per compressor: compressed bytes, summed over blocks."""
+    import numpy as np
+
     blocks, starts = [], []
     for t in texts:
         starts.append(len(blocks))
         blocks += [t[i : i + block] for i in range(0, len(t), block)]
-    out = np.zeros((len(texts), len(dictionaries)), dtype=np.int64)
-    for k, content in enumerate(dictionaries):
-        use = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        use.precompute_compress(level=level)
-        c = zstd.ZstdCompressor(level=level, dict_data=use, write_content_size=False, write_dict_id=False)
+    out = np.zeros((len(texts), len(compressors)), dtype=np.int64)
+    for k, c in enumerate(compressors):
         got = np.fromiter((len(c.compress(b)) for b in blocks), dtype=np.int64, count=len(blocks))
         if len(texts):
             out[:, k] = np.add.reduceat(got, starts)
     return out
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.01, level: int = 3, block: int = 4096) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.005, level: int = 6, block: int = 1024) -> DataFrame:
     """``docs`` with lang_pred, score (the runner-up's excess, 0 to 1) and rejected.
 
     One pass over the rows without a shuffle; the dictionaries, of bounded size, travel with the tasks.
@@ -88,6 +96,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        compressors = coders(contents, level)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -95,7 +104,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                 good = [i for i, t in enumerate(texts) if langs and t is not None and LETTER.search(t)]
                 pred, score = ["und"] * len(texts), [0.0] * len(texts)
                 if good:
-                    table = sizes([texts[i].lower().encode("utf-8", "replace") for i in good], contents, level, block)
+                    table = sizes([texts[i].lower().encode("utf-8", "replace") for i in good], compressors, block)
                     best = table.argmin(axis=1)
                     low = table.min(axis=1)
                     rest = np.partition(table, 1, axis=1)[:, 1] if len(langs) > 1 else low * 2
