@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, neardup, sharding, telephony, vectors, warc
+from . import language, mixing, neardup, secrets, sharding, telephony, vectors, warc
 from .common import stash, work_dir
 
 
@@ -46,6 +46,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(sharding.keyed_sizes(docs), shards=8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op7_vectors, op9_sharding)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn_formats(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op7_vectors, op9_sharding, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
