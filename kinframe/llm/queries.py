@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, neardup, secrets, sharding, telephony, vectors, warc
+from . import language, mixing, neardup, repeats, secrets, sharding, telephony, vectors, warc
 from .common import stash, work_dir
 
 
@@ -41,6 +41,10 @@ def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(sharding.keyed_sizes(docs), shards=8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -51,6 +55,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.learn_formats(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op7_vectors, op9_sharding, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op7_vectors, op8_repeats, op9_sharding, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
