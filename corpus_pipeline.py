@@ -1,32 +1,70 @@
-"""The training-data pipeline: STAGES, run() and ORACLE_SQL."""
+"""The training-data pipeline: STAGES, run() and ORACLE_SQL.
+
+language   texts that no language's dictionary explains well go
+near_dups  one document of each group of near-duplicates stays
+secrets    credentials are masked in the texts; every document stays
+mixing     documents are emitted as often as their source's target asks
+pieces     texts are encoded to pieces and decoded again; the last stage
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinframe.llm import language, mixing
-from kinframe.llm.common import stash, work_dir
+from kinframe.llm import language, mixing, neardup, pieces, secrets
+from kinframe.llm.common import columns_or_null, stash, work_dir
 
-DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+DOCUMENTS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is clear."""
+    docs = columns_or_null(docs, DOCUMENTS)
     known = language.learn_dictionaries(docs.where(~language.held_out()))
     return language.identify(docs, known).where("not rejected").select(*DOCUMENTS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of each group, one row of it; rows without an id all stay."""
+    docs = columns_or_null(docs, DOCUMENTS)
+    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    left = docs.join(dropped, "doc_id", "left_anti")
+    # rows of one id: exchanged with the text only here, where the join has dealt them by id already
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*DOCUMENTS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask credentials; no document is dropped."""
+    docs = columns_or_null(docs, DOCUMENTS)
+    return secrets.redact(docs, secrets.learn_formats(docs))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs.select(*DOCUMENTS))
+    """Emit each document as often as the mixture asks."""
+    return mixing.mix(columns_or_null(docs, DOCUMENTS))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece counts, a digest of the ids and the round trip of every row."""
+    docs = columns_or_null(docs, DOCUMENTS)
+    return pieces.encoded_summary(docs).withColumn("n_units", F.col("n_units").cast("long"))
 
 
-STAGES = [("language", identify_language), ("mixing", mix_sources)]
+STAGES = [
+    ("language", identify_language),
+    ("near_dups", drop_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
 
-#: No stage before the mixing can be said in SQL, so the whole cannot.
+#: Compression, hashing and the lattice cannot be said in SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``; each but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = work_dir(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):

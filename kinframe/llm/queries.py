@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, neardup, repeats, secrets, sharding, telephony, vectors, warc
+from . import language, mixing, neardup, pieces, repeats, secrets, sharding, telephony, vectors, warc
 from .common import stash, work_dir
 
 
@@ -37,6 +37,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_summary(table(spark, sf_dir, "documents"))
+
+
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +59,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.learn_formats(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op7_vectors, op8_repeats, op9_sharding, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op6_pieces, op7_vectors, op8_repeats, op9_sharding, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
