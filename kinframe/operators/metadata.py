@@ -43,7 +43,7 @@ def profile(df: DataFrame, table: str = "", exact: bool = False) -> DataFrame:
             F.count(c).alias(f"v{i}"),
             distinct.cast("long").alias(f"d{i}"),
             (F.max(F.length(c)) if isinstance(f.dataType, T.StringType) else F.lit(None)).cast("int").alias(f"l{i}"),
-            (F.max(F.length(F.ltrim(F.lit("0"), F.regexp_replace(digits, r"\.", "")))) if digits is not None else F.lit(None)).cast("int").alias(f"p{i}"),
+            (F.max(F.length(F.ltrim(F.regexp_replace(digits, r"\.", ""), F.lit("0")))) if digits is not None else F.lit(None)).cast("int").alias(f"p{i}"),
             (F.max(F.length(F.regexp_extract(digits, r"\.(\d*?)0*$", 1))) if digits is not None else F.lit(None)).cast("int").alias(f"s{i}"),
         ]
     wide = df.agg(F.count(F.lit(1)).alias("n"), *per)
