@@ -26,14 +26,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_dir
+from .common import stash, work_dir
 from .neardup import mix64
 
 LEAST, GRAM = 50, 16
@@ -90,7 +90,7 @@ def runs_of(data: np.ndarray, lengths: np.ndarray, least: int = LEAST, gram: int
     return owner[at], at - (ends - lengths)[owner[at]], count, hashes[anchor[at]]
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], bytes, np.ndarray]]:
+def pieces(texts: Iterable[bytes]) -> Iterator[tuple[list[int], list[int], bytes, np.ndarray]]:
     """Texts in groups below the piece size: (numbers, offsets, joined bytes, lengths); long ones in overlapping parts."""
     numbers, offsets, parts, size = [], [], [], 0
     for k, t in enumerate(texts):
@@ -111,47 +111,47 @@ def packed(array: np.ndarray, kind: str) -> bytes:
     return array.astype(kind).tobytes()
 
 
-HASH_ROWS = "place int, ids binary, marks binary, owner binary, hash binary, start binary, count binary"
+HASH_ROWS = "place int, marks binary, runs binary, hash binary, start binary, count binary"
 POSITION_ROWS = "home int, place int, marks binary, start binary, count binary"
 SNIPPET_ROWS = "place int, ids binary, marks binary, start binary, count binary, bytes binary"
 CUT_ROWS = "home int, marks binary, start binary, stop binary"
 
 
-def hash_runs(texts: DataFrame, places: int) -> DataFrame:
-    """Rows of HASH_ROWS: the runs of some texts that go to one place, hashes cut to 32 further bits."""
+def hash_runs(texts: DataFrame, copies: DataFrame, places: int) -> DataFrame:
+    """HASH_ROWS of a home: the runs that go to one place, by text, hashes cut to 32 further bits; copies have none."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        waiting = 0
-
-        def flush() -> pa.RecordBatch:
-            ids, marks, start, count, value = (np.concatenate(x) for x in zip(*held, strict=True))
-            place = (value % np.uint64(places)).astype(np.int64)
-            order = np.argsort(place, kind="stable")
-            cuts = np.flatnonzero(np.diff(place[order])) + 1
-            rows = []
-            for part in np.split(order, cuts) if len(order) else []:
-                doc, owner = np.unique(np.stack([ids[part], marks[part]], axis=1), axis=0, return_inverse=True)
-                rows.append((int(place[part[0]]), packed(doc[:, 0], "<i8"), packed(doc[:, 1], "<i8"), packed(owner.ravel(), "<i4"), packed(value[part] >> np.uint64(32), "<u4"), packed(start[part], "<i4"), packed(count[part], "u1")))
-            c = list(zip(*rows, strict=True)) if rows else [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["place", "ids", "marks", "owner", "hash", "start", "count"])
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for numbers, offsets, joined, lengths in pieces([t.as_buffer().to_pybytes() for t in batch.column(2)]):
-                    owner, start, count, value = runs_of(np.frombuffer(joined, np.uint8), lengths)
-                    which = np.array(numbers)[owner]
-                    held.append((ids[which], marks[which], start + np.array(offsets)[owner], count, value))
-                    waiting += len(owner)
-                    if waiting > 1_500_000:
-                        yield flush()
-                        held, waiting = [], 0
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = []
+        copied = set(right.column("mark").to_pylist())
+        marks = left.column("mark").to_numpy() if left.num_rows else np.zeros(0, np.int64)
+        known = left.column("doc_id").is_valid().to_pylist() if left.num_rows else []
+        texts = left.column("text").combine_chunks() if left.num_rows else []
+        own = [i for i, m in enumerate(marks.tolist()) if m not in copied and known[i]]
+        for numbers, offsets, joined, lengths in pieces(texts[i].as_buffer().to_pybytes() for i in own):
+            owner, start, count, value = runs_of(np.frombuffer(joined, np.uint8), lengths)
+            held.append((marks[np.array(own)[np.array(numbers)[owner]]], start + np.array(offsets)[owner], count, value))
+        rows = []
         if held:
-            yield flush()
+            mark, start, count, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            place = (value % np.uint64(places)).astype(np.int64)
+            order = np.lexsort((mark, place))
+            for part in split_by(place, order):
+                text, runs = np.unique(mark[part], return_counts=True)
+                rows.append((int(place[part[0]]), packed(text, "<i8"), packed(runs, "<i4"), packed(value[part] >> np.uint64(32), "<u4"), packed(start[part], "<i4"), packed(count[part], "u1")))
+        return binary_rows(rows, ("place",), ("marks", "runs", "hash", "start", "count"))
+
+    return texts.groupBy("home").cogroup(copies.groupBy("home")).applyInArrow(together, HASH_ROWS)
 
-    return texts.mapInArrow(run, HASH_ROWS)
+
+def split_by(key: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+    """``order``, which sorts by ``key``, cut where the key changes."""
+    return np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []
+
+
+def binary_rows(rows: list[tuple], numbers: tuple[str, ...], blobs: tuple[str, ...]) -> pa.Table:
+    """An Arrow table of int columns followed by binary ones."""
+    c = list(zip(*rows, strict=True)) if rows else [()] * (len(numbers) + len(blobs))
+    return pa.table({n: pa.array(x, pa.int32() if k < len(numbers) else pa.binary()) for k, (n, x) in enumerate(zip((*numbers, *blobs), c, strict=True))})
 
 
 def joined_columns(table: pa.Table, kinds: dict[str, str]) -> dict[str, np.ndarray]:
@@ -164,25 +164,16 @@ def shared_runs(rows: DataFrame, homes: int) -> DataFrame:
     def reduce(table: pa.Table) -> pa.Table:
         place = table.column("place")[0].as_py()
         got = joined_columns(table, {"hash": "<u4", "start": "<i4", "count": "u1"})
-        ids, marks = [], []
-        for i, m, o in zip(table.column("ids").to_pylist(), table.column("marks").to_pylist(), table.column("owner").to_pylist(), strict=True):
-            owner = np.frombuffer(o, "<i4")
-            ids.append(np.frombuffer(i, "<i8")[owner])
-            marks.append(np.frombuffer(m, "<i8")[owner])
-        ids, marks = np.concatenate(ids), np.concatenate(marks)
+        marks = np.concatenate([np.repeat(np.frombuffer(m, "<i8"), np.frombuffer(r, "<i4")) for m, r in zip(table.column("marks").to_pylist(), table.column("runs").to_pylist(), strict=True)])
         order = np.argsort(got["hash"], kind="stable")
-        value, by = got["hash"][order], ids[order]
+        value, by = got["hash"][order], marks[order]
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
         shared = np.minimum.reduceat(by, first) < np.maximum.reduceat(by, first)
         keep = np.sort(order[np.repeat(shared, np.diff(np.append(first, len(value))))])
         marks, start, count = marks[keep], got["start"][keep], got["count"][keep]
         home = marks % homes
-        order = np.argsort(home, kind="stable")
-        out = []
-        for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
-            out.append((int(home[part[0]]), place, packed(marks[part], "<i8"), packed(start[part], "<i4"), packed(count[part], "u1")))
-        c = list(zip(*out, strict=True)) if out else [()] * 5
-        return pa.table({"home": pa.array(c[0], pa.int32()), "place": pa.array(c[1], pa.int32()), **{n: pa.array(x, pa.binary()) for n, x in zip(("marks", "start", "count"), c[2:], strict=True)}})
+        out = [(int(home[part[0]]), place, packed(marks[part], "<i8"), packed(start[part], "<i4"), packed(count[part], "u1")) for part in split_by(home, np.argsort(home, kind="stable"))]
+        return binary_rows(out, ("home", "place"), ("marks", "start", "count"))
 
     return rows.groupBy("place").applyInArrow(reduce, POSITION_ROWS)
 
@@ -210,8 +201,7 @@ def fetch(texts: DataFrame, positions: DataFrame) -> DataFrame:
                 size = count + LEAST - 1
                 source = np.repeat(begin[at] + start - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 out.append((place, packed(ids[at], "<i8"), m, s, c, joined[source].tobytes()))
-        c = list(zip(*out, strict=True)) if out else [()] * 6
-        return pa.table({"place": pa.array(c[0], pa.int32()), **{n: pa.array(x, pa.binary()) for n, x in zip(("ids", "marks", "start", "count", "bytes"), c[1:], strict=True)}})
+        return binary_rows(out, ("place",), ("ids", "marks", "start", "count", "bytes"))
 
     return texts.groupBy("home").cogroup(positions.groupBy("home")).applyInArrow(together, SNIPPET_ROWS)
 
@@ -314,36 +304,45 @@ def removable(snippets: DataFrame, homes: int) -> DataFrame:
         hit = np.flatnonzero(longest)
         marks, low = marks[run[hit]], (start[run] + offset)[hit]
         home = marks % homes
-        order = np.lexsort((low, marks, home))
-        out = []
-        for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
-            out.append((int(home[part[0]]), packed(marks[part], "<i8"), packed(low[part], "<i4"), packed((low + longest[hit])[part], "<i4")))
-        c = list(zip(*out, strict=True)) if out else [()] * 4
-        return pa.table({"home": pa.array(c[0], pa.int32()), **{n: pa.array(x, pa.binary()) for n, x in zip(("marks", "start", "stop"), c[1:], strict=True)}})
+        stop = low + longest[hit]
+        out = [(int(home[part[0]]), packed(marks[part], "<i8"), packed(low[part], "<i4"), packed(stop[part], "<i4")) for part in split_by(home, np.lexsort((low, marks, home)))]
+        return binary_rows(out, ("home",), ("marks", "start", "stop"))
 
     return snippets.groupBy("place").applyInArrow(reduce, CUT_ROWS)
 
 
-def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
-    """The bucketed table of texts, the snippets of all shared runs, and the numbers of homes and places."""
+def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The bucketed table of texts, the copies among them, the snippets of all shared runs, and the number of homes.
+
+    Texts are exchanged once, for the table; rows of packed arrays number homes times places.
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    homes, places = 8 * n, 4 * n
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    homes, places = n, 2 * n
     same = F.md5("text")
+    mark = F.xxhash64("doc_id", same).bitwiseAND((1 << 62) - 1)
+    home = (F.col("mark") % homes).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     # a copy: a text whose digest some smaller id has; only digests and ids are exchanged for this
-    digests = rows.select("doc_id", same.alias("same")).where("doc_id is not null")
+    digests = rows.where("doc_id is not null").select("doc_id", same.alias("same"), mark.alias("mark"))
     firsts = digests.groupBy("same").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")).where("least_id < most_id")
-    copies = digests.join(firsts, "same").where("doc_id > least_id").select(F.xxhash64("doc_id", "same").bitwiseAND((1 << 62) - 1).alias("mark")).distinct().withColumn("copy", F.lit(True))
-    marked = rows.withColumn("mark", F.xxhash64("doc_id", same).bitwiseAND((1 << 62) - 1)).join(copies, "mark", "left")
+    copies = stash(digests.join(firsts, "same").where("doc_id > least_id").select("mark").distinct().select(home.alias("home"), "mark"), work_dir(spark, "copies"))
     name = f"texts_{uuid.uuid4().hex}"
-    table = marked.select((F.col("mark") % homes).cast("int").alias("home"), "mark", "doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), "text")
+    table = rows.withColumn("mark", mark).select(home.alias("home"), "mark", "doc_id", "text")
     table.repartition(n, "home").write.option("compression", "zstd").option("path", work_dir(spark, "texts")).bucketBy(n, "home").saveAsTable(name)
     stored = spark.table(name)
-    own = stored.where("not copy and doc_id is not null")
-    positions = shared_runs(hash_runs(own.select("doc_id", "mark", "text"), places), homes)
-    snippets = fetch(own.select("home", "mark", "doc_id", "text"), positions)
-    return stored, snippets, homes, places
+    positions = shared_runs(hash_runs(stored, copies, places), homes)
+    return stored, copies, fetch(stored, positions), homes
+
+
+def copy_cuts(copies: DataFrame) -> DataFrame:
+    """CUT_ROWS that cover copies from end to end."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        marks = np.sort(table.column("mark").to_numpy())
+        return binary_rows([(table.column("home")[0].as_py(), packed(marks, "<i8"), packed(np.zeros(len(marks)), "<i4"), packed(np.full(len(marks), (1 << 31) - 1), "<i4"))], ("home",), ("marks", "start", "stop"))
+
+    return copies.groupBy("home").applyInArrow(pack, CUT_ROWS)
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
@@ -358,30 +357,26 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
         c = list(zip(*rows, strict=True)) if rows else [()] * 5
         return pa.table([pa.array(x, pa.int64()) for x in c], names=["repeat_id", "n_occurrences", "n_bytes", "doc_id", "start"])
 
-    return prepared(docs)[1].groupBy("place").applyInArrow(reduce, "repeat_id long, n_occurrences long, n_bytes long, doc_id long, start long")
+    return prepared(docs)[2].groupBy("place").applyInArrow(reduce, "repeat_id long, n_occurrences long, n_bytes long, doc_id long, start long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept: the remaining bytes."""
-    stored, snippets, homes, _ = prepared(docs)
-    cuts = removable(snippets, homes)
+    stored, copies, snippets, homes = prepared(docs)
+    cuts = removable(snippets, homes).union(copy_cuts(copies))
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         got = joined_columns(right, {"marks": "<i8", "start": "<i4", "stop": "<i4"})
         order = np.lexsort((got["start"], got["marks"]))
         marks, low, high = (got[x][order] for x in ("marks", "start", "stop"))
         out = []
-        for doc, mark, copy, text in zip(left.column("doc_id").to_pylist(), left.column("mark").to_pylist(), left.column("copy").to_pylist(), left.column("text").to_pylist(), strict=True):
-            if copy:
-                spans = [(0, len(text))] if len(text) >= LEAST else []
-            else:
-                a, b = np.searchsorted(marks, mark), np.searchsorted(marks, mark, side="right")
-                spans = []
-                if b > a:
-                    s, e = low[a:b], np.maximum.accumulate(high[a:b])
-                    new = np.append(True, s[1:] > e[:-1])
-                    first = np.flatnonzero(new)
-                    spans = list(zip(s[first].tolist(), e[np.append(first[1:], len(s)) - 1].tolist(), strict=True))
+        for doc, mark, text in zip(left.column("doc_id").to_pylist(), left.column("mark").to_pylist(), left.column("text").to_pylist(), strict=True):
+            a, b = np.searchsorted(marks, mark), np.searchsorted(marks, mark, side="right")
+            spans = []
+            if b > a and len(text) >= LEAST:
+                s, e = low[a:b], np.minimum(np.maximum.accumulate(high[a:b]), len(text))
+                first = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
+                spans = list(zip(s[first].tolist(), e[np.append(first[1:], len(s)) - 1].tolist(), strict=True))
             kept, at = [], 0
             for s, e in spans:
                 kept.append(text[at:s])
