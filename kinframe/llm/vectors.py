@@ -100,7 +100,7 @@ def coded(firsts: DataFrame, passes: int, seed: int) -> DataFrame:
 def window_pairs(blocks: DataFrame, window: int, threshold: float, kind: str) -> DataFrame:
     """(a, b) with a < b and cosine >= threshold within a window of a partition's order.
 
-    ``blocks`` must be sorted in its partitions by (pass, width, code, id); the ``fresh``
+    ``blocks`` must be sorted in its partitions by (part, pass, width, code, id); the ``fresh``
     column is false for carried rows, which are not compared among themselves.
     """
 
@@ -113,13 +113,13 @@ def window_pairs(blocks: DataFrame, window: int, threshold: float, kind: str) ->
             i, j = np.nonzero(sims >= threshold)
             ok = (j > i) & (j - i <= window)
             i, j = i[ok] + s, j[ok] + s
-            ok = own[i] | own[j]
+            ok = (own[i] | own[j]) & (ids[i] != ids[j])
             left.append(ids[i[ok]])
             right.append(ids[j[ok]])
         return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []  # rows of one (pass, width) that are still to be compared
+        held_key, held = None, []  # rows of one (part, pass, width) that are still to be compared
 
         def flush(keep: bool):
             ids = np.concatenate([h[0] for h in held])
@@ -132,20 +132,20 @@ def window_pairs(blocks: DataFrame, window: int, threshold: float, kind: str) ->
             return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"]), rest
 
         for whole in batches:
-            keys = np.stack([whole.column(0).to_numpy(), whole.column(1).to_numpy()], axis=1)
+            keys = np.stack([whole.column(k).to_numpy() for k in range(3)], axis=1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for s, e in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 if e <= s:
                     continue
-                key = (int(keys[s, 0]), int(keys[s, 1]))
+                key = tuple(keys[s].tolist())
                 if held_key is not None and key != held_key:
                     out, _ = flush(False)
                     yield out
                     held = []
                 held_key = key
                 part = whole.slice(s, e - s)
-                mat = unit(np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=kind).reshape(e - s, key[1]))
-                held.append((part.column(2).to_numpy(), part.column(3).to_numpy(zero_copy_only=False), mat))
+                mat = unit(np.frombuffer(b"".join(part.column(5).to_pylist()), dtype=kind).reshape(e - s, key[2]))
+                held.append((part.column(3).to_numpy(), part.column(4).to_numpy(zero_copy_only=False), mat))
                 if sum(len(h[0]) for h in held) > 8 * window:
                     out, held = flush(True)
                     yield out
@@ -153,7 +153,7 @@ def window_pairs(blocks: DataFrame, window: int, threshold: float, kind: str) ->
             out, _ = flush(False)
             yield out
 
-    return blocks.select("pass", "width", "id", "fresh", "vec").mapInArrow(run, "a long, b long")
+    return blocks.select("part", "pass", "width", "id", "fresh", "vec").mapInArrow(run, "a long, b long")
 
 
 def links(firsts: DataFrame, folder: str, threshold: float, window: int, passes: int, seed: int) -> DataFrame:
