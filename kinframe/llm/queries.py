@@ -61,4 +61,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op6_pieces, op7_vectors, op8_repeats, op9_sharding, op10_secrets)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The mixture in SQL. The other operators rest on compression, hashes of other kinds, files or search,
+#: and are tested against brute force instead.
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM per),
+leveled AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE)
+             - CAST(coalesce(sum(source_size) OVER (ORDER BY source_size * CAST(2 AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) * CAST(2 AS DOUBLE))
+            / CAST(sum(weight) OVER (ORDER BY source_size * CAST(2 AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM ranked),
+targets AS (
+  SELECT source, source_size, least(source_size * CAST(2 AS DOUBLE), max(level) OVER () * weight) AS target FROM leveled),
+rated AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE CAST(0 AS DOUBLE) END AS rate,
+         CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS draw
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) * size AS taken FROM rated
+""",
+}

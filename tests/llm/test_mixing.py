@@ -68,3 +68,16 @@ def test_empty_and_clashing_columns(spark):
     got = mixing.mix_plan(df).collect()
     assert sorted(r["size"] for r in got) == [1, 2, 2]
     assert mixing.mix_plan(df.filter("false")).count() == 0 and mixing.mix(df.filter("false")).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from kinframe.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op5_mixing"])
+    names, rows = want.columns, want.fetchall()
+    got = queries.op5_mixing(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(tuple(r[c] for c in names) for r in got) == sorted(rows)
