@@ -45,32 +45,31 @@ def connected_components(edges: DataFrame, folder: str, max_rounds: int = 60) ->
     """(id, component) for every id in ``edges(a, b)``; component = least id reachable.
 
     Alternating large-star and small-star steps: every step hangs neighbours on the
-    least neighbour seen, so stars need two rounds and chains a logarithmic number.
+    least neighbour seen, so stars need one round and chains a logarithmic number.
     Each step is one shuffle by node with a combinable minimum, then a join whose hot
     keys adaptive execution may split; nothing is gathered per group.
     Raises if ``max_rounds`` do not suffice rather than return half a result.
     """
     both = edges.where("a is not null and b is not null and a <> b")
     cur = stash(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/cc0")
-    before = None
     for k in range(1, max_rounds + 1):
-        nbr = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if not _open_edges(cur).take(1):
+            return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).union(cur.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))
+        nbr = cur.union(cur.select("b", "a")).toDF("a", "b")
         low = nbr.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = nbr.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # large star: greater neighbours hang on the least of a node and its neighbours
+        large = nbr.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        # small star: every smaller neighbour and the node itself hang on the least one
-        small = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        cur = stash(small, f"{folder}/cc{k}")
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).union(cur.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
-        before = now
+        # small star: the smaller neighbours and the node itself hang on the least one
+        hung = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+        cur = stash(hung.select("e.a", "e.b").where("a <> b").distinct(), f"{folder}/cc{k}")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def words_bytes(text: str) -> bytes:
-    """Lower-cased words joined by one space."""
-    return " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
+def _open_edges(cur: DataFrame) -> DataFrame:
+    """Edges (child, parent) that keep a graph from being stars: of children with several parents, or that are parents."""
+    nodes = cur.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(cur.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return nodes.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
 
 
 LETTER = re.compile(r"[^\W\d_]")

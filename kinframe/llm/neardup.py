@@ -1,6 +1,7 @@
 """Near-duplicate documents by ProbMinHash (operator 1).
 
-Documents are weighted sets of five-word shingles (weight: how often it occurs).
+Documents are weighted sets of five-word shingles; the weight of one that occurs c
+times is 1 + ln c, so that a line repeated a hundred times does not outweigh the text.
 Every shingle is a Poisson process whose rate is its weight; an arrival hits a
 random register, and a register keeps the shingle that hit it first. A shingle
 stops once its next arrival is later than every register of its document. Two
@@ -12,10 +13,15 @@ A pair is linked when its exact probability Jaccard, or its plain Jaccard over
 distinct shingles (what it is for equal weights), is at least the threshold.
 
 Within a bucket not all pairs are compared. The member with the least id leads: it
-is compared with all others. Members that end up in another component then lead in
-turn, four times as many each round, and are compared with all members outside
-their component; so after the last round every pair of a bucket is linked, was
-compared, or lies within one component. Texts equal word for word are one member.
+is compared with all others. In buckets that still hold several components, members
+outside the leader's lead in turn, those that share most with others first, eight
+times as many each round, and are compared with all members outside their component
+that they can be similar to: the shingles that a document shares with any other
+candidate bound its similarity from above (a document with a fifth of shingles of its
+own has no partner), and the signatures must allow the threshold within five standard
+deviations. So after the last round every pair of a bucket is linked, was compared,
+was ruled out by that, or lies within one component. Texts equal word for word are
+one member.
 
 Defined cases: words are lower-cased and split at white space; a text of one to four
 words is one shingle; a text that is null or has no word links with nothing; null
@@ -30,12 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, stash, work_dir
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Registers of the signature of common shingles.
+COMMON = 128
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,6 +96,10 @@ def shingles(texts: list[list[str]], hashes: WordHashes) -> tuple[np.ndarray, np
     return owner[at], keys[at], np.diff(np.append(at, len(keys)))
 
 
+def weigh(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.log(counts)
+
+
 def prob_min_hash(owner: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int, registers: int) -> np.ndarray:
     """n x registers shingle hashes: who hit each register first. Texts without a shingle have zeros."""
     first = np.full(n * registers, np.inf)
@@ -121,8 +133,22 @@ def band_hashes(registers: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def lanes(registers: np.ndarray) -> np.ndarray:
+    """n x 8 numbers that hold the low four bits of up to 128 registers each."""
+    n, m = registers.shape
+    nibbles = np.zeros((n, 128), dtype=np.uint64)
+    nibbles[:, :m] = registers & np.uint64(15)
+    return (nibbles.reshape(n, 8, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def lists(table: np.ndarray, has: np.ndarray) -> pa.ListArray:
+    """An Arrow list for each row of the table, null where ``has`` is false."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(has * table.shape[1])]).astype(np.int32), mask=np.append(~has, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(table[has].ravel(), pa.int64()))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, words_md5, bands) for each row; both null for texts without a word."""
+    """(doc_id, words_md5, bands, lanes) for each row; null but for the id where a text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -131,18 +157,16 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 batch = whole.slice(at, 1000)
                 texts = [(t or "").lower().split() for t in batch.column(1).to_pylist()]
                 owner, keys, counts = shingles(texts, hashes)
-                found = band_hashes(prob_min_hash(owner, keys, counts, len(texts), bands * rows), bands).view(np.int64)
+                registers = prob_min_hash(owner, keys, weigh(counts), len(texts), bands * rows)
                 has = np.array([bool(t) for t in texts])
                 md5 = pa.array([hashlib.md5(" ".join(t).encode("utf-8", "replace")).digest() if t else None for t in texts], pa.binary())
-                flat = pa.array(found[has].ravel(), pa.int64())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32), mask=np.append(~has, False))
-                yield pa.RecordBatch.from_arrays([batch.column(0), md5, pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "words_md5", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), md5, lists(band_hashes(registers, bands).view(np.int64), has), lists(lanes(registers), has)], names=["doc_id", "words_md5", "bands", "lanes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, words_md5 binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, words_md5 binary, bands array<long>, lanes array<long>")
 
 
 def similarity(a: list[str], b: list[str], hashes: WordHashes) -> float:
-    """The larger of probability Jaccard (weights: counts) and plain Jaccard of two word lists."""
+    """The larger of probability Jaccard and plain Jaccard of two word lists."""
     owner, keys, counts = shingles([a, b], hashes)
     cut = int(np.searchsorted(owner, 1))
     ka, kb = keys[:cut], keys[cut:]
@@ -150,7 +174,7 @@ def similarity(a: list[str], b: list[str], hashes: WordHashes) -> float:
         return 0.0
     both, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     plain = len(both) / (len(ka) + len(kb) - len(both))
-    x, y = counts[:cut].astype(float), counts[cut:].astype(float)
+    x, y = weigh(counts[:cut]), weigh(counts[cut:])
     xs, ys = x[ia], y[ib]
     only = x.sum() - xs.sum(), y.sum() - ys.sum()
     ratio = xs / ys
@@ -174,6 +198,65 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def shared_mass(texts: DataFrame, folder: str) -> DataFrame:
+    """(id, n, s, w, sw, common_lanes): a text's distinct shingles, those that another text has too, both by weight, and a signature of the common ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                owner, keys, counts = shingles([(t or "").lower().split() for t in batch.column(1).to_pylist()], hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[owner]), pa.array(keys.view(np.int64)), pa.array(weigh(counts))], names=["id", "shingle", "c"])
+
+    grams = stash(texts.select("doc_id", "text").mapInArrow(run, "id long, shingle long, c double"), folder)
+    shared = grams.groupBy("shingle").agg((F.min("id") < F.max("id")).alias("both")).where("both")
+    met = grams.join(shared, "shingle", "left").groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("both").alias("s"), F.sum("c").alias("w"), F.sum(F.when(F.col("both"), F.col("c")).otherwise(0.0)).alias("sw"), F.collect_list(F.when(F.col("both"), F.col("shingle"))).alias("common")
+    )
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common = batch.column(5)
+            length = common.value_lengths().to_numpy().astype(np.int64)
+            keys = mix64(common.flatten().to_numpy().view(np.uint64))  # other hashes than those of the first signature
+            registers = prob_min_hash(np.repeat(np.arange(len(length)), length), keys, np.ones(len(keys)), len(length), COMMON)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], lists(lanes(registers), np.ones(len(length), bool))], names=["id", "n", "s", "w", "sw", "common_lanes"])
+
+    return met.mapInArrow(sign, "id long, n long, s long, w double, sw double, common_lanes array<long>")
+
+
+def unlike(a: str, b: str) -> Column:
+    """How many of the four-bit registers in two lists of lanes differ."""
+    out = F.lit(0)
+    for k in range(8):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        some = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        out = out + F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
+
+def plausible(differing: Column, similarity: Column, registers: int) -> Column:
+    """Whether so many differing registers go with the similarity: within five standard deviations (one pair in 3 million is not)."""
+    return differing <= registers * (1 - similarity) * 15 / 16 + 5 * F.sqrt(registers * similarity * (1 - similarity)) + 2
+
+
+def may_link(threshold: float, registers: int) -> Column:
+    """Whether two texts can be similar, from what is known of each (``a_n`` and ``n``, and so on).
+
+    Plain Jaccard asks for ``need`` shingles in common. They are among those that both share with others,
+    so the lesser s bounds them, and these parts must resemble each other closely, the more the nearer
+    s is to ``need``. Where shingles repeat, the probability Jaccard is at most either share of weight
+    in common, and is estimated by the first signature.
+    """
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("n")) - 1e-9)
+    close = F.least(F.lit(1.0), need / F.greatest(F.col("a_s") + F.col("s") - need, F.lit(1)))
+    plain = (F.least("a_s", "s") >= need) & plausible(unlike("a_common_lanes", "common_lanes"), close, COMMON)
+    repeats = (F.col("a_w") > F.col("a_n") + 0.5) | (F.col("w") > F.col("n") + 0.5)
+    heavy = (F.col("a_sw") + 1e-6 >= threshold * F.col("a_w")) & (F.col("sw") + 1e-6 >= threshold * F.col("w"))
+    return plain | (repeats & heavy & plausible(unlike("a_lanes", "lanes"), F.lit(threshold), registers))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = 24, rows: int = 5) -> DataFrame:
     """(doc_id, component_id, kept) for every row of ``docs(doc_id, text, ...)``.
 
@@ -184,8 +267,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     folder = work_dir(docs.sparkSession, "neardup")
     signed = stash(signatures(docs, bands, rows), f"{folder}/signatures")
     members = signed.where("words_md5 is not null and doc_id is not null")
-    firsts = stash(members.groupBy("words_md5").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), f"{folder}/firsts")
-    hits = firsts.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    firsts = stash(members.groupBy("words_md5").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "lanes"), "doc_id").alias("made")), f"{folder}/firsts")
+    hits = firsts.select(F.col("rep").alias("id"), F.explode("made.bands").alias("bucket"))
     crowded = hits.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     shared = stash(hits.join(crowded, "bucket"), f"{folder}/shared")
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
@@ -195,24 +278,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     pairs = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tested = stash(pairs, f"{folder}/pairs0")
     edges = stash(verify(tested, texts, threshold), f"{folder}/edges0")
-    several = shared.where("n > 2")
-    led = None
+    several = shared.where("n > 2").select("bucket", "lead", "id")
+    led = mass = None
     k = 0
     while True:
         component = stash(connected_components(edges, f"{folder}/round{k}"), f"{folder}/component{k}")
         k += 1
         of = lambda c: component.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
         state = several.join(of("id"), "id", "left").join(of("lead"), "lead", "left").select("bucket", "lead", "id", F.coalesce("id_part", "id").alias("part"), F.coalesce("lead_part", "lead").alias("lead_part"))
+        mixed = state.groupBy("bucket").agg(F.max(F.col("part") != F.col("lead_part")).alias("mixed")).where("mixed").select("bucket")
+        several = stash(state.join(mixed, "bucket"), f"{folder}/several{k}")
+        if mass is None:
+            if not several.take(1):
+                break
+            mass = stash(shared_mass(texts.join(several.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), f"{folder}/shingles"), f"{folder}/mass")
+        state = several.join(mass, "id").join(firsts.select(F.col("rep").alias("id"), "made.lanes"), "id").where((F.col("s") >= threshold * F.col("n")) | (F.col("sw") + 1e-6 >= threshold * F.col("w")))
+        several = several.select("bucket", "lead", "id")
         outside = state.where("part <> lead_part")
         if led is not None:
             outside = outside.join(led, ["bucket", "id"], "left_anti")
-        turn = Window.partitionBy("bucket").orderBy("id")
-        leads = stash(outside.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= 4 ** min(k - 1, 15)).select("bucket", F.col("id").alias("a"), F.col("part").alias("a_part")), f"{folder}/leads{k}")
+        turn = Window.partitionBy("bucket").orderBy(F.desc(F.col("s") / F.col("n")), "id")
+        chosen = outside.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= 8 ** min(k, 10)).drop("k")
+        leads = stash(chosen.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", "part", "n", "s", "w", "sw", "lanes", "common_lanes")]), f"{folder}/leads{k}")
         if not leads.take(1):
             break
-        done = leads.select("bucket", F.col("a").alias("id"))
+        done = leads.select("bucket", F.col("a_id").alias("id"))
         led = stash(done if led is None else led.union(done), f"{folder}/led{k}")
-        fresh = leads.join(state, "bucket").where("part <> a_part").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        fresh = leads.join(state, (leads["bucket"] == state["bucket"]) & (F.col("part") != F.col("a_part")) & may_link(threshold, bands * rows)).select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         fresh = stash(fresh, f"{folder}/pairs{k}")
         tested = tested.union(fresh)
         edges = edges.union(stash(verify(fresh, texts, threshold), f"{folder}/edges{k}"))
