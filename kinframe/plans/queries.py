@@ -138,10 +138,10 @@ def src8_extract_changes(s, d):
 def measurements(s, d) -> DataFrame:
     """Workload, query, option, cost and mem made from events."""
     cell = [(F.col("user_id") % 20).alias("workload"), F.col("event_type").alias("query"), (F.col("user_id") % 7).alias("option")]
-    return events(s, d).groupBy(*cell).agg(F.round(F.avg(money("value", "decimal(18,6)")), 2).cast("double").alias("cost"), F.count(F.lit(1)).alias("mem"))
+    return events(s, d).groupBy(*cell).agg(F.sum(money("value", "decimal(18,2)")).cast("double").alias("cost"), F.count(F.lit(1)).alias("mem"))
 
 
-MEASUREMENTS = "SELECT user_id % 20 AS workload, event_type AS query, user_id % 7 AS option, CAST(round(sum(CAST(value AS DECIMAL(18,6))) / count(*), 2) AS DOUBLE) AS cost, count(*) AS mem FROM events GROUP BY ALL"
+MEASUREMENTS = "SELECT user_id % 20 AS workload, event_type AS query, user_id % 7 AS option, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost, count(*) AS mem FROM events GROUP BY ALL"
 
 
 def fresh_folder(s: SparkSession, name: str) -> str:
