@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,15 +34,8 @@ def columns_or_null(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
-def fold(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out + p
-    return out
-
-
 def connected_components(edges: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame:
-    """(id, component) for every id in ``edges(a, b)``; component = least id reachable.
+    """(id, component) for ids in ``edges(a, b)``; component = least id reachable, whose own row is left out.
 
     Alternating large-star and small-star steps: every step hangs neighbours on the
     least neighbour seen, so stars need one round and chains a logarithmic number.
@@ -54,7 +47,7 @@ def connected_components(edges: DataFrame, folder: str, max_rounds: int = 60) ->
     cur = stash(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/cc0")
     for k in range(1, max_rounds + 1):
         if not _open_edges(cur).take(1):
-            return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).union(cur.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))
+            return cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
         nbr = cur.union(cur.select("b", "a")).toDF("a", "b")
         low = nbr.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: greater neighbours hang on the least of a node and its neighbours

@@ -278,36 +278,43 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     pairs = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tested = stash(pairs, f"{folder}/pairs0")
     edges = stash(verify(tested, texts, threshold), f"{folder}/edges0")
+    component = connected_components(edges, f"{folder}/round0")
+    of = lambda c: component.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
     several = shared.where("n > 2").select("bucket", "lead", "id")
-    led = mass = None
-    k = 0
-    while True:
-        component = stash(connected_components(edges, f"{folder}/round{k}"), f"{folder}/component{k}")
-        k += 1
-        of = lambda c: component.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
-        state = several.join(of("id"), "id", "left").join(of("lead"), "lead", "left").select("bucket", "lead", "id", F.coalesce("id_part", "id").alias("part"), F.coalesce("lead_part", "lead").alias("lead_part"))
-        mixed = state.groupBy("bucket").agg(F.max(F.col("part") != F.col("lead_part")).alias("mixed")).where("mixed").select("bucket")
-        several = stash(state.join(mixed, "bucket"), f"{folder}/several{k}")
-        if mass is None:
-            if not several.take(1):
+    split = several.join(of("id"), "id", "left").join(of("lead"), "lead", "left").where(F.coalesce("id_part", "id") != F.coalesce("lead_part", "lead")).select("bucket").distinct()
+    several = stash(several.join(split, "bucket", "left_semi"), f"{folder}/several")
+    if several.take(1):
+        mass = shared_mass(texts.join(several.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), f"{folder}/shingles")
+        mass = mass.where((F.col("s") >= threshold * F.col("n")) | (F.col("sw") + 1e-6 >= threshold * F.col("w")))
+        known = stash(mass.join(firsts.select(F.col("rep").alias("id"), "made.lanes"), "id"), f"{folder}/mass")
+        rows_left = several.join(known, "id")
+        # where the least id is out of the running, the member that shares most leads instead, and first
+        best = F.min_by("id", F.struct((-F.col("s") / F.col("n")).alias("x"), "id"))
+        bucket = rows_left.groupBy("bucket").agg(F.max(F.col("id") == F.col("lead")).alias("whole"), best.alias("best"), F.count(F.lit(1)).alias("left")).where("left > 1")
+        again = F.when(F.col("whole"), F.col("lead")).otherwise(F.col("best"))
+        left = stash(rows_left.join(bucket, "bucket").select("bucket", "id", "n", "s", "w", "sw", "lanes", "common_lanes", again.alias("lead"), (~F.col("whole") & (F.col("id") == F.col("best"))).alias("ahead")), f"{folder}/left")
+        led = None
+        for k in range(1, 12):
+            state = stash(left.join(of("id"), "id", "left").join(of("lead"), "lead", "left").withColumn("part", F.coalesce("id_part", "id")).withColumn("lead_part", F.coalesce("lead_part", "lead")), f"{folder}/state{k}")
+            outside = state.where((F.col("part") != F.col("lead_part")) | (F.col("ahead") if k == 1 else F.lit(False)))
+            if led is not None:
+                outside = outside.join(led, ["bucket", "id"], "left_anti")
+            turn = Window.partitionBy("bucket").orderBy(F.desc("ahead"), F.desc(F.col("s") / F.col("n")), "id")
+            chosen = outside.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= 8**k).drop("k")
+            leads = stash(chosen.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", "part", "n", "s", "w", "sw", "lanes", "common_lanes")]), f"{folder}/leads{k}")
+            if not leads.take(1):
                 break
-            mass = stash(shared_mass(texts.join(several.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), f"{folder}/shingles"), f"{folder}/mass")
-        state = several.join(mass, "id").join(firsts.select(F.col("rep").alias("id"), "made.lanes"), "id").where((F.col("s") >= threshold * F.col("n")) | (F.col("sw") + 1e-6 >= threshold * F.col("w")))
-        several = several.select("bucket", "lead", "id")
-        outside = state.where("part <> lead_part")
-        if led is not None:
-            outside = outside.join(led, ["bucket", "id"], "left_anti")
-        turn = Window.partitionBy("bucket").orderBy(F.desc(F.col("s") / F.col("n")), "id")
-        chosen = outside.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= 8 ** min(k, 10)).drop("k")
-        leads = stash(chosen.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", "part", "n", "s", "w", "sw", "lanes", "common_lanes")]), f"{folder}/leads{k}")
-        if not leads.take(1):
-            break
-        done = leads.select("bucket", F.col("a_id").alias("id"))
-        led = stash(done if led is None else led.union(done), f"{folder}/led{k}")
-        fresh = leads.join(state, (leads["bucket"] == state["bucket"]) & (F.col("part") != F.col("a_part")) & may_link(threshold, bands * rows)).select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = stash(fresh, f"{folder}/pairs{k}")
-        tested = tested.union(fresh)
-        edges = edges.union(stash(verify(fresh, texts, threshold), f"{folder}/edges{k}"))
+            done = leads.select("bucket", F.col("a_id").alias("id"))
+            led = done if led is None else led.union(done)
+            fresh = leads.join(state, (leads["bucket"] == state["bucket"]) & (F.col("part") != F.col("a_part")) & may_link(threshold, bands * rows)).select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b")).distinct()
+            fresh = stash(fresh.join(tested, ["a", "b"], "left_anti"), f"{folder}/pairs{k}")
+            tested = tested.union(fresh)
+            found = stash(verify(fresh, texts, threshold), f"{folder}/edges{k}")
+            # what is linked so far is a star around each least id: new links join stars
+            component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), f"{folder}/round{k}")
+            of = lambda c, component=component: component.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
+        else:
+            raise RuntimeError("a bucket has more members than eleven rounds can lead")
     reach = firsts.select("words_md5", F.col("rep").alias("id")).join(component, "id", "left").select("words_md5", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "words_md5").join(reach, "words_md5", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

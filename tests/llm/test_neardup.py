@@ -101,3 +101,13 @@ def test_long_text_is_not_cut():
     assert n.similarity(a, [*a, "tail"], h) > 0.99
     assert n.similarity(a, [*a[:30_000], *[f"z{i}" for i in range(30_000)]], h) < 0.5
     assert np.unique(n.shingles([a], h)[1]).size == len(a) - 4
+
+
+def test_large_loose_group_equals_brute_force(spark):
+    rng = random.Random(9)
+    base, common = text(rng, 150), text(rng, 8)
+    texts = {d: changed(rng, base, rng.choice([0, 1, 2, 3, 3, 4, 5, 8, 12])) for d in range(110)}
+    texts |= {200 + d: " ".join([common] * rng.choice([5, 60]) + [text(rng, rng.randint(5, 60))]) for d in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in n.near_duplicates(df).collect()}
+    assert got == brute(texts)
