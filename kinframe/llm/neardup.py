@@ -257,6 +257,11 @@ def may_link(threshold: float, registers: int) -> Column:
     return plain | (repeats & heavy & plausible(unlike("a_lanes", "lanes"), F.lit(threshold), registers))
 
 
+def first_common(a: str, b: str, bands: int) -> Column:
+    """The first bucket that two texts share, by their lists of buckets; a pair is compared there only."""
+    return F.coalesce(*[F.when(F.col(a)[k] == F.col(b)[k], F.col(a)[k]) for k in range(bands)])
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = 24, rows: int = 5) -> DataFrame:
     """(doc_id, component_id, kept) for every row of ``docs(doc_id, text, ...)``.
 
@@ -286,13 +291,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     if several.take(1):
         mass = shared_mass(texts.join(several.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), f"{folder}/shingles")
         mass = mass.where((F.col("s") >= threshold * F.col("n")) | (F.col("sw") + 1e-6 >= threshold * F.col("w")))
-        known = stash(mass.join(firsts.select(F.col("rep").alias("id"), "made.lanes"), "id"), f"{folder}/mass")
+        known = stash(mass.join(firsts.select(F.col("rep").alias("id"), "made.lanes", "made.bands"), "id"), f"{folder}/mass")
         rows_left = several.join(known, "id")
         # where the least id is out of the running, the member that shares most leads instead, and first
         best = F.min_by("id", F.struct((-F.col("s") / F.col("n")).alias("x"), "id"))
         bucket = rows_left.groupBy("bucket").agg(F.max(F.col("id") == F.col("lead")).alias("whole"), best.alias("best"), F.count(F.lit(1)).alias("left")).where("left > 1")
         again = F.when(F.col("whole"), F.col("lead")).otherwise(F.col("best"))
-        left = stash(rows_left.join(bucket, "bucket").select("bucket", "id", "n", "s", "w", "sw", "lanes", "common_lanes", again.alias("lead"), (~F.col("whole") & (F.col("id") == F.col("best"))).alias("ahead")), f"{folder}/left")
+        left = stash(rows_left.join(bucket, "bucket").select("bucket", "id", "n", "s", "w", "sw", "lanes", "common_lanes", "bands", again.alias("lead"), (~F.col("whole") & (F.col("id") == F.col("best"))).alias("ahead")), f"{folder}/left")
         led = None
         for k in range(1, 12):
             state = stash(left.join(of("id"), "id", "left").join(of("lead"), "lead", "left").withColumn("part", F.coalesce("id_part", "id")).withColumn("lead_part", F.coalesce("lead_part", "lead")), f"{folder}/state{k}")
@@ -301,12 +306,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
                 outside = outside.join(led, ["bucket", "id"], "left_anti")
             turn = Window.partitionBy("bucket").orderBy(F.desc("ahead"), F.desc(F.col("s") / F.col("n")), "id")
             chosen = outside.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= 8**k).drop("k")
-            leads = stash(chosen.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", "part", "n", "s", "w", "sw", "lanes", "common_lanes")]), f"{folder}/leads{k}")
+            leads = stash(chosen.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", "part", "n", "s", "w", "sw", "lanes", "common_lanes", "bands")]), f"{folder}/leads{k}")
             if not leads.take(1):
                 break
             done = leads.select("bucket", F.col("a_id").alias("id"))
             led = done if led is None else led.union(done)
-            fresh = leads.join(state, (leads["bucket"] == state["bucket"]) & (F.col("part") != F.col("a_part")) & may_link(threshold, bands * rows)).select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b")).distinct()
+            fresh = leads.join(state, (leads["bucket"] == state["bucket"]) & (F.col("part") != F.col("a_part")) & (first_common("a_bands", "bands", bands) == leads["bucket"]) & may_link(threshold, bands * rows)).select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b")).distinct()
             fresh = stash(fresh.join(tested, ["a", "b"], "left_anti"), f"{folder}/pairs{k}")
             tested = tested.union(fresh)
             found = stash(verify(fresh, texts, threshold), f"{folder}/edges{k}")
