@@ -64,7 +64,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         return h
