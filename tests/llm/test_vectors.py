@@ -55,3 +55,27 @@ def test_window_borders_do_not_matter(spark):
 def test_more_vectors_more_passes():
     assert v.passes_for(100, 256, 0.9) == 4
     assert v.passes_for(10**6, 256, 0.9) < v.passes_for(10**9, 256, 0.9)
+
+
+def test_dense_cluster_keeps_its_links(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(64)
+    members = centre / np.linalg.norm(centre) + 0.0287 * rng.standard_normal((1500, 64))
+    x = np.concatenate([members, rng.standard_normal((3000, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in v.near_vectors(df, window=32).collect())
+    links, of = brute(x.astype(float))
+    found = np.array([r[1] for r in got])
+    assert (found <= links).all() and found.sum() >= 0.998 * links.sum()
+    assert [r[2] for r in got] == of.tolist()
+
+
+def test_blocks_of_a_bucket_do_not_matter(spark):
+    x = np.random.default_rng(3).standard_normal((300, 4)).astype(np.float32)
+    rows = [(i, r.tolist(), i % 3 + 1) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>, copies long")
+    got = []
+    for k, block in enumerate((2048, 7)):
+        found = v.links(df, v.work_dir(spark, f"blocks{k}"), 0.9, 3, 1, 7, block=block)
+        got.append(sorted(tuple(r) for r in found.groupBy("id").sum("near").where("`sum(near)` > 0").collect()))
+    assert got[0] == got[1] and got[0]
