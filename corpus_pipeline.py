@@ -10,7 +10,6 @@ pieces     texts are encoded to pieces and decoded again; the last stage
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinframe.llm import language, mixing, neardup, pieces, secrets
 from kinframe.llm.common import columns_or_null, stash, work_dir
@@ -46,9 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece counts, a digest of the ids and the round trip of every row."""
-    docs = columns_or_null(docs, DOCUMENTS)
-    return pieces.encoded_summary(docs).withColumn("n_units", F.col("n_units").cast("long"))
+    """The piece ids of every row, the text decoded from them, counts, a digest and the round trip."""
+    return pieces.encoded(columns_or_null(docs, DOCUMENTS))
 
 
 STAGES = [

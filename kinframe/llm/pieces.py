@@ -21,6 +21,7 @@ empty result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -181,15 +182,8 @@ def segment(counted: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, ids, n_ids, code, sound) of every distinct unit; sound: its ids decode to it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sound = [decode_ids(i, pieces) == u.replace(SPACE, " ") for u, i in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sound, pa.bool_())], names=["unit", "n", "ids", "code", "sound"])
-
-    done = segment(count_units(docs), pieces).select("unit", "n", "ids", F.xxhash64("ids").bitwiseAND(PRIME).alias("code"))
-    return done.mapInArrow(run, "unit string, n long, ids array<int>, code long, sound boolean").withColumn("n_ids", F.size("ids"))
+    """(unit, n, ids) of every distinct unit."""
+    return segment(count_units(docs), pieces).select("unit", "n", "ids")
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -238,87 +232,131 @@ def common_from(known: DataFrame, frequent: int) -> int:
     return best
 
 
-def encoded_summary(docs: DataFrame, model: str = MODEL, frequent: int = 100_000) -> DataFrame:
-    """(doc_id, n_units, n_pieces, ids_digest, round_trip) of every row, without moving whole texts.
+def encoded(docs: DataFrame, model: str = MODEL, frequent: int = 100_000) -> DataFrame:
+    """(doc_id, ids, decoded, n_units, n_pieces, ids_digest, round_trip) of every row.
 
-    ids_digest is the sum, over the units of a text, of code times one-based position, modulo PRIME, where
-    the code is a hash of the unit's ids. A text's frequent units are settled where it is read; only
-    its rare units are exchanged. round_trip: the decoded ids are the text.
+    A text's frequent units are filled in where it is read; only its rare units are exchanged by
+    unit, and come back by row and by their order in it. decoded is the text of the ids. ids_digest is the sum of
+    id plus one times one-based place, modulo PRIME; round_trip: decoded has the
+    checksum (128 bits) of the text.
     """
     spark: SparkSession = docs.sparkSession
     pieces = load_pieces(model)
     folder = work_dir(spark, "pieces")
     known = stash(dictionary(docs, pieces), f"{folder}/dictionary")
-    top = known.where(F.col("n") >= common_from(known, frequent)).select("unit", "n_ids", "code", "sound").collect()
-    shared = spark.sparkContext.broadcast({r["unit"]: (r["n_ids"], r["code"], r["sound"]) for r in top})
+    top = known.where(F.col("n") >= common_from(known, frequent)).select("unit", "ids").collect()
+    shared = spark.sparkContext.broadcast({r["unit"]: tuple(r["ids"]) for r in top})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from pyspark import TaskContext
 
         units = shared.value
-        room = 150_000
-        # of each word met: its units, their pieces, the sum of codes, that of codes times place, soundness
-        figures = np.zeros((room, 5), dtype=np.int64)
-
-        class Places(dict):
-            """Word to its row of figures, -1 if a unit is rare; filled as words are met."""
-
-            used = 0
-
-            def __missing__(self, word: str) -> int:
-                found = [units.get(u) for u in units_in(word)]
-                at = -1
-                if None not in found and self.used < room:
-                    at = self.used
-                    figures[at] = len(found), sum(f[0] for f in found), sum(f[1] for f in found) % PRIME, sum(f[1] * k for k, f in enumerate(found)) % PRIME, all(f[2] for f in found)
-                    self.used += 1
-                if len(word) < 60 and len(self) < room:
-                    self[word] = at
-                return at
-
-        place = Places()
+        room = 100_000
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.string(), pa.int32()]
+        names = ["row", "doc_id", "n_units", "ids", "mark", "unit", "hole"]
+
+        class Words(dict):
+            """Word to (units, ids, rare units): -1 stands for the pieces of a rare unit; words met are kept."""
+
+            def __missing__(self, word: str) -> tuple[int, tuple[int, ...], tuple[str, ...]]:
+                split, ids, rare = units_in(word), [], []
+                for u in split:
+                    got = units.get(u)
+                    if got is None:
+                        ids.append(-1)
+                        rare.append(u)
+                    else:
+                        ids.extend(got)
+                found = len(split), tuple(ids), tuple(rare)
+                if len(word) < 60 and not rare and len(self) < room:
+                    self[word] = found
+                return found
+
+        words = Words()
         row = TaskContext.get().partitionId() << 33
-        names = ["row", "doc_id", "n_units", "n_pieces", "digest", "sound", "unit", "spot"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64()]
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                if place.used > room * 3 // 4 or len(place) > room * 3 // 4:
-                    place = Places()
-                whole, rare_row, rare_unit, rare_spot = [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    row += 1
-                    words = words_of(text)
-                    spots = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
-                    met = spots >= 0
-                    odd = np.flatnonzero(~met)
-                    split = [units_in(words[k]) for k in odd.tolist()]
-                    got = figures[spots[met]]
-                    size = np.zeros(len(words), dtype=np.int64)
-                    size[met] = got[:, 0]
-                    size[odd] = [len(x) for x in split]
-                    first = np.cumsum(size) - size + 1
-                    digest = int(((got[:, 2] * first[met] + got[:, 3]) % PRIME).sum())
-                    n_pieces, sound = int(got[:, 1].sum()), bool(got[:, 4].all()) and SPACE not in (text or "")
-                    for start, x in zip(first[odd].tolist(), split, strict=True):
-                        for spot, u in enumerate(x, start):
-                            f = units.get(u)
-                            if f is None:
-                                rare_row.append(row)
-                                rare_unit.append(u)
-                                rare_spot.append(spot)
-                            else:
-                                n_pieces, digest, sound = n_pieces + f[0], digest + f[1] * spot % PRIME, sound and f[2]
-                    whole.append((row, doc, int(size.sum()), n_pieces, digest % PRIME, sound))
+            at = 0
+            while at < b.num_rows:
+                # some texts at a time: up to 500, fewer where they are long
+                ids, ends, whole, rare_row, rare_unit, rare_hole = [], [0], [], [], [], []
+                begin = at
+                while at < b.num_rows and at - begin < 500 and len(ids) < 250_000:
+                    text = b.column(1)[at].as_py()
+                    row, n, holes = row + 1, 0, 0
+                    for word in words_of(text):
+                        size, got, rare = words[word]
+                        n += size
+                        ids += got
+                        for u in rare:
+                            rare_row.append(row)
+                            rare_unit.append(u)
+                            rare_hole.append(holes)
+                            holes += 1
+                    ends.append(len(ids))
+                    whole.append((row, b.column(0)[at].as_py(), n, mark_of(text or "")))
+                    at += 1
+                if len(words) > room * 3 // 4:
+                    words = Words()
                 n, m = len(whole), len(rare_row)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*whole, strict=True), kinds, strict=False)), pa.nulls(n, kinds[6]), pa.nulls(n, kinds[7])], names=names)
-                yield pa.RecordBatch.from_arrays([pa.array(rare_row, kinds[0]), *(pa.nulls(m, t) for t in kinds[1:6]), pa.array(rare_unit, kinds[6]), pa.array(rare_spot, kinds[7])], names=names)
-
-    schema = "row long, doc_id long, n_units long, n_pieces long, digest long, sound boolean, unit string, spot long"
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    looked = stash(plain.mapInArrow(run, schema), f"{folder}/looked")
-    rare = looked.where("unit is not null").select("row", "unit", "spot").join(known.select("unit", "n_ids", F.col("code"), F.col("sound").alias("ok")), "unit")
-    added = rare.groupBy("row").agg(F.sum("n_ids").alias("more"), F.sum(F.col("code") * F.col("spot") % F.lit(PRIME)).alias("more_digest"), F.min("ok").alias("ok"))
-    done = looked.where("unit is null").join(added, "row", "left")
-    return done.select("doc_id", "n_units", (F.col("n_pieces") + F.coalesce("more", F.lit(0))).alias("n_pieces"), ((F.col("digest") + F.coalesce("more_digest", F.lit(0))) % F.lit(PRIME)).alias("ids_digest"), (F.col("sound") & F.coalesce("ok", F.lit(True))).alias("round_trip"))
+                first = list(zip(*whole, strict=True))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(first[:3], kinds, strict=False)), lists, pa.array(first[3], kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(rare_row, kinds[0]), *(pa.nulls(m, t) for t in kinds[1:5]), pa.array(rare_unit, kinds[5]), pa.array(rare_hole, kinds[6])], names=names)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        plain = [t.replace(SPACE, " ") for t in pieces.by_id]
+        names = ["doc_id", "ids", "decoded", "n_units", "n_pieces", "ids_digest", "round_trip"]
+
+        def bytes_in(x: np.ndarray) -> bool:
+            return bool(((x >= pieces.byte0) & (x < pieces.byte0 + 256)).any())
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                all_ids, texts, digests, trips = [], [], [], []
+                for k in range(b.num_rows):
+                    ids = b.column(2)[k].values.to_numpy()
+                    got = b.column(4)[k]
+                    if got.is_valid:
+                        inner = got.values
+                        sizes = inner.value_lengths().to_numpy()
+                        hole = ids < 0
+                        if int(hole.sum()) != len(sizes):
+                            raise ValueError("rare units are missing")
+                        room = np.ones(len(ids), np.int64)
+                        room[hole] = sizes
+                        ids = np.repeat(ids, room)
+                        ids[ids < 0] = inner.flatten().to_numpy()
+                    elif (ids < 0).any():
+                        raise ValueError("rare units are missing")
+                    text = (decode_ids(ids.tolist(), pieces) if bytes_in(ids) else "".join(map(plain.__getitem__, ids.tolist()))).removeprefix(" ")
+                    all_ids.append(ids)
+                    texts.append(text)
+                    digests.append(int(((ids.astype(np.int64) + 1) * np.arange(1, len(ids) + 1) % PRIME).sum() % PRIME))
+                    trips.append(mark_of(text) == b.column(3)[k].as_py())
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids)))
+                n_pieces = pa.array([len(x) for x in all_ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string()), b.column(1), n_pieces, pa.array(digests, pa.int64()), pa.array(trips, pa.bool_())], names=names)
+
+    schema = "row long, doc_id long, n_units long, ids array<int>, mark binary, unit string, hole int"
+    plain_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    looked = stash(plain_docs.mapInArrow(look, schema), f"{folder}/looked")
+    rare = looked.where("unit is not null").select("row", "unit", "hole").join(known.select("unit", F.col("ids").alias("got")), "unit", "left")
+    back = rare.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("hole", "got"))), lambda x: x["got"]).alias("fills"))
+    done = looked.where("unit is null").select("row", "doc_id", "n_units", "ids", "mark").join(back, "row", "left")
+    out = "doc_id long, ids array<int>, decoded string, n_units long, n_pieces long, ids_digest long, round_trip boolean"
+    return done.select("doc_id", "n_units", "ids", "mark", "fills").mapInArrow(fill, out)
+
+
+def mark_of(text: str) -> bytes:
+    """A 128-bit checksum of a text."""
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def encoded_summary(docs: DataFrame, model: str = MODEL, frequent: int = 100_000) -> DataFrame:
+    """(doc_id, n_units, n_pieces, ids_digest, round_trip) of every row of ``encoded``."""
+    return encoded(docs, model, frequent).select("doc_id", "n_units", "n_pieces", "ids_digest", "round_trip")

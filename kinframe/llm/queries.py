@@ -38,7 +38,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoded_summary(table(spark, sf_dir, "documents"))
+    return pieces.encoded(table(spark, sf_dir, "documents"))
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

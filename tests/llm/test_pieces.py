@@ -59,3 +59,19 @@ def test_empty_table(spark):
 def test_units_cover_texts():
     for t in TEXTS:
         assert "".join(p.units_of(t)) == ("▁" + t.replace(" ", "▁") if t else "")
+
+
+def test_the_query_returns_ids_and_their_text(spark):
+    from kinframe.llm import queries
+
+    df = frame(spark, [*TEXTS, "▁literal", TEXTS[0], "日本𠮷 " * 300])
+    want = {r.doc_id: r.ids for r in p.encode(df).collect()}
+    for frequent in (0, 3, 10_000):
+        got = {r.doc_id: r for r in p.encoded(df, frequent=frequent).collect()}
+        assert {d: r.ids for d, r in got.items()} == want
+        assert all(got[i].decoded == (t or "") for i, t in enumerate(TEXTS))
+        assert all(r.n_pieces == len(r.ids) and r.ids_digest == sum((x + 1) * k for k, x in enumerate(r.ids, 1)) % p.PRIME for r in got.values())
+    sf = "/root/testdata/sf0.001"
+    texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    rows = queries.op6_pieces(spark, sf).collect()
+    assert len(rows) == len(texts) and all(r.decoded == (texts[r.doc_id] or "") and r.round_trip for r in rows)
