@@ -8,7 +8,7 @@ token of every text; tokens that a format explains far better than the ordinary
 words of the texts do become spans of kind ``format``. Base spans always stay.
 
 Bounds: at most ``sample`` distinct labelled values and ordinary tokens of each kind
-(those of the least hash) of ``max_length`` characters are gathered for fitting.
+(those of the least hash) are gathered for fitting; of longer ones the first ``max_length`` characters, without an end.
 
 Defined cases: null text is an empty text; whole texts are scanned; the patterns'
 letters fold case in ASCII only; offsets count code points, ends are exclusive;
@@ -35,8 +35,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-PLAIN = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+#: Candidates and ordinary tokens: maximal runs over the letters of assigned values.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+TOKEN_LETTERS = 26 + 26 + 10 + 6
 
 Span = tuple[str, int, int]
 
@@ -86,6 +87,7 @@ class Automaton:
     next: list[dict[str, tuple[int, float]]]
     stop: list[float]
     floor: float
+    shortest: int = 1
 
     def rate(self, token: str) -> float:
         """Mean log probability a character, the end counted as one."""
@@ -118,7 +120,10 @@ def infer(words: list[str], alpha: float = 0.05, max_length: int = 64) -> Automa
                 count.append(Counter())
             at = child[at][s]
             seen[at] += 1
-        ends[at] += 1
+        if len(w) > max_length:
+            seen[at] -= 1  # it goes on, unseen: no end here
+        else:
+            ends[at] += 1
     spread = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -173,7 +178,13 @@ def infer(words: list[str], alpha: float = 0.05, max_length: int = 64) -> Automa
         total = seen[r] + 0.5 * kinds
         moves.append({s: (place[child[r][s]], math.log((n + 0.5) / total / CLASS_SIZE.get(s, 1))) for s, n in count[r].items()})
         stop.append(math.log((ends[r] + 0.5) / total))
-    return Automaton(moves, stop, math.log(1e-4))
+    return Automaton(moves, stop, math.log(1e-4), min(map(len, words), default=1))
+
+
+def uniform() -> Automaton:
+    """The background where no ordinary token is known: all letters of a token, and its end, alike."""
+    p = -math.log(TOKEN_LETTERS + 1)
+    return Automaton([{symbol(c): (0, p) for c in map(chr, range(128)) if TOKEN.fullmatch(c)}], [p], math.log(1e-4))
 
 
 def gather(docs: DataFrame, sample: int, max_length: int) -> dict[str, list[str]]:
@@ -191,6 +202,8 @@ def gather(docs: DataFrame, sample: int, max_length: int) -> dict[str, list[str]
 
         def offer(kind: str, value: str) -> None:
             mine = best.setdefault(kind, {})
+            if value in mine:
+                return
             mine[value] = xxhash.xxh3_64_intdigest(value.encode("utf-8", "replace")) >> 1
             if len(mine) > 4 * sample:
                 best[kind] = dict(heapq.nsmallest(sample, mine.items(), key=lambda x: (x[1], x[0])))
@@ -200,13 +213,15 @@ def gather(docs: DataFrame, sample: int, max_length: int) -> dict[str, list[str]
                 t = text.as_py() or ""
                 spans = base_spans(t)
                 for s in spans:
-                    offer(s[0], label_value(t, s)[:max_length])
-                # ordinary tokens: from texts whose length is a draw of its own, one in eight
-                if len(t) % 8 == 3:
-                    taken = {(s[1], s[2]) for s in spans}
-                    for m in PLAIN.finditer(t):
-                        if not any(m.start() < e and s < m.end() for s, e in taken):
-                            offer("plain", m.group()[:max_length])
+                    offer(s[0], label_value(t, s)[: max_length + 1])
+                # ordinary tokens, of all texts: the least hashes of distinct ones
+                if spans:
+                    ordinary = {m.group().strip(".") for m in TOKEN.finditer(t) if not any(m.start() < e and s < m.end() for _, s, e in spans)}
+                else:
+                    ordinary = {x.strip(".") for x in TOKEN.findall(t)}
+                for x in ordinary:
+                    if len(x) >= 6:
+                        offer("plain", x[: max_length + 1])
         rows = [(k, v, h) for k, mine in best.items() for v, h in heapq.nsmallest(sample, mine.items(), key=lambda x: (x[1], x[0]))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "value", "h"])
 
@@ -224,27 +239,53 @@ def learn_formats(docs: DataFrame, sample: int = 1000, max_length: int = 64) ->
     return {kind: infer(values, max_length=max_length) for kind, values in gather(docs, sample, max_length).items()}
 
 
-def found_spans(text: str, formats: dict[str, Automaton], min_gain: float, min_rate: float) -> list[Span]:
+def accepted(token: str, learned: list[Automaton], plain: Automaton, min_gain: float, min_rate: float) -> bool:
+    """Whether a format of values no longer than ``token`` explains it, and far better than ordinary tokens are."""
+    rate = max((a.rate(token) for a in learned if len(token) >= a.shortest), default=-math.inf)
+    return rate >= min_rate and rate - plain.rate(token) >= min_gain
+
+
+def found_spans(text: str, formats: dict[str, Automaton], min_gain: float, min_rate: float, known: dict[str, bool] | None = None) -> list[Span]:
     """Base spans and candidates that a learned format explains: by start, then kind.
 
-    A candidate mixes letters and digits, lies outside base spans, and gains ``min_gain`` nats a
-    character over ordinary tokens at a mean of ``min_rate`` at least.
+    A candidate is a maximal token outside base spans, as long as the shortest labelled value at
+    least, without dots around it; if it is none, the parts between its dots are. It gains ``min_gain`` nats a
+    character over ordinary tokens at a mean of ``min_rate`` at least. ``known`` keeps verdicts for
+    further texts with the same formats.
     """
     spans = base_spans(text)
-    plain = formats.get("plain")
+    plain = formats.get("plain") or uniform()
     learned = [a for k, a in formats.items() if k != "plain"]
-    if plain is None or not learned:
+    if not learned:
         return spans
+    shortest = min(a.shortest for a in learned)
+    known = {} if known is None else known
+
+    def fits(token: str) -> bool:
+        if len(token) < shortest:
+            return False
+        if token not in known:
+            if len(known) >= 100_000:
+                known.clear()
+            known[token] = accepted(token, learned, plain, min_gain, min_rate)
+        return known[token]
+
     extra = []
-    for m in CANDIDATE.finditer(text):
-        token = m.group()
-        if token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
+    for m in TOKEN.finditer(text):
+        if m.end() - m.start() < shortest:
             continue
+        token = m.group()
         if any(m.start() < e and s < m.end() for _, s, e in spans):
             continue
-        rate = max(a.rate(token) for a in learned)
-        if rate >= min_rate and rate - plain.rate(token) >= min_gain:
-            extra.append(("format", m.start(), m.end()))
+        whole = token.strip(".")
+        at = m.start() + len(token) - len(token.lstrip("."))
+        if fits(whole):
+            extra.append(("format", at, at + len(whole)))
+        elif "." in whole:
+            for part in whole.split("."):
+                if fits(part):
+                    extra.append(("format", at, at + len(part)))
+                at += len(part) + 1
     return sorted(spans + extra, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if extra else spans
 
 
@@ -256,8 +297,9 @@ def scan(docs: DataFrame, formats: dict[str, Automaton], min_gain: float = 1.0,
     """(doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans) for every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
         for b in batches:
-            spans = [found_spans(t.as_py() or "", formats, min_gain, min_rate) for t in b.column(1)]
+            spans = [found_spans(t.as_py() or "", formats, min_gain, min_rate, known) for t in b.column(1)]
             n = [Counter(s[0] for s in x) for x in spans]
             base = [hashlib.sha256(joined([s for s in x if s[0] != "format"]).encode()).hexdigest() for x in spans]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([c[k] for c in n], pa.int64()) for k in KINDS), pa.array(base, pa.string()), pa.array([joined(x) for x in spans], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
@@ -281,8 +323,9 @@ def redact(docs: DataFrame, formats: dict[str, Automaton], min_gain: float = 1.0
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
         for b in batches:
-            texts = [None if t is None else masked(t, found_spans(t, formats, min_gain, min_rate)) for t in b.column(at).to_pylist()]
+            texts = [None if t is None else masked(t, found_spans(t, formats, min_gain, min_rate, known)) for t in b.column(at).to_pylist()]
             columns = list(b.columns)
             columns[at] = pa.array(texts, pa.string())
             if "n_chars" in names:

@@ -68,3 +68,19 @@ def test_mask_and_defined_cases(spark):
     assert len(found) == 5 and found[1].spans == "" and found[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secrets.learn_formats(df.filter("false")) == {} and secrets.scan(df.filter("false"), {}).count() == 0
     assert secrets.masked("abcdef", [("a", 0, 3), ("b", 1, 2), ("c", 2, 5)]) == "<a>f"
+
+
+def test_short_dotted_and_plain_shaped_values_are_scored(spark):
+    rng = random.Random(7)
+    pick = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+    values = [f"{pick(6)}.{pick(6)}" for _ in range(300)]
+    words = ["".join(rng.choice(["tha", "ent", "ion", "er"]) for _ in range(3)) for _ in range(400)]
+    # no text has a length that is 3 modulo 8
+    texts = [t + " " * ((8 - len(t)) % 8) for t in (f"{w} password={v} {w} {w}" for v, w in zip(values, words, strict=False))]
+    formats = secrets.learn_formats(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert formats["plain"] and formats["assign"].shortest == 13
+    bare = f"{pick(6)}.{pick(6)}"
+    assert secrets.found_spans(f"see {bare}. thaenter", formats, 1.0, -4.5) == [("format", 4, 17)]
+    assert secrets.found_spans("thaenter ionthaent thaentiontha.ent", formats, 1.0, -4.5) == []
+    # without any ordinary token the background is uniform, and the method stays on
+    assert secrets.found_spans(f"see {bare}", {"assign": formats["assign"]}, 0.5, -4.5) == [("format", 4, 17)]
