@@ -51,7 +51,9 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.shard(sharding.keyed_sizes(docs), shards=8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    placed = sharding.shard(sharding.keyed_sizes(docs, "text"), shards=8)
+    stored = stash(placed, f"{work_dir(spark, 'shards')}/documents")
+    return sharding.measured(stored).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,8 +77,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float, step: int = 10) -
 def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, partitions: int | None = None) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot and grown_shard added.
 
-    Only the columns of ``docs`` are moved in the one exchange; a caller who needs
-    digests passes no text along (see ``keyed_sizes``).
+    All columns of ``docs`` are moved, the text too where it is kept (see ``keyed_sizes``).
     """
     spark = docs.sparkSession
     folder = work_dir(spark, "shard")
@@ -107,3 +106,9 @@ def keyed_sizes(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, size in UTF-8 bytes plus one, checksum and key; ``keep``: more columns of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", *keep, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_key"))
+
+
+def measured(stored: DataFrame) -> DataFrame:
+    """Written shards with size and text_crc32 computed anew from the text that is stored in them."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return stored.withColumn("size", (F.octet_length(text) + 1).cast("long")).withColumn("text_crc32", F.crc32(text.cast("binary")))

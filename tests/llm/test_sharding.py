@@ -48,3 +48,20 @@ def test_splitters_are_close_to_even(spark):
     for j, start in enumerate(starts, 1):
         assert abs(sum(s for k, s in rows if k < start) - total * j / 8) <= max(0.001 * total / 8, 90)
     assert rounds <= 7
+
+
+def test_the_query_moves_texts_and_reads_them_back(spark, monkeypatch):
+    seen = []
+    whole = sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda docs, *a, **k: seen.append(whole(docs, *a, **k)) or seen[-1])
+    rows = queries.op9_sharding(spark, "/root/testdata/sf0.001").collect()
+    texts = dict(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
+    assert "text" in seen[0].columns
+    assert {r.doc_id: r.text for r in seen[0].collect()} == texts
+    assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in rows)
+
+
+def test_digests_come_from_the_stored_text(spark):
+    stored = spark.createDataFrame([(1, "é", 9, 9), (2, None, 9, 9)], "doc_id long, text string, size long, text_crc32 long")
+    got = {r.doc_id: (r["size"], r.text_crc32) for r in sharding.measured(stored).collect()}
+    assert got == {1: (3, zlib.crc32("é".encode())), 2: (1, 0)}
