@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +17,43 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (local tests) a temporary folder of this
-    machine is used.
+    Where that is not set, a session of one machine (``local[...]``) gets a folder
+    there, and any other is refused: executors do not see each other's disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-kinframe-", dir="/tmp")
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-kinframe-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, dealt anew so that a batch holds up to ``most`` bytes of ``column``, or one longer row."""
+    held, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            n = int(np.searchsorted(ends, before + most - size, side="right")) - at
+            if n <= 0 and held:
+                yield joined()
+                held, size = [], 0
+                continue
+            n = max(n, 1)
+            held.append(b.slice(at, n))
+            size += int(ends[at + n - 1]) - before
+            at += n
+    if held:
+        yield joined()
+
+
 def stash(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet and read it again: lineage ends in shared files."""
     df.write.option("compression", codec).parquet(path)

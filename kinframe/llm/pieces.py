@@ -8,45 +8,62 @@ piece when the model is loaded), so the best path of a text is that of its units
 Each distinct unit is segmented once: its substrings of bounded length are exploded,
 equi-joined to the piece table, edges are grouped by unit, and a fold over edges in
 order of their ends finds the best path (highest sum of scores; of equal ones the
-one with the longest last piece). Characters without a piece become byte pieces.
+one with the longest last piece). The fold goes slice by slice, for it copies its
+state at every step: a unit of 200,000 letters takes seconds.
+Characters without a piece become byte pieces.
 
-The units of a text are looked up: the ``frequent`` most common ones (a fixed number)
-by a broadcast table, all others by a join.
+Texts are cut once, in chunks of some megabytes. A chunk is written as numbers into its
+own list of distinct units, in a table bucketed by chunk; the lists are dealt by a
+hash of the unit, a unit once a chunk however often it occurs, looked up there, and
+the ids come back to the chunk, whose numbers never move. Nothing is collected or
+broadcast but the piece table.
 
 Defined cases: null and empty texts have no pieces; a literal U+2581 decodes to a
 space, so such a text does not survive the round trip; lone invalid byte pieces
-decode to U+FFFD; repeated rows give repeated result rows; an empty table gives an
-empty result; columns other than doc_id and text are not read.
+decode to U+FFFD; a unit of any length is one unit; null ids stay null and repeated
+rows give repeated result rows; an empty table gives an empty result; columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, work_dir
+from .common import by_bytes, work_dir
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Raised, lowered and broken digits count as signs, for pieces join them to signs.
-ODD = "²³¹¼½¾⁰-⁹₀-₉"
-UNIT = re.compile(rf"{SPACE}*(?:[^\W\d_{ODD}]+|\d|(?:[^\w{SPACE}]|[_{ODD}])+)|{SPACE}+")
+#: A unit, in the syntax of Arrow's regular expressions.
+UNIT = rf"{SPACE}*(?:\p{{L}}+|\p{{Nd}}|[^\p{{L}}\p{{Nd}}{SPACE}]+)|{SPACE}+"
+#: Spaces that no word begins with once a text is cut at its other spaces.
+FURTHER = re.compile("(?<= ) |^ ")
 #: Products of positions and codes are taken modulo this prime, so that sums stay within 64 bits.
 PRIME = 2_147_483_647
 MAX_PIECES = 1_000_000
+#: Bytes of text in a chunk; a longer text is a chunk of its own.
+CHUNK = 8 << 20
+#: Characters of a unit that one row of the lattice starts from.
+PART = 64
+#: Entries of an array that one inner fold goes through.
+SLICE = 512
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """text -> (id, score) of ordinary pieces; all pieces by id; the id of byte 0; the longest piece; the score of a byte path."""
+    """(text, id, score) of ordinary pieces; all pieces by id; the id of byte 0; the longest piece; the score of a byte path."""
 
     table: tuple[tuple[str, int, float], ...]
     by_id: tuple[str, ...]
@@ -54,6 +71,12 @@ class Pieces:
     longest: int
     unknown: float
 
+    @property
+    def spelled(self) -> pa.Array:
+        """The bytes of each piece by id."""
+        byte = lambda i: self.byte0 <= i < self.byte0 + 256
+        return pa.array([bytes([i - self.byte0]) if byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.by_id)], pa.binary())
+
 
 @lru_cache(maxsize=4)
 def load_pieces(path: str = MODEL) -> Pieces:
@@ -65,7 +88,8 @@ def load_pieces(path: str = MODEL) -> Pieces:
         raise ValueError(f"more than {MAX_PIECES} pieces")
     names = tuple(p.id_to_piece(i) for i in range(n))
     table = tuple((names[i], i, p.get_score(i)) for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i)))
-    across = [t for t, _, _ in table if UNIT.findall(t) != [t]]
+    units, offsets = split_units(pa.array([t for t, _, _ in table], pa.string()))
+    across = [table[i][0] for i in np.flatnonzero(np.diff(offsets) != 1)]
     if across:
         raise ValueError(f"pieces lie across units: {across[:5]}")
     byte0 = p.piece_to_id("<0x00>")
@@ -74,289 +98,306 @@ def load_pieces(path: str = MODEL) -> Pieces:
     return Pieces(table, names, byte0, max(len(t) for t, _, _ in table), min(s for _, _, s in table) - 10)
 
 
-def units_in(word: str) -> list[str]:
-    """The units of a word, or of any text, that a space stands before."""
-    return UNIT.findall(SPACE + word.replace(" ", SPACE))
+def free_sign(strings: pa.Array) -> str:
+    """A character that occurs in none of the strings."""
+    for code in (*range(0x1F, 0, -1), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)):
+        if not pc.any(pc.match_substring(strings, chr(code)), min_count=0).as_py():
+            return chr(code)
+    raise ValueError("every private character occurs")
+
+
+def split_units(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of all strings one after the other, and where those of each begin."""
+    sign = free_sign(strings)
+    lists = pc.split_pattern(pc.replace_substring_regex(strings, UNIT, sign + r"\0"), sign)
+    parts, offsets = lists.flatten(), np.asarray(lists.offsets)
+    keep = np.ones(len(parts), bool)
+    keep[offsets[:-1]] = False  # nothing stands before a string's first unit
+    return parts.filter(pa.array(keep)), offsets - np.arange(len(offsets))
+
+
+def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1], and so on."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct units by falling count, the unit numbers of all texts in order, and how many each text has."""
+    full = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+    some = texts.filter(full)
+    counts = np.zeros(len(texts), np.int64)
+    if not len(some):
+        return pa.array([], pa.string()), np.zeros(0, np.int64), counts
+    odd = pc.or_(pc.match_substring(some, SPACE), pc.or_(pc.match_substring(some, "  "), pc.starts_with(some, " ")))
+    if pc.any(odd).as_py():
+        some = pc.replace_with_mask(some, odd, pa.array([FURTHER.sub(SPACE, t.replace(SPACE, " ")) for t in some.filter(odd).to_pylist()], pa.string()))
+    lists = pc.split_pattern(some, " ")
+    words = lists.flatten().dictionary_encode()
+    units, begin = split_units(pc.binary_join_element_wise(pa.scalar(SPACE), words.dictionary, ""))
+    distinct = units.dictionary_encode()
+    word = words.indices.to_numpy()
+    sizes = np.diff(begin)[word]
+    codes = distinct.indices.to_numpy()[gather(begin[:-1][word], sizes)]
+    ends = np.concatenate([[0], np.cumsum(sizes)])[np.asarray(lists.offsets)]
+    counts[full.to_numpy(zero_copy_only=False)] = np.diff(ends)
+    order = np.argsort(-np.bincount(codes, minlength=len(distinct.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct.dictionary.take(pa.array(order)), rank[codes], counts
 
 
 def units_of(text: str | None) -> list[str]:
-    return units_in(text) if text else []
-
+    """The units of one text."""
+    units, codes, _ = cut(pa.array([text], pa.string()))
+    return units.take(pa.array(codes)).to_pylist()
 
-def words_of(text: str | None) -> list[str]:
-    """The text cut at every space where that cuts no unit: not at all, if spaces come in runs."""
-    if not text:
-        return []
-    return [text] if text[0] == " " or "  " in text or SPACE in text else text.split(" ")
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte of their places, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def decode_ids(ids: list[int], pieces: Pieces) -> str:
-    """The text of piece ids, the space in front still there."""
-    out, raw = [], bytearray()
-    for i in ids:
-        if pieces.byte0 <= i < pieces.byte0 + 256:
-            raw.append(i - pieces.byte0)
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw = bytearray()
-        out.append(pieces.by_id[i])
-    if raw:
-        out.append(raw.decode("utf-8", "replace"))
-    return "".join(out).replace(SPACE, " ")
 
+def unsqueezed(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-def count_units(docs: DataFrame) -> DataFrame:
-    """(unit, n) of all texts; counted within tasks before the exchange."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+def mark_of(text: bytes) -> bytes:
+    """A 128-bit checksum of a text."""
+    return hashlib.blake2b(text, digest_size=16).digest()
 
-        def flush() -> pa.RecordBatch:
-            met: Counter = Counter()
-            for w, n in words.items():
-                for u in units_in(w):
-                    met[u] += n
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(met.keys()), pa.string()), pa.array(list(met.values()), pa.int64())], names=["unit", "n"])
 
-        for b in batches:
-            for t in b.column(0):
-                words.update(words_of(t.as_py()))
-                if len(words) > 100_000:
-                    yield flush()
-        yield flush()
+#: A chunk has one row of documents, and one of distinct units for each group that some of them go to.
+CHUNK_ROWS = "chunk long, docs array<long>, counts array<long>, marks binary, codes binary, dealt binary, grp int, units array<string>"
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
+def chunks(docs: DataFrame, groups: int) -> DataFrame:
+    """CHUNK_ROWS of ``docs(doc_id, text)``; ``dealt``: the group of each unit by its number."""
 
-def best_path(edges: Column, unit: Column, byte0: int) -> Column:
-    """Ids of the best path over ``edges`` (array of (end, start, id, score)); id -k: the bytes of the k-th character.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    The fold keeps the best way to each end passed (``done``) and to the end at hand.
+        chunk = TaskContext.get().partitionId() << 33
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.string())]
+        names = [c.split()[0] for c in CHUNK_ROWS.split(", ")]
+        for b in by_bytes(batches, "text", CHUNK):
+            chunk += 1
+            texts = b.column("text")
+            units, codes, counts = cut(texts)
+            marks = b"".join(mark_of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts)
+            dealt = np.array([zlib.crc32(u) % groups for u in units.cast(pa.binary()).to_pylist()], np.int64)
+            head = [[chunk], [b.column("doc_id").to_pylist()], [counts], [marks], [squeezed(codes)], [squeezed(dealt)], [None], [None]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(head, kinds, strict=True)], names=names)
+            if len(units):
+                order = np.argsort(dealt, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(dealt[order]) != 0))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), units.take(pa.array(order)))
+                rest = [pa.nulls(len(first), k) for k in kinds[1:6]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), chunk)), *rest, pa.array(dealt[order][first], pa.int32()), lists], names=names)
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(run, CHUNK_ROWS)
+
+
+def best_path(edges: Column, pieces: Pieces) -> Column:
+    """Ids of the best path over ``edges`` (sorted array of (end, start, id, score)); id -k stands for the bytes of code point k - 1.
+
+    A fold copies its state at every step, so both ways are folded slice by slice: within
+    a slice the state is bounded, and what a slice has finished is appended once. ``done`` are
+    the best ways to the ends from ``base`` on; a piece reaches back no further than the
+    ``longest`` that a slice hands on. A finished way is one number of its start and id.
     """
-    step_type = "struct<score:double,start:int,id:int>"
-    one = lambda score, start, id_: F.struct(score.cast("double").alias("score"), start.cast("int").alias("start"), id_.cast("int").alias("id"))
-    zero = F.lit(0)
-    init = F.struct(F.array().cast(f"array<{step_type}>").alias("done"), F.lit(0).cast("int").alias("end"), one(F.lit(0.0), F.lit(-1), zero).alias("best"))
+    wide, byte0 = pieces.longest, pieces.byte0
+    way_type = "struct<score:double,start:int,id:int>"
+    way = lambda score, start, id_: F.struct(score.cast("double").alias("score"), start.cast("int").alias("start"), id_.cast("int").alias("id"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    coded = lambda w: w["start"].cast("long") * F.lit(1 << 32) + w["id"] + F.lit(1 << 31)
+    int0 = F.lit(0).cast("int")
+
+    def in_slices(array: Column, init: Column, run: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+        count = F.greatest(F.ceil(F.size(array) / F.lit(SLICE)), F.lit(1)).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), count), init, lambda acc, k: run(acc, F.slice(array, (k - 1) * SLICE + 1, F.lit(SLICE))), finish)
 
     def step(acc: Column, e: Column) -> Column:
-        before = F.when(e["start"] == acc["end"], acc["best"]["score"]).otherwise(F.element_at(acc["done"], e["start"] + 1)["score"])
-        way = one(before + e["score"], e["start"], e["id"])
-        same = e["end"] == acc["end"]
-        return F.struct(
-            F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["best"]))).alias("done"),
-            e["end"].alias("end"),
-            F.when(same & (acc["best"]["score"] >= way["score"]), acc["best"]).otherwise(way).alias("best"),
+        state = lambda done, best: F.struct(done.alias("done"), acc["base"].alias("base"), e["end"].alias("end"), best.alias("best"))
+        before = F.when(e["start"] == acc["end"], acc["best"]["score"]).otherwise(F.element_at(acc["done"], e["start"] - acc["base"] + 1)["score"])
+        new = way(before + e["score"], e["start"], e["id"])
+        again = state(acc["done"], F.when(acc["best"]["score"] >= new["score"], acc["best"]).otherwise(new))
+        return F.when(e["end"] == acc["end"], again).otherwise(state(F.concat(acc["done"], F.array(acc["best"])), new))
+
+    def forth(acc: Column, part: Column) -> Column:
+        def laid_away(i: Column) -> Column:
+            over = F.greatest(F.size(i["done"]) - wide, int0)
+            laid = F.concat(acc["laid"], F.transform(F.slice(i["done"], F.lit(1), over), coded))
+            return F.struct(laid.alias("laid"), F.slice(i["done"], over + 1, F.lit(wide)).alias("done"), (i["base"] + over).alias("base"), i["end"].alias("end"), i["best"].alias("best"))
+
+        return F.aggregate(part, F.struct(*(acc[c].alias(c) for c in ("done", "base", "end", "best"))), step, laid_away)
+
+    def back(acc: Column, part: Column) -> Column:
+        state = lambda ids, at, k: F.struct(ids.alias("ids"), at.cast("int").alias("at"), k.cast("int").alias("k"))
+
+        def walk(a: Column, code: Column) -> Column:
+            on = (a["at"] == a["k"]) & (a["k"] > 0)
+            id_ = (code.bitwiseAND((1 << 32) - 1) - F.lit(1 << 31)).cast("int")
+            return F.when(on, state(F.concat(a["ids"], F.array(id_)), F.shiftright(code, 32), a["k"] - 1)).otherwise(state(a["ids"], a["at"], a["k"] - 1))
+
+        return F.aggregate(part, state(none("int"), acc["at"], acc["k"]), walk, lambda a: state(F.concat(acc["ids"], a["ids"]), a["at"], a["k"]))
+
+    def ids_of(acc: Column) -> Column:
+        ways = F.reverse(F.concat(acc["laid"], F.transform(F.concat(acc["done"], F.array(acc["best"])), coded)))
+        start = F.struct(none("int").alias("ids"), acc["end"].alias("at"), acc["end"].alias("k"))
+        return in_slices(ways, start, back, lambda a: F.reverse(a["ids"]))
+
+    init = F.struct(none("bigint").alias("laid"), none(way_type).alias("done"), int0.alias("base"), int0.alias("end"), way(F.lit(0.0), F.lit(0), F.lit(0)).alias("best"))
+
+    def in_bytes(i: Column) -> Column:
+        code, tail = -i - 1, lambda x: F.lit(128) + x.bitwiseAND(63)
+        up = lambda n: F.shiftright(code, n)
+        utf8 = (
+            F.when(code < 0x80, F.array(code))
+            .when(code < 0x800, F.array(up(6) + 192, tail(code)))
+            .when(code < 0x10000, F.array(up(12) + 224, tail(up(6)), tail(code)))
+            .otherwise(F.array(up(18) + 240, tail(up(12)), tail(up(6)), tail(code)))
         )
+        return F.when(i >= 0, F.array(i)).otherwise(F.transform(utf8, lambda x: x + F.lit(byte0)))
 
-    def back(acc: Column) -> Column:
-        ways = F.reverse(F.concat(acc["done"], F.array(acc["best"])))
-        start = F.struct(acc["end"].alias("at"), acc["end"].alias("k"), F.array().cast("array<int>").alias("ids"))
-        walk = lambda a, w: F.struct(F.when(a["at"] == a["k"], w["start"]).otherwise(a["at"]).cast("int").alias("at"), (a["k"] - 1).cast("int").alias("k"), F.when((a["at"] == a["k"]) & (a["k"] > 0), F.concat(a["ids"], F.array(w["id"]))).otherwise(a["ids"]).alias("ids"))
-        return F.reverse(F.aggregate(ways, start, walk, lambda a: a["ids"]))
+    found = in_slices(edges, init, forth, ids_of)
+    return F.when(F.exists(edges, lambda e: e["id"] < 0), F.flatten(F.transform(found, in_bytes))).otherwise(found)
 
-    def spelled(i: Column) -> Column:
-        letter = F.hex(F.encode(F.substring(unit, -i, F.lit(1)), "UTF-8"))
-        as_bytes = F.transform(F.sequence(F.lit(1), F.length(letter), F.lit(2)), lambda k: F.conv(F.substring(letter, k, F.lit(2)), 16, 10).cast("int") + F.lit(byte0))
-        return F.when(i > 0, F.array(i)).otherwise(as_bytes)
 
-    return F.flatten(F.transform(F.aggregate(F.array_sort(edges), init, step, back), spelled))
+def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(grp, name, ids) of the best path of every distinct (grp, unit); name: the unit, or the digest of one above PART characters.
 
+    The piece table is bounded by ``MAX_PIECES`` and broadcast. Units dealt by grp are
+    segmented where they are; a long one is cut into parts first, so that no row but the last holds all of it.
+    """
+    table = units.sparkSession.createDataFrame(list(pieces.table), "piece string, id int, score double")
+    reach = PART + pieces.longest - 1
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("unit") - 1) / PART).cast("int")), lambda k: F.substring(F.col("unit"), k * PART + 1, F.lit(reach)))
+    short = F.length("unit") <= PART
+    distinct = units.select("grp", "unit").distinct()
+    named = distinct.select("grp", F.when(short, F.col("unit")).otherwise(F.sha2("unit", 256)).alias("name"), F.posexplode(F.when(short, F.array("unit")).otherwise(parts)).alias("part", "body"))
+    at = named.select("grp", "name", "part", "body", F.explode(F.sequence(F.lit(0), F.least(F.lit(PART), F.length("body")) - 1)).alias("start"))
+    spans = at.select("grp", "name", "part", "body", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("body") - F.col("start")))).alias("size"))
+    start = (F.col("part") * PART + F.col("start")).cast("int")
+    pieces_of = spans.select("grp", "name", start.alias("start"), "size", F.substring("body", F.col("start") + 1, F.col("size")).alias("piece"))
+    met = pieces_of.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
+    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", -(F.ascii("piece") + 1)).alias("id"), F.coalesce("score", F.lit(float(pieces.unknown))).alias("score"))
+    return met.groupBy("grp", "name").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("grp", "name", best_path(F.col("edges"), pieces).alias("ids"))
+
+
+def looked_up(dealt: DataFrame, known: DataFrame) -> DataFrame:
+    """(chunk, grp, ids, sizes): the ids of ``dealt(chunk, grp, units)``, all of a row in one list, and how many each unit has."""
+
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = left.column("units").combine_chunks()
+        names = lists.flatten()
+        long = pc.greater(pc.utf8_length(names), PART)
+        if pc.any(long, min_count=0).as_py():
+            names = pc.replace_with_mask(names, long, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names.filter(long).to_pylist()], pa.string()))
+        found = pc.index_in(names, right.column("name").combine_chunks())
+        if found.null_count:
+            raise ValueError("units without a path")
+        ids = right.column("ids").combine_chunks()
+        at, begin = found.to_numpy(), np.asarray(ids.offsets) - np.asarray(ids.offsets)[0]
+        sizes = np.diff(begin)[at]
+        flat = ids.flatten().to_numpy()[gather(begin[at], sizes)]
+        rows = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[rows]
+        as_lists = lambda x, e: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, pa.int32()))
+        return pa.table([left.column("chunk"), left.column("grp"), as_lists(flat, ends), as_lists(sizes, rows)], names=["chunk", "grp", "ids", "sizes"])
+
+    return dealt.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(together, "chunk long, grp int, ids array<int>, sizes array<int>")
+
+
+def joined_texts(ids: pa.ListArray, spelled: pa.Array) -> pa.Array:
+    """The text of each list of ids, its leading space taken off."""
+    pieces_of = pa.ListArray.from_arrays(ids.offsets, spelled.take(ids.values))
+    raw = pc.binary_join(pieces_of, b"")
+    try:
+        texts = raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+    return pc.replace_substring_regex(texts, "^ ", "", max_replacements=1)
+
+
+ENCODED = "doc_id long, ids array<int>, decoded string, n_units long, n_pieces long, ids_digest long, round_trip boolean"
+
+
+def filled(left: pa.Table, right: pa.Table, spelled: pa.Array) -> pa.Table:
+    """ENCODED rows of the documents of one chunk from its numbers and the ids of its units."""
+    row = {c: left.column(c)[0] for c in ("docs", "counts", "marks", "codes", "dealt")}
+    codes, dealt = unsqueezed(row["codes"].as_py()), unsqueezed(row["dealt"].as_py())
+    counts = row["counts"].values.to_numpy()
+    right = right.sort_by("grp")
+    flat, sizes = (right.column(c).combine_chunks().flatten().to_numpy() if right.num_rows else np.zeros(0, np.int32) for c in ("ids", "sizes"))
+    if len(sizes) != len(dealt):
+        raise ValueError("units of a chunk are missing")
+    order = np.argsort(dealt, kind="stable")
+    begin, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    begin[order], size[order] = np.cumsum(sizes) - sizes, sizes
+    n = size[codes]
+    ids = flat[gather(begin[codes], n)]
+    ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+    texts = joined_texts(lists, spelled)
+    place = np.arange(len(ids)) - np.repeat(ends[:-1], np.diff(ends)) + 1
+    sums = np.concatenate([[0], np.cumsum((ids.astype(np.int64) + 1) * place % PRIME)])[ends]
+    marks = row["marks"].as_py()
+    trips = [mark_of(t.as_buffer().to_pybytes()) == marks[16 * k : 16 * k + 16] for k, t in enumerate(texts)]
+    columns = [row["docs"].values, lists, texts, pa.array(counts), pa.array(np.diff(ends)), pa.array(np.diff(sums) % PRIME), pa.array(trips, pa.bool_())]
+    return pa.table(columns, names=[c.split()[0] for c in ENCODED.split(", ")])
+
+
+def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """ENCODED rows, one of every row of ``docs(doc_id, text, ...)``.
+
+    decoded is the text of the ids. ids_digest is the sum of id plus one times one-based
+    place, modulo PRIME; round_trip: decoded has the checksum (128 bits) of the text.
+    Groups number twice the shuffle partitions, so a group shrinks as partitions are added.
+    """
+    spark = docs.sparkSession
+    pieces = load_pieces(model)
+    spelled = pieces.spelled
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    stored = bucketed(chunks(docs, 2 * n), n)
+    dealt = stored.where("grp is not null").select("chunk", "grp", "units").repartition(n, "grp")
+    known = segment(dealt.select(F.col("grp").alias("g"), F.explode("units").alias("unit")).withColumnRenamed("g", "grp"), pieces)
+    back = looked_up(dealt, known)
 
-def segment(counted: DataFrame, pieces: Pieces) -> DataFrame:
-    """``counted(unit, n)``, one row a unit, with the ids of its best path.
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        return filled(left, right, spelled)
 
-    The piece table is bounded by ``MAX_PIECES`` and broadcast; units already dealt by
-    unit are grouped where they are.
-    """
-    spark = counted.sparkSession
-    table = spark.createDataFrame(list(pieces.table), "piece string, id int, score double")
-    at = counted.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
-    spans = at.select("unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("start")))).alias("size"))
-    cut = spans.select("unit", "n", "start", "size", F.substring("unit", F.col("start") + 1, F.col("size")).alias("piece"))
-    met = cut.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-    edge = F.struct((F.col("start") + F.col("size")).cast("int").alias("end"), F.col("start").cast("int").alias("start"), F.coalesce("id", -(F.col("start") + 1)).cast("int").alias("id"), F.coalesce("score", F.lit(float(pieces.unknown))).alias("score"))
-    grouped = met.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
-    return grouped.select("unit", "n", best_path(F.col("edges"), F.col("unit"), pieces.byte0).alias("ids"))
+    whole = stored.where("docs is not null").select("chunk", "docs", "counts", "marks", "codes", "dealt")
+    return whole.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(together, ENCODED)
 
 
-def dictionary(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, ids) of every distinct unit."""
-    return segment(count_units(docs), pieces).select("unit", "n", "ids")
+def bucketed(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` written to the shared folder in ``n`` buckets by chunk and read again; no name stays in the catalog."""
+    spark, name = rows.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").option("path", work_dir(spark, "chunks")).bucketBy(n, "chunk").saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files of a table with a path of its own stay
+    return stored
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, ids) of every row of ``docs(doc_id, text, ...)``."""
-    pieces = load_pieces(model)
-    folder = work_dir(docs.sparkSession, "pieces")
-    known = stash(dictionary(docs, pieces), f"{folder}/dictionary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                units, row = units_of(text.as_py()) or [None], row + 1
-                n = len(units)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(units, pa.string())], names=["row", "doc_id", "at", "unit"])
+    return encoded(docs, model).select("doc_id", "ids")
 
-    rows = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, doc_id long, at int, unit string"), f"{folder}/units")
-    met = rows.where("unit is not null").join(known.select("unit", "ids"), "unit").groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return rows.where("at = 0").select("row", "doc_id").join(met, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
-
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text) of every row of ``encoded(doc_id, ids)``; null ids give null."""
-    pieces = load_pieces(model)
+def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
+    """(doc_id, text) of every row of ``rows(doc_id, ids)``; null ids give null."""
+    spelled = load_pieces(model).spelled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if i is None else decode_ids(i, pieces).removeprefix(" ") for i in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
-
-
-def common_from(known: DataFrame, frequent: int) -> int:
-    """The least count such that at most ``frequent`` units occur so often; found from counts in steps of a sixteenth."""
-    level = F.floor(F.log2(F.col("n")) * 16)
-    steps = known.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("units"), F.min("n").alias("least")).collect()
-    best, total = (1 << 62), 0
-    for r in sorted(steps, key=lambda r: -r["level"]):
-        total += r["units"]
-        if total > frequent:
-            break
-        best = r["least"]
-    return best
-
-
-def encoded(docs: DataFrame, model: str = MODEL, frequent: int = 100_000) -> DataFrame:
-    """(doc_id, ids, decoded, n_units, n_pieces, ids_digest, round_trip) of every row.
-
-    A text's frequent units are filled in where it is read; only its rare units are exchanged by
-    unit, and come back by row and by their order in it. decoded is the text of the ids. ids_digest is the sum of
-    id plus one times one-based place, modulo PRIME; round_trip: decoded has the
-    checksum (128 bits) of the text.
-    """
-    spark: SparkSession = docs.sparkSession
-    pieces = load_pieces(model)
-    folder = work_dir(spark, "pieces")
-    known = stash(dictionary(docs, pieces), f"{folder}/dictionary")
-    top = known.where(F.col("n") >= common_from(known, frequent)).select("unit", "ids").collect()
-    shared = spark.sparkContext.broadcast({r["unit"]: tuple(r["ids"]) for r in top})
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from pyspark import TaskContext
-
-        units = shared.value
-        room = 100_000
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.string(), pa.int32()]
-        names = ["row", "doc_id", "n_units", "ids", "mark", "unit", "hole"]
-
-        class Words(dict):
-            """Word to (units, ids, rare units): -1 stands for the pieces of a rare unit; words met are kept."""
-
-            def __missing__(self, word: str) -> tuple[int, tuple[int, ...], tuple[str, ...]]:
-                split, ids, rare = units_in(word), [], []
-                for u in split:
-                    got = units.get(u)
-                    if got is None:
-                        ids.append(-1)
-                        rare.append(u)
-                    else:
-                        ids.extend(got)
-                found = len(split), tuple(ids), tuple(rare)
-                if len(word) < 60 and not rare and len(self) < room:
-                    self[word] = found
-                return found
-
-        words = Words()
-        row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            at = 0
-            while at < b.num_rows:
-                # some texts at a time: up to 500, fewer where they are long
-                ids, ends, whole, rare_row, rare_unit, rare_hole = [], [0], [], [], [], []
-                begin = at
-                while at < b.num_rows and at - begin < 500 and len(ids) < 250_000:
-                    text = b.column(1)[at].as_py()
-                    row, n, holes = row + 1, 0, 0
-                    for word in words_of(text):
-                        size, got, rare = words[word]
-                        n += size
-                        ids += got
-                        for u in rare:
-                            rare_row.append(row)
-                            rare_unit.append(u)
-                            rare_hole.append(holes)
-                            holes += 1
-                    ends.append(len(ids))
-                    whole.append((row, b.column(0)[at].as_py(), n, mark_of(text or "")))
-                    at += 1
-                if len(words) > room * 3 // 4:
-                    words = Words()
-                n, m = len(whole), len(rare_row)
-                first = list(zip(*whole, strict=True))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(first[:3], kinds, strict=False)), lists, pa.array(first[3], kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names=names)
-                yield pa.RecordBatch.from_arrays([pa.array(rare_row, kinds[0]), *(pa.nulls(m, t) for t in kinds[1:5]), pa.array(rare_unit, kinds[5]), pa.array(rare_hole, kinds[6])], names=names)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        plain = [t.replace(SPACE, " ") for t in pieces.by_id]
-        names = ["doc_id", "ids", "decoded", "n_units", "n_pieces", "ids_digest", "round_trip"]
-
-        def bytes_in(x: np.ndarray) -> bool:
-            return bool(((x >= pieces.byte0) & (x < pieces.byte0 + 256)).any())
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
-                all_ids, texts, digests, trips = [], [], [], []
-                for k in range(b.num_rows):
-                    ids = b.column(2)[k].values.to_numpy()
-                    got = b.column(4)[k]
-                    if got.is_valid:
-                        inner = got.values
-                        sizes = inner.value_lengths().to_numpy()
-                        hole = ids < 0
-                        if int(hole.sum()) != len(sizes):
-                            raise ValueError("rare units are missing")
-                        room = np.ones(len(ids), np.int64)
-                        room[hole] = sizes
-                        ids = np.repeat(ids, room)
-                        ids[ids < 0] = inner.flatten().to_numpy()
-                    elif (ids < 0).any():
-                        raise ValueError("rare units are missing")
-                    text = (decode_ids(ids.tolist(), pieces) if bytes_in(ids) else "".join(map(plain.__getitem__, ids.tolist()))).removeprefix(" ")
-                    all_ids.append(ids)
-                    texts.append(text)
-                    digests.append(int(((ids.astype(np.int64) + 1) * np.arange(1, len(ids) + 1) % PRIME).sum() % PRIME))
-                    trips.append(mark_of(text) == b.column(3)[k].as_py())
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids)))
-                n_pieces = pa.array([len(x) for x in all_ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string()), b.column(1), n_pieces, pa.array(digests, pa.int64()), pa.array(trips, pa.bool_())], names=names)
-
-    schema = "row long, doc_id long, n_units long, ids array<int>, mark binary, unit string, hole int"
-    plain_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    looked = stash(plain_docs.mapInArrow(look, schema), f"{folder}/looked")
-    rare = looked.where("unit is not null").select("row", "unit", "hole").join(known.select("unit", F.col("ids").alias("got")), "unit", "left")
-    back = rare.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("hole", "got"))), lambda x: x["got"]).alias("fills"))
-    done = looked.where("unit is null").select("row", "doc_id", "n_units", "ids", "mark").join(back, "row", "left")
-    out = "doc_id long, ids array<int>, decoded string, n_units long, n_pieces long, ids_digest long, round_trip boolean"
-    return done.select("doc_id", "n_units", "ids", "mark", "fills").mapInArrow(fill, out)
-
-
-def mark_of(text: str) -> bytes:
-    """A 128-bit checksum of a text."""
-    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
-
-
-def encoded_summary(docs: DataFrame, model: str = MODEL, frequent: int = 100_000) -> DataFrame:
-    """(doc_id, n_units, n_pieces, ids_digest, round_trip) of every row of ``encoded``."""
-    return encoded(docs, model, frequent).select("doc_id", "n_units", "n_pieces", "ids_digest", "round_trip")
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                lists = part.column(1)
+                known = lists.is_valid()
+                texts = joined_texts(pc.fill_null(lists, pa.scalar([], lists.type)), spelled)
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.if_else(known, texts, pa.scalar(None, pa.string()))], names=["doc_id", "text"])
+
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

@@ -37,23 +37,52 @@ def test_paths_equal_the_library(spark, model):
     assert [got[i] for i in range(len(texts))] == [sp.encode(t or "") for t in texts]
 
 
-def test_round_trip_and_summary(spark):
-    df = frame(spark, [*TEXTS, "▁literal", TEXTS[0]])
-    ids = p.encode(df).collect()
-    back = {r.doc_id: r.text for r in p.decode(spark.createDataFrame(ids, "doc_id long, ids array<int>")).collect()}
-    assert all(back[i] == (t or "") for i, t in enumerate(TEXTS))
-    count = {r.doc_id: len(r.ids) for r in ids}
-    few = {r.doc_id: r for r in p.encoded_summary(df, frequent=3).collect()}
-    many = {r.doc_id: r for r in p.encoded_summary(df, frequent=10_000).collect()}
-    assert few == many
-    assert {d: r.n_pieces for d, r in few.items()} == count
-    assert few[0].ids_digest == few[len(TEXTS) + 1].ids_digest
-    assert [r.doc_id for r in few.values() if not r.round_trip] == [len(TEXTS)]
+def test_round_trip_and_figures(spark):
+    texts = [*TEXTS, "▁literal", TEXTS[0], "日本𠮷 " * 300, "".join(chr(i) for i in range(1, 0x2000))]
+    rows = p.encoded(frame(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    got = {r.doc_id: r for r in rows}
+    back = {r.doc_id: r.text for r in p.decode(spark.createDataFrame([(r.doc_id, r.ids) for r in rows], "doc_id long, ids array<int>")).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert r.decoded == back[i] and r.round_trip == (r.decoded == (t or "")) == (i != len(TEXTS))
+        assert r.n_pieces == len(r.ids) and r.n_units == len(p.units_of(t)) and r.ids_digest == sum((x + 1) * k for k, x in enumerate(r.ids, 1)) % p.PRIME
+    assert got[0].ids == got[len(TEXTS) + 1].ids
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "one two", "x", 1), (None, "one two", "y", 2), (3, "three", "z", 3), (3, "other", "z", 3), (4, None, None, None)]
+    got = p.encoded(spark.createDataFrame(rows, "doc_id long, text string, unit string, chunk int")).collect()
+    assert sorted((r.doc_id or 0, r.decoded) for r in got) == [(0, "one two"), (0, "one two"), (3, "other"), (3, "three"), (4, "")]
+
+
+def test_chunks_of_any_size_give_equal_rows(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    whole = sorted(map(tuple, p.encoded(docs).select("doc_id", "ids_digest", "n_units").collect()))
+    import pyarrow as pa
+
+    from kinframe.llm.common import by_bytes
+
+    batch = pa.RecordBatch.from_pydict({"text": [None, "", "ab" * 40, "c" * 500, "d", "e"], "k": list(range(6))})
+    for most in (1, 40, 10_000):
+        parts = list(by_bytes([batch.slice(0, 4), batch.slice(4, 0), batch.slice(4)], "text", most))
+        assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist() and len(parts) == {1: 6, 40: 4, 10_000: 1}[most]
+    assert whole == sorted(map(tuple, p.encoded(docs.repartition(7)).select("doc_id", "ids_digest", "n_units").collect()))
+
+
+@pytest.mark.parametrize("size", [64, 65, 81, 2_000, 200_000])
+def test_long_units(spark, model, size):
+    word = ("thatanentshionononblequedoosäöü日本" * (size // 30 + 1))[:size]
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    r = p.encoded(frame(spark, [word]), model).collect()[0]
+    assert r.n_units == 1 and r.round_trip
+    if size <= 2_000:
+        assert r.ids == sp.encode(word)
 
 
 def test_empty_table(spark):
     df = frame(spark, ["a"]).filter("false")
-    assert p.encode(df).count() == 0 and p.encoded_summary(df).count() == 0
+    assert p.encode(df).count() == 0 and p.decode(p.encode(df)).count() == 0
 
 
 def test_units_cover_texts():
@@ -64,13 +93,6 @@ def test_units_cover_texts():
 def test_the_query_returns_ids_and_their_text(spark):
     from kinframe.llm import queries
 
-    df = frame(spark, [*TEXTS, "▁literal", TEXTS[0], "日本𠮷 " * 300])
-    want = {r.doc_id: r.ids for r in p.encode(df).collect()}
-    for frequent in (0, 3, 10_000):
-        got = {r.doc_id: r for r in p.encoded(df, frequent=frequent).collect()}
-        assert {d: r.ids for d, r in got.items()} == want
-        assert all(got[i].decoded == (t or "") for i, t in enumerate(TEXTS))
-        assert all(r.n_pieces == len(r.ids) and r.ids_digest == sum((x + 1) * k for k, x in enumerate(r.ids, 1)) % p.PRIME for r in got.values())
     sf = "/root/testdata/sf0.001"
     texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     rows = queries.op6_pieces(spark, sf).collect()
