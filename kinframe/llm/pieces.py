@@ -57,6 +57,8 @@ MAX_PIECES = 1_000_000
 CHUNK = 8 << 20
 #: Characters of a unit that one row of the lattice starts from.
 PART = 64
+#: Units of chunks that a task looks up.
+TASK_UNITS = 60_000
 #: Entries of an array that one inner fold goes through.
 SLICE = 512
 
@@ -267,7 +269,7 @@ def best_path(edges: Column, pieces: Pieces) -> Column:
 
 
 def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(grp, name, ids) of the best path of every distinct (grp, unit); name: the unit, or the digest of one above PART characters.
+    """(grp, name, ids) of the best path of every distinct (grp, unit) of ``units(chunk, grp, unit)``; name: the unit, or the digest of one above PART characters.
 
     The piece table is bounded by ``MAX_PIECES`` and broadcast. Units dealt by grp are
     segmented where they are; a long one is cut into parts first, so that no row but the last holds all of it.
@@ -276,7 +278,8 @@ def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
     reach = PART + pieces.longest - 1
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("unit") - 1) / PART).cast("int")), lambda k: F.substring(F.col("unit"), k * PART + 1, F.lit(reach)))
     short = F.length("unit") <= PART
-    distinct = units.select("grp", "unit").distinct()
+    # chunk is asked for so that the exchange below equals the one that looked_up reads, and is made once
+    distinct = units.groupBy("grp", "unit").agg(F.max("chunk").alias("seen")).where("seen is not null")
     named = distinct.select("grp", F.when(short, F.col("unit")).otherwise(F.sha2("unit", 256)).alias("name"), F.posexplode(F.when(short, F.array("unit")).otherwise(parts)).alias("part", "body"))
     at = named.select("grp", "name", "part", "body", F.explode(F.sequence(F.lit(0), F.least(F.lit(PART), F.length("body")) - 1)).alias("start"))
     spans = at.select("grp", "name", "part", "body", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("body") - F.col("start")))).alias("size"))
@@ -355,15 +358,20 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     decoded is the text of the ids. ids_digest is the sum of id plus one times one-based
     place, modulo PRIME; round_trip: decoded has the checksum (128 bits) of the text.
-    Groups number twice the shuffle partitions, so a group shrinks as partitions are added.
+    Groups number eight times the shuffle partitions, so a group shrinks as partitions are added;
+    tasks are made for about ``TASK_UNITS`` units of chunks each, so that their edges are sorted in memory.
     """
     spark = docs.sparkSession
     pieces = load_pieces(model)
     spelled = pieces.spelled
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    stored = bucketed(chunks(docs, 2 * n), n)
-    dealt = stored.where("grp is not null").select("chunk", "grp", "units").repartition(n, "grp")
-    known = segment(dealt.select(F.col("grp").alias("g"), F.explode("units").alias("unit")).withColumnRenamed("g", "grp"), pieces)
+    folder = work_dir(spark, "chunks")
+    stored = bucketed(chunks(docs, 8 * n), folder, n)
+    # read past the buckets, which nothing here needs: both readers of the exchange then have one plan
+    lists = spark.read.schema(stored.schema).parquet(folder).where("grp is not null").select("chunk", "grp", "units")
+    total = lists.agg(F.sum(F.size("units"))).first()[0] or 0
+    dealt = lists.repartition(max(n, min(8 * n, total // TASK_UNITS)), "grp")
+    known = segment(dealt.select("chunk", F.col("grp").alias("g"), F.explode_outer("units").alias("unit")).withColumnRenamed("g", "grp"), pieces)
     back = looked_up(dealt, known)
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -373,10 +381,10 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     return whole.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(together, ENCODED)
 
 
-def bucketed(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` written to the shared folder in ``n`` buckets by chunk and read again; no name stays in the catalog."""
+def bucketed(rows: DataFrame, folder: str, n: int) -> DataFrame:
+    """``rows`` written to ``folder`` in ``n`` buckets by chunk and read again; no name stays in the catalog."""
     spark, name = rows.sparkSession, f"chunks_{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").option("path", work_dir(spark, "chunks")).bucketBy(n, "chunk").saveAsTable(name)
+    rows.write.option("compression", "zstd").option("path", folder).bucketBy(n, "chunk").saveAsTable(name)
     stored = spark.table(name)
     spark.sql(f"drop table {name}")  # the files of a table with a path of its own stay
     return stored
