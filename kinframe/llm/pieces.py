@@ -170,8 +170,8 @@ def mark_of(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-#: A chunk has one row of documents, and one of distinct units for each group that some of them go to.
-CHUNK_ROWS = "chunk long, docs array<long>, counts array<long>, marks binary, codes binary, dealt binary, grp int, units array<string>"
+#: A chunk has one row of documents, and one for each group that some of its distinct units go to: ``n`` of them, with ``sign`` between.
+CHUNK_ROWS = "chunk long, docs array<long>, counts array<long>, marks binary, codes binary, dealt binary, grp int, n int, sign string, units string"
 
 
 def chunks(docs: DataFrame, groups: int) -> DataFrame:
@@ -181,7 +181,7 @@ def chunks(docs: DataFrame, groups: int) -> DataFrame:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 33
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.string())]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         names = [c.split()[0] for c in CHUNK_ROWS.split(", ")]
         for b in by_bytes(batches, "text", CHUNK):
             chunk += 1
@@ -189,14 +189,16 @@ def chunks(docs: DataFrame, groups: int) -> DataFrame:
             units, codes, counts = cut(texts)
             marks = b"".join(mark_of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts)
             dealt = np.array([zlib.crc32(u) % groups for u in units.cast(pa.binary()).to_pylist()], np.int64)
-            head = [[chunk], [b.column("doc_id").to_pylist()], [counts], [marks], [squeezed(codes)], [squeezed(dealt)], [None], [None]]
+            head = [[chunk], [b.column("doc_id").to_pylist()], [counts], [marks], [squeezed(codes)], [squeezed(dealt)], [None], [None], [None], [None]]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(head, kinds, strict=True)], names=names)
             if len(units):
                 order = np.argsort(dealt, kind="stable")
-                first = np.flatnonzero(np.append(True, np.diff(dealt[order]) != 0))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), units.take(pa.array(order)))
-                rest = [pa.nulls(len(first), k) for k in kinds[1:6]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), chunk)), *rest, pa.array(dealt[order][first], pa.int32()), lists], names=names)
+                ends = np.append(np.flatnonzero(np.append(True, np.diff(dealt[order]) != 0)), len(order))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), units.take(pa.array(order)))
+                sign, m = free_sign(units), len(lists)
+                rest = [pa.nulls(m, k) for k in kinds[1:6]]
+                own = [pa.array(dealt[order][ends[:-1]], pa.int32()), pa.array(np.diff(ends), pa.int32()), pa.array([sign] * m, pa.string()), pc.binary_join(lists, sign)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), *rest, *own], names=names)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, CHUNK_ROWS)
@@ -291,10 +293,14 @@ def segment(units: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def looked_up(dealt: DataFrame, known: DataFrame) -> DataFrame:
-    """(chunk, grp, ids, sizes): the ids of ``dealt(chunk, grp, units)``, all of a row in one list, and how many each unit has."""
+    """(chunk, grp, ids, sizes): the ids of ``dealt(chunk, grp, sign, units)``, all of a row in one blob, and how many each unit has."""
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        lists = left.column("units").combine_chunks()
+        signs = left.column("sign").to_pylist()
+        if len(set(signs)) == 1:
+            lists = pc.split_pattern(left.column("units").combine_chunks(), signs[0])
+        else:
+            lists = pa.concat_arrays([pc.split_pattern(left.column("units").slice(k, 1).combine_chunks(), s) for k, s in enumerate(signs)])
         names = lists.flatten()
         long = pc.greater(pc.utf8_length(names), PART)
         if pc.any(long, min_count=0).as_py():
@@ -308,10 +314,10 @@ def looked_up(dealt: DataFrame, known: DataFrame) -> DataFrame:
         flat = ids.flatten().to_numpy()[gather(begin[at], sizes)]
         rows = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
         ends = np.concatenate([[0], np.cumsum(sizes)])[rows]
-        as_lists = lambda x, e: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, pa.int32()))
-        return pa.table([left.column("chunk"), left.column("grp"), as_lists(flat, ends), as_lists(sizes, rows)], names=["chunk", "grp", "ids", "sizes"])
+        blobs = lambda x, e: pa.array([squeezed(x[a:b]) for a, b in zip(e[:-1], e[1:], strict=True)], pa.binary())
+        return pa.table([left.column("chunk"), left.column("grp"), blobs(flat, ends), blobs(sizes, rows)], names=["chunk", "grp", "ids", "sizes"])
 
-    return dealt.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(together, "chunk long, grp int, ids array<int>, sizes array<int>")
+    return dealt.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(together, "chunk long, grp int, ids binary, sizes binary")
 
 
 def joined_texts(ids: pa.ListArray, spelled: pa.Array) -> pa.Array:
@@ -334,7 +340,7 @@ def filled(left: pa.Table, right: pa.Table, spelled: pa.Array) -> pa.Table:
     codes, dealt = unsqueezed(row["codes"].as_py()), unsqueezed(row["dealt"].as_py())
     counts = row["counts"].values.to_numpy()
     right = right.sort_by("grp")
-    flat, sizes = (right.column(c).combine_chunks().flatten().to_numpy() if right.num_rows else np.zeros(0, np.int32) for c in ("ids", "sizes"))
+    flat, sizes = (np.concatenate([np.zeros(0, np.int64), *(unsqueezed(x) for x in right.column(c).to_pylist())]) for c in ("ids", "sizes"))
     if len(sizes) != len(dealt):
         raise ValueError("units of a chunk are missing")
     order = np.argsort(dealt, kind="stable")
@@ -346,7 +352,7 @@ def filled(left: pa.Table, right: pa.Table, spelled: pa.Array) -> pa.Table:
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
     texts = joined_texts(lists, spelled)
     place = np.arange(len(ids)) - np.repeat(ends[:-1], np.diff(ends)) + 1
-    sums = np.concatenate([[0], np.cumsum((ids.astype(np.int64) + 1) * place % PRIME)])[ends]
+    sums = np.concatenate([[0], np.cumsum((ids + 1) * place % PRIME)])[ends]
     marks = row["marks"].as_py()
     trips = [mark_of(t.as_buffer().to_pybytes()) == marks[16 * k : 16 * k + 16] for k, t in enumerate(texts)]
     columns = [row["docs"].values, lists, texts, pa.array(counts), pa.array(np.diff(ends)), pa.array(np.diff(sums) % PRIME), pa.array(trips, pa.bool_())]
@@ -368,10 +374,11 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     folder = work_dir(spark, "chunks")
     stored = bucketed(chunks(docs, 8 * n), folder, n)
     # read past the buckets, which nothing here needs: both readers of the exchange then have one plan
-    lists = spark.read.schema(stored.schema).parquet(folder).where("grp is not null").select("chunk", "grp", "units")
-    total = lists.agg(F.sum(F.size("units"))).first()[0] or 0
+    lists = spark.read.schema(stored.schema).parquet(folder).where("grp is not null").select("chunk", "grp", "n", "sign", "units")
+    total = lists.agg(F.sum("n")).first()[0] or 0
+    lists = lists.drop("n")
     dealt = lists.repartition(max(n, min(8 * n, total // TASK_UNITS)), "grp")
-    known = segment(dealt.select("chunk", F.col("grp").alias("g"), F.explode_outer("units").alias("unit")).withColumnRenamed("g", "grp"), pieces)
+    known = segment(dealt.select("chunk", F.col("grp").alias("g"), F.explode_outer(F.split("units", F.col("sign"))).alias("unit")).withColumnRenamed("g", "grp"), pieces)
     back = looked_up(dealt, known)
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
