@@ -2,15 +2,19 @@
 
 Archives are written by Spark's own text sink: a record is text that ends in one
 line break fewer than the format asks, and the line separator adds that one. Files
-are read back as bytes and parsed by Content-Length. Each file gives a run of index
-entries sorted by (URL key, timestamp, page id); runs are dealt once by range, and in
-every range a loser tree merges the runs that reach it.
+are read back as bytes and parsed record by record, by Content-Length. Each file gives a
+run of index entries sorted by (URL key, timestamp, page id); runs are dealt once by
+range, Spark's own sort, which spills, puts the slices of a range's runs in order, and a
+loser tree merges them. Ranges hold about ``RANGE`` entries, so that a task's share is
+bounded whatever the size of the table.
 
 Defined cases: null html is an empty payload; null url gives the key ``-``; equal
 payloads of at least ``min_revisit`` bytes have one response, that of the least page
-id; null page ids are refused when archives are written (a record needs its id);
-repeated ids are refused by nothing but make equal records; an empty table gives an
-empty result.
+id. A page without an id has a record too (its id is made from URL and digest): it revisits
+the page of least id with its payload, or is a response where none has an id.
+Rows of one id are records of their own; if they are equal and have the least id of
+their payload, all are responses. An empty table gives an empty result; columns other
+than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -18,58 +22,65 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash, work_dir
 
 END = "\r\n"
 EPOCH = 1_700_000_000
-DIGESTS = "page_id long, payload_bytes long, payload_digest string"
+#: Index entries that a range is meant to hold, and bytes of records a file is.
+RANGE, FILE_BYTES = 100_000, 64 << 20
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest) of the UTF-8 html; bare base32 SHA-1."""
+def digest_of(payload: Column) -> Column:
+    """The bare base32 SHA-1 of UTF-8 text: 5 bytes are 8 digits of base 32, in the alphabet of RFC 4648."""
+    sha = F.sha1(payload)
+    fives = [F.lpad(F.conv(F.substring(sha, k, 10), 16, 32), 8, "0") for k in (1, 11, 21, 31)]
+    return F.translate(F.concat(*fives), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([base64.b32encode(hashlib.sha1(x).digest()).decode() for x in raw], pa.string())], names=["page_id", "payload_bytes", "payload_digest"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, DIGESTS)
+def with_digest(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, payload_bytes, payload_digest); null html is empty."""
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return plain.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": digest_of(F.col("html"))})
 
 
 def responses(found: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """``found`` with refers_to: null for responses, the response's page_id for revisits.
+    """Distinct (page_id, payload_digest) of ``found`` with refers_to: null for responses, the response's page_id for revisits.
 
-    The least id per digest is a combinable aggregate; the join back may be split by
-    adaptive execution where one payload is very common.
+    The least id per digest is a combinable aggregate; the join back has no payloads in it
+    and may be split by adaptive execution where one payload is very common.
     """
+    rows = found.groupBy("page_id", "payload_digest").agg(F.min("payload_bytes").alias("payload_bytes"))
     first = found.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first_id")
-    return found.join(first, "payload_digest", "left").select("page_id", "payload_bytes", "payload_digest", F.when((F.col("payload_bytes") >= min_revisit) & (F.col("page_id") != F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    refers = F.when((F.col("payload_bytes") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    return rows.join(first, "payload_digest", "left").select("page_id", "payload_digest", refers.alias("refers_to"))
 
 
 def stamp(page_id: Column) -> Column:
     """The capture time of a page: these tables have none, so a second per id from a fixed start."""
-    return F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(page_id, F.lit(1_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(1_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def record(payload: Column) -> Column:
     """The text of a record, without its last line break."""
     revisit = F.col("refers_to").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:uuid:00000000-0000-4000-8000-"), F.lpad(F.hex(c), 16, "0"), F.lit(">"))
+    unnamed = F.concat(F.lit("<urn:md5:"), F.md5(F.concat_ws(" ", "payload_digest", "url")), F.lit(">"))
     body = F.when(revisit, F.lit("")).otherwise(payload)
     head = [
         F.lit("WARC/1.1" + END + "WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
-        F.lit(END + "WARC-Record-ID: "), urn(F.col("page_id")),
+        F.lit(END + "WARC-Record-ID: "), F.coalesce(urn(F.col("page_id")), unnamed),
         F.lit(END + "WARC-Date: "), stamp(F.col("page_id")),
         F.lit(END + "WARC-Target-URI: "), F.regexp_replace(F.coalesce(F.col("url"), F.lit("-")), r"[\r\n]", "%0A"),
         F.lit(END + "WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-        F.lit(END + "X-Page-Id: "), F.col("page_id").cast("string"),
+        F.lit(END + "X-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("-")),
         F.lit(END + "X-Payload-Length: "), F.col("payload_bytes").cast("string"),
         F.when(revisit, F.concat(F.lit(END + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + END + "WARC-Refers-To: "), urn(F.col("refers_to")), F.lit(END + "X-Refers-To-Page: "), F.col("refers_to").cast("string"))).otherwise(F.lit("")),
         F.lit(END + "Content-Type: text/html; charset=utf-8" + END + "Content-Length: "), F.octet_length(body).cast("string"),
@@ -81,15 +92,16 @@ def record(payload: Column) -> Column:
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, records_per_file: int = 2000) -> None:
     """Write ``pages(page_id, url, html)`` as gzipped WARC files below ``folder``.
 
-    ``records_per_file`` bounds a file, and so the memory of the task that reads it.
+    A file has up to ``records_per_file`` records, fewer where their mean size asks so for ``FILE_BYTES``.
+    The payloads are exchanged once, by page and digest.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where("page_id is not null")
-    decided = responses(digests(pages), min_revisit)
-    # equal rows (repeated ids) would multiply in the join; one decision an id is enough
-    decided = decided.groupBy("page_id", "payload_bytes", "payload_digest").agg(F.min("refers_to").alias("refers_to"))
-    own = pages.withColumn("payload_bytes", F.octet_length(F.coalesce("html", F.lit(""))).cast("long"))
-    both = own.join(decided, ["page_id", "payload_bytes"])
-    both.select(record(F.coalesce(F.col("html"), F.lit(""))).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(folder)
+    own = with_digest(pages)
+    sized = stash(own.select("page_id", "payload_bytes", "payload_digest"), f"{folder}-sizes")
+    mean = sized.agg(F.avg("payload_bytes")).first()[0] or 0
+    decided = responses(sized, min_revisit).toDF("id", "digest", "refers_to")
+    both = own.join(decided, own["page_id"].eqNullSafe(decided["id"]) & (own["payload_digest"] == decided["digest"]))
+    per_file = max(1, min(records_per_file, int(FILE_BYTES / (mean + 1000))))
+    both.select(record(F.col("html")).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
 
 
 def url_key(url: str) -> str:
@@ -105,20 +117,23 @@ def url_key(url: str) -> str:
     return f"{','.join(reversed(host.split('.')))}{port}){u.path or '/'}{'?' + u.query if u.query else ''}".lower()
 
 
-def parse(blob: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header, payload) of each record of an uncompressed archive."""
+def parse(archive: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header, payload) of each record of an uncompressed archive; one record is held at a time."""
     at = 0
-    while at < len(blob):
-        stop = blob.index(b"\r\n\r\n", at)
-        lines = blob[at:stop].decode("utf-8").split(END)
-        if not lines[0].startswith("WARC/"):
+    while first := archive.readline():
+        if not first.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
+        head, length = {}, len(first)
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            length += len(line)
+            name, _, value = line.decode("utf-8").rstrip(END).partition(": ")
+            head[name] = value
         size = int(head["Content-Length"])
-        if blob[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
+        body = archive.read(size)
+        if len(body) != size or archive.read(4) != b"\r\n\r\n":
             raise ValueError(f"record at byte {at} is cut short")
-        yield at, head, blob[stop + 4 : stop + 4 + size]
-        at = stop + 8 + size
+        yield at, head, body
+        at += length + 2 + size + 4
 
 
 RUN = "url_key string, capture_ts string, page_id long, run string, at long, record_offset long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -137,8 +152,8 @@ def read_archives(spark, folder: str) -> DataFrame:
             for path, content in zip(b.column(0), b.column(1), strict=True):
                 rows = []
                 name = path.as_py().rsplit("/", 1)[-1]
-                for offset, head, body in parse(gzip.decompress(content.as_buffer())):
-                    kind, page = head["WARC-Type"], int(head["X-Page-Id"])
+                for offset, head, body in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())), 1 << 20)):
+                    kind, page = head["WARC-Type"], None if head["X-Page-Id"] == "-" else int(head["X-Page-Id"])
                     if kind == "response":
                         size, digest, refers = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), None
                         if "sha1:" + digest != head["WARC-Payload-Digest"]:
@@ -146,7 +161,7 @@ def read_archives(spark, folder: str) -> DataFrame:
                     else:
                         size, digest, refers = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Refers-To-Page"])
                     rows.append((url_key(head["WARC-Target-URI"]), head["WARC-Date"], page, offset, size, digest, kind, refers))
-                rows.sort(key=lambda r: r[:4])
+                rows.sort(key=lambda r: sort_key(*r[:4]))
                 c = list(zip(*rows, strict=True)) if rows else [()] * 8
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -184,14 +199,20 @@ def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
+def sort_key(url: str, ts: str, page: int | None, offset: int) -> tuple:
+    """Spark's order: a missing id comes first."""
+    return url, ts, page is not None, page or 0, offset
+
+
 def capture_histories(entries: DataFrame, partitions: int | None = None) -> DataFrame:
     """All entries in global order: by (part, seq), with the page captured before at the same URL key.
 
     One exchange by range of (url key, timestamp, page id), so a URL with very many
-    captures spreads over tasks. A task holds one range, which ``partitions`` bounds.
-    previous_page is null for a URL's first capture and at the start of a range.
+    captures spreads over tasks, and its history goes on from range to range: the last entry of
+    each (one row a range) is handed to the next. previous_page is null for a URL's first capture.
     """
-    n = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    spark = entries.sparkSession
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), entries.count() // RANGE + 1)
     names = [x.split()[0] for x in RUN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,18 +220,15 @@ def capture_histories(entries: DataFrame, partitions: int | None = None) -> Data
 
         from pyspark import TaskContext
 
-        slices: dict[str, list[tuple]] = {}
+        slices: dict[str, list[tuple]] = {}  # rows come sorted by run and place
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                slices.setdefault(row[3], []).append((row[4], row))
-        # the exchange keeps no order within a run: its positions restore it
-        runs = [[(r[0], r[1], r[2], r[5], r) for _, r in sorted(rows, key=lambda x: x[0])] for _, rows in sorted(slices.items())]
-        slices.clear()
+                slices.setdefault(row[3], []).append((sort_key(row[0], row[1], row[2], row[5]), row))
         part, seq, before = TaskContext.get().partitionId(), 0, (None, None)
-        merged = loser_tree_merge(runs)
+        merged = loser_tree_merge(list(slices.values()))
         while chunk := list(islice(merged, 10_000)):
             rows, more = [], []
-            for *_, r in chunk:
+            for _, r in chunk:
                 rows.append(r)
                 more.append((part, seq, before[1] if before[0] == r[0] else None))
                 before, seq = (r[0], r[2]), seq + 1
@@ -218,7 +236,12 @@ def capture_histories(entries: DataFrame, partitions: int | None = None) -> Data
             extra = [pa.array(c, t) for c, t in zip(zip(*more, strict=True), [pa.int32(), pa.int64(), pa.int64()], strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, "part", "seq", "previous_page"])
 
-    return entries.repartitionByRange(n, "url_key", "capture_ts", "page_id").mapInArrow(run, RUN + ", part int, seq long, previous_page long")
+    dealt = entries.repartitionByRange(n, "url_key", "capture_ts", "page_id").sortWithinPartitions("run", "at")
+    merged = stash(dealt.mapInArrow(run, RUN + ", part int, seq long, previous_page long"), work_dir(spark, "histories"))
+    last = merged.groupBy("part").agg(F.max_by(F.struct("url_key", "page_id"), "seq").alias("last"))
+    passed = last.select("part", F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("part")).alias("before")).where("before is not null")
+    goes_on = (F.col("seq") == 0) & (F.col("url_key") == F.col("before.url_key"))
+    return merged.join(F.broadcast(passed), "part", "left").select(*names, "part", "seq", F.when(goes_on, F.col("before.page_id")).otherwise(F.col("previous_page")).alias("previous_page"))
 
 
 def archive_and_index(pages: DataFrame, min_revisit: int = 0) -> DataFrame:

@@ -43,6 +43,26 @@ def test_odd_payloads_and_order(spark):
     assert warc.archive_and_index(df.filter("false")).count() == 0
 
 
+def test_null_and_repeated_ids_and_any_number_of_ranges(spark):
+    pages = [(None, "http://a.b/", "x"), (None, None, None), (1, "http://a.b/", "ab"), (1, "http://a.b/", "cd"), (4, "http://a.b/", "cd"), (4, "http://a.b/", "cd"), (None, "http://c.d/", "ab"), *((k, "http://hot.e/", "p" * (k % 5 + 3)) for k in range(10, 60))]
+    df = spark.createDataFrame([(*p, "u", 1) for p in pages], "page_id long, url string, html string, url_key string, payload_digest int")
+    warc.write_archives(df, folder := warc.work_dir(spark, "odd"), records_per_file=7)
+    entries = warc.read_archives(spark, folder)
+    least = {}
+    for p, _, html in pages:
+        if p is not None:
+            least[html] = min(p, least.get(html, p))
+    want = sorted((p or -1, len(h or ""), digest((h or "").encode()), least.get(h) if least.get(h) not in (None, p) else -1) for p, _, h in pages)
+    histories = []
+    for n in (1, 2, 9):
+        rows = sorted(warc.capture_histories(entries, n).collect(), key=lambda r: (r.part, r.seq))
+        assert sorted((r.page_id or -1, r.payload_bytes, r.payload_digest, r.refers_to or -1) for r in rows) == want
+        assert all((r.record_type == "revisit") == (r.refers_to is not None) for r in rows)
+        histories.append([(r.url_key, r.capture_ts, r.page_id, r.payload_digest, r.previous_page) for r in rows])
+    assert [sorted(map(str, h)) for h in histories] == [sorted(map(str, histories[0]))] * 3
+    assert [h[4] for h in histories[2] if h[0] == "e,hot)/"] == [None, *range(10, 59)]
+
+
 def test_revisits_only_from_a_size_on(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = index(warc.archive_and_index(df, min_revisit=3))
