@@ -25,7 +25,9 @@ one member.
 
 Defined cases: words are lower-cased and split at white space; a text of one to four
 words is one shingle; a text that is null or has no word links with nothing; null
-ids get a null component and are kept; repeated rows give repeated result rows; an
+ids get a null component and are kept; repeated rows give repeated result rows; unlike
+texts of one id are one member of the graph, linked to whatever one of them is like (in
+a bucket that stays crowded their shingles are counted together); an
 empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
@@ -39,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, stash, work_dir
+from .common import by_bytes, connected_components, stash, work_dir
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Registers of the signature of common shingles.
 COMMON = 128
+#: Bytes of text that are shingled at once; a longer text is taken alone.
+BATCH_BYTES = 3 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,26 +145,43 @@ def lanes(registers: np.ndarray) -> np.ndarray:
     return (nibbles.reshape(n, 8, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def lists(table: np.ndarray, has: np.ndarray) -> pa.ListArray:
-    """An Arrow list for each row of the table, null where ``has`` is false."""
-    offsets = pa.array(np.concatenate([[0], np.cumsum(has * table.shape[1])]).astype(np.int32), mask=np.append(~has, False))
-    return pa.ListArray.from_arrays(offsets, pa.array(table[has].ravel(), pa.int64()))
+def lists(table: np.ndarray, has: np.ndarray, more: np.ndarray | None = None, also: np.ndarray | None = None) -> pa.ListArray:
+    """An Arrow list for each row of the table, null where ``has`` is false; a row in ``also`` goes on with that of ``more``."""
+    size = has * table.shape[1]
+    if more is None:
+        flat = table[has].ravel()
+    else:
+        size = size + also * table.shape[1]
+        both = np.concatenate([table, more], axis=1)
+        flat = both[np.repeat(np.stack([has, has & also], axis=1), table.shape[1], axis=1)]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append(~has, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, words_md5, bands, lanes) for each row; null but for the id where a text has no word."""
+    """(doc_id, words_md5, bands, lanes) for each row; null but for the id where a text has no word.
+
+    A text whose shingles repeat has a second set of bands, made with equal weights: they find pairs
+    of high plain Jaccard. Without repeats all weights are equal and the two sets are one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = [(t or "").lower().split() for t in batch.column(1).to_pylist()]
-                owner, keys, counts = shingles(texts, hashes)
-                registers = prob_min_hash(owner, keys, weigh(counts), len(texts), bands * rows)
-                has = np.array([bool(t) for t in texts])
-                md5 = pa.array([hashlib.md5(" ".join(t).encode("utf-8", "replace")).digest() if t else None for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), md5, lists(band_hashes(registers, bands).view(np.int64), has), lists(lanes(registers), has)], names=["doc_id", "words_md5", "bands", "lanes"])
+        for batch in by_bytes(batches, 1, BATCH_BYTES):
+            texts = [(t or "").lower().split() for t in batch.column(1).to_pylist()]
+            owner, keys, counts = shingles(texts, hashes)
+            registers = prob_min_hash(owner, keys, weigh(counts), len(texts), bands * rows)
+            has = np.array([bool(t) for t in texts])
+            repeats = np.zeros(len(texts), bool)
+            repeats[owner[counts > 1]] = True
+            some = repeats[owner]
+            number = np.cumsum(repeats) - 1
+            plain = np.zeros_like(registers)
+            if some.any():
+                plain[repeats] = prob_min_hash(number[owner[some]], keys[some], np.ones(int(some.sum())), int(repeats.sum()), bands * rows)
+            md5 = pa.array([hashlib.md5(" ".join(t).encode("utf-8", "replace")).digest() if t else None for t in texts], pa.binary())
+            marks = lists(band_hashes(registers, bands).view(np.int64), has, band_hashes(plain, bands).view(np.int64), repeats)
+            yield pa.RecordBatch.from_arrays([batch.column(0), md5, marks, lists(lanes(registers), has)], names=["doc_id", "words_md5", "bands", "lanes"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, words_md5 binary, bands array<long>, lanes array<long>")
 
@@ -203,11 +224,9 @@ def shared_mass(texts: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                owner, keys, counts = shingles([(t or "").lower().split() for t in batch.column(1).to_pylist()], hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[owner]), pa.array(keys.view(np.int64)), pa.array(weigh(counts))], names=["id", "shingle", "c"])
+        for batch in by_bytes(batches, 1, BATCH_BYTES):
+            owner, keys, counts = shingles([(t or "").lower().split() for t in batch.column(1).to_pylist()], hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[owner]), pa.array(keys.view(np.int64)), pa.array(weigh(counts))], names=["id", "shingle", "c"])
 
     grams = stash(texts.select("doc_id", "text").mapInArrow(run, "id long, shingle long, c double"), folder)
     shared = grams.groupBy("shingle").agg((F.min("id") < F.max("id")).alias("both")).where("both")
@@ -259,14 +278,21 @@ def may_link(threshold: float, registers: int) -> Column:
 
 def first_common(a: str, b: str, bands: int) -> Column:
     """The first bucket that two texts share, by their lists of buckets; a pair is compared there only."""
-    return F.coalesce(*[F.when(F.col(a)[k] == F.col(b)[k], F.col(a)[k]) for k in range(bands)])
+    own, other = F.col(a), F.col(b)
+    second = lambda c, k: F.coalesce(F.get(c, F.lit(bands + k)), c[k])
+    meets = lambda x, y: F.when(x == y, x)
+    straight = [meets(own[k], other[k]) for k in range(bands)]
+    plain = [meets(second(own, k), second(other, k)) for k in range(bands)]
+    across = [F.least(meets(own[k], second(other, k)), meets(second(own, k), other[k])) for k in range(bands)]
+    return F.coalesce(*straight, *plain, *across)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = 24, rows: int = 5) -> DataFrame:
     """(doc_id, component_id, kept) for every row of ``docs(doc_id, text, ...)``.
 
     component_id is the least doc_id reachable over verified links, kept marks that document.
-    24 bands of 5 registers miss a pair of similarity 0.8 with probability 7e-5.
+    24 bands of 5 registers miss a pair of similarity 0.8 with probability 7e-5, be it a
+    probability Jaccard or, by the bands with equal weights, a plain one.
     Texts leave their scan once, for documents that share a bucket; later rounds read those.
     """
     folder = work_dir(docs.sparkSession, "neardup")
@@ -278,7 +304,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     shared = stash(hits.join(crowded, "bucket"), f"{folder}/shared")
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = stash(plain.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{folder}/texts")
+    # unlike texts of one id are all compared; equal ones once
+    texts = plain.join(wanted, "doc_id", "left_semi").withColumn("digest", F.md5("text")).dropDuplicates(["doc_id", "digest"])
+    texts = stash(texts.select("doc_id", "text"), f"{folder}/texts")
 
     pairs = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tested = stash(pairs, f"{folder}/pairs0")

@@ -95,6 +95,17 @@ def test_empty_repeated_and_null_ids(spark):
     assert got == [(1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_plain_jaccard_pairs_and_unlike_texts_of_one_id(spark):
+    rng, texts = random.Random(5), {}
+    for g in range(40):  # the same distinct shingles, one block repeated 1 or 50 times: plain Jaccard is near 1, probability Jaccard is not
+        block, rest = text(rng, 24), text(rng, 100)
+        texts |= {2 * g: f"{block} {rest}", 2 * g + 1: f"{' '.join([block] * 50)} {rest}"}
+    other = text(rng, 80)
+    rows = [*texts.items(), (500, text(rng, 80)), (500, other), (501, other + " end")]
+    got = {r.doc_id: r.component_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2 * g + k: 2 * g for g in range(40) for k in (0, 1)} | {500: 500, 501: 500}
+
+
 def test_long_text_is_not_cut():
     h = n.WordHashes()
     a = ["x", *[str(i) for i in range(60_000)]]
