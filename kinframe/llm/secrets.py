@@ -26,9 +26,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash, work_dir
+
 #: The base patterns, in the order of their kinds.
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -225,12 +227,22 @@ def gather(docs: DataFrame, sample: int, max_length: int) -> dict[str, list[str]
         rows = [(k, v, h) for k, mine in best.items() for v, h in heapq.nsmallest(sample, mine.items(), key=lambda x: (x[1], x[0]))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "value", "h"])
 
-    met = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, value string, h long").distinct()
-    order = Window.partitionBy("kind").orderBy("h", "value")
-    rows = met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).collect()
+    # each task's least hashes; those of all are found by counts of their leading bits, so that no task gets a whole kind
+    met = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, value string, h long")
+    met = stash(met, work_dir(docs.sparkSession, "labels")).distinct()
+    high = F.shiftright("h", 51)
+    enough, so_far = {}, Counter()
+    for r in sorted(met.groupBy("kind", high.alias("high")).count().collect(), key=lambda r: r["high"]):
+        if so_far[r["kind"]] < sample:
+            enough[r["kind"]] = r["high"]
+        so_far[r["kind"]] += r["count"]
+    if not enough:
+        return {}
+    low = met.where(high <= F.element_at(F.create_map(*[F.lit(x) for kv in enough.items() for x in kv]), F.col("kind"))).collect()
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["kind"], r["k"])):
-        out.setdefault(r["kind"], []).append(r["value"])
+    for r in sorted(low, key=lambda r: (r["kind"], r["h"], r["value"])):
+        if len(mine := out.setdefault(r["kind"], [])) < sample:
+            mine.append(r["value"])
     return out
 
 
