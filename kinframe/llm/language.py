@@ -24,7 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LETTER
+from .common import LETTER, by_bytes
+
+#: Bytes of text that are judged at once; a longer text is taken alone.
+BATCH_BYTES = 2 << 20
 
 ADDED = "lang_pred string, score double, rejected boolean"
 
@@ -35,15 +38,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn_dictionaries(labelled: DataFrame, sample_docs: int = 64, sample_chars: int = 20_000, dict_bytes: int = 110_000, max_languages: int = 500) -> dict[str, bytes]:
-    """Per language the lower-cased sample texts, cut to ``dict_bytes``; from (doc_id, text, lang)."""
-    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    """Per language the lower-cased sample texts, cut to ``dict_bytes``; from (text, lang), drawn by a hash of the text."""
+    rows = labelled.select("text", "lang").where("lang is not null and text is not null")
     usable = rows.where(f"length(text) between 1 and {int(sample_chars)}")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return {}
-    draw = F.xxhash64(F.col("doc_id"), F.length("text"))
+    draw = F.xxhash64("text")
     # keep about four times the sample by a threshold on the draw, so that ranking is small
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * sample_docs / n))])
     near = usable.withColumn("draw", draw).where((F.shiftrightunsigned("draw", 11).cast("double") / F.lit(float(1 << 53))) <= F.element_at(share, F.col("lang")))
@@ -97,21 +100,19 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
         import numpy as np
 
         compressors = coders(contents, level)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                texts = batch.column(names.index("text")).to_pylist()
-                good = [i for i, t in enumerate(texts) if langs and t is not None and LETTER.search(t)]
-                pred, score = ["und"] * len(texts), [0.0] * len(texts)
-                if good:
-                    table = sizes([texts[i].lower().encode("utf-8", "replace") for i in good], compressors, block)
-                    best = table.argmin(axis=1)
-                    low = table.min(axis=1)
-                    rest = np.partition(table, 1, axis=1)[:, 1] if len(langs) > 1 else low * 2
-                    margin = np.clip((rest - low) / np.maximum(rest, 1), 0, 1)
-                    for i, b, m in zip(good, best, margin, strict=True):
-                        pred[i], score[i] = langs[b], float(m)
-                rejected = [p == "und" or s < min_margin for p, s in zip(pred, score, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
+        for batch in by_bytes(batches, names.index("text"), BATCH_BYTES):
+            texts = batch.column(names.index("text")).to_pylist()
+            good = [i for i, t in enumerate(texts) if langs and t is not None and LETTER.search(t)]
+            pred, score = ["und"] * len(texts), [0.0] * len(texts)
+            if good:
+                table = sizes([texts[i].lower().encode("utf-8", "replace") for i in good], compressors, block)
+                best = table.argmin(axis=1)
+                low = table.min(axis=1)
+                rest = np.partition(table, 1, axis=1)[:, 1] if len(langs) > 1 else low * 2
+                margin = np.clip((rest - low) / np.maximum(rest, 1), 0, 1)
+                for i, b, m in zip(good, best, margin, strict=True):
+                    pred[i], score[i] = langs[b], float(m)
+            rejected = [p == "und" or s < min_margin for p, s in zip(pred, score, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
     return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)
