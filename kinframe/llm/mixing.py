@@ -2,11 +2,11 @@
 
 Tokens are counted per source, each source gets a share of the token budget by
 weight, no source above ``max_rate`` times its own size, and every document is
-emitted floor(rate) times plus one copy drawn by a hash of its id.
+emitted floor(rate) times plus one copy drawn by a hash of its id and text.
 
 Defined cases: null text has size 0; null source is a source of its own, last in
 order; a source of size 0 gets target 0 and rate 0; an empty table gives an empty
-result; repeated ids get the same draw; other columns pass through untouched, and
+result; rows of one id and text get the same draw, and only those; other columns pass through untouched, and
 the added columns replace columns of the same names.
 """
 
@@ -19,9 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 PLAN = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
-def unit_draw(key: Column, seed: str) -> Column:
-    """A number in [0, 1) that only the key and the seed decide."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def unit_draw(seed: str, *keys: Column) -> Column:
+    """A number in [0, 1) that only the keys and the seed decide."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, max_rate: float) -> DataFrame:
@@ -64,7 +64,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: floa
     sized = docs.withColumn("size", size)
     out = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("rate") + F.when(unit_draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = F.floor("rate") + F.when(unit_draw(seed, F.col("doc_id"), F.md5(F.col("text").cast("string"))) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return out.withColumn("rate", rate).withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
