@@ -320,17 +320,26 @@ def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     homes, places = n, 2 * n
     same = F.md5("text")
-    mark = F.xxhash64("doc_id", same).bitwiseAND((1 << 62) - 1)
     home = (F.col("mark") % homes).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     # a copy: a text whose digest some smaller id has; only digests and ids are exchanged for this
-    digests = rows.where("doc_id is not null").select("doc_id", same.alias("same"), mark.alias("mark"))
+    for seed in range(16):
+        # a mark stands for one id and text; where two pairs got one number, others are drawn
+        mark = F.xxhash64(F.lit(seed), "doc_id", same).bitwiseAND((1 << 62) - 1)
+        every = stash(rows.select("doc_id", same.alias("same"), mark.alias("mark")), work_dir(spark, "digests"))
+        pair = F.struct("doc_id", "same")
+        if not every.groupBy("mark").agg(F.min(pair).alias("low"), F.max(pair).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).take(1):
+            break
+    else:
+        raise RuntimeError("no draw of marks is free of collisions")
+    digests = every.where("doc_id is not null")
     firsts = digests.groupBy("same").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")).where("least_id < most_id")
     copies = stash(digests.join(firsts, "same").where("doc_id > least_id").select("mark").distinct().select(home.alias("home"), "mark"), work_dir(spark, "copies"))
     name = f"texts_{uuid.uuid4().hex}"
     table = rows.withColumn("mark", mark).select(home.alias("home"), "mark", "doc_id", "text")
     table.repartition(n, "home").write.option("compression", "zstd").option("path", work_dir(spark, "texts")).bucketBy(n, "home").saveAsTable(name)
     stored = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files of a table with a path of its own stay
     positions = shared_runs(hash_runs(stored, copies, places), homes)
     return stored, copies, fetch(stored, positions), homes
 
