@@ -10,6 +10,7 @@ pieces     texts are encoded to pieces and decoded again; the last stage
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinframe.llm import language, mixing, neardup, pieces, secrets
 from kinframe.llm.common import columns_or_null, stash, work_dir
@@ -25,12 +26,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group, one row of it; rows without an id all stay."""
+    """Keep the document of least id of each group, one row of each of its texts; rows without an id all stay."""
     docs = columns_or_null(docs, DOCUMENTS)
     dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti")
     # rows of one id: exchanged with the text only here, where the join has dealt them by id already
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*DOCUMENTS)
+    own = left.where("doc_id is not null").withColumn("_digest", F.md5("text")).dropDuplicates(["doc_id", "_digest"]).select(*DOCUMENTS)
+    return own.unionByName(docs.where("doc_id is null")).select(*DOCUMENTS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
