@@ -3,8 +3,9 @@
 All equal strings of ``least`` bytes meet in one place: the minimiser of a window of
 that length (its least hashed 16-byte gram) depends on the window alone, so windows
 are dealt by the hash of their minimiser. Consecutive windows of one minimiser are a
-run. First only hashes travel; runs whose hash occurs in one document are dropped.
-Of the others the bytes travel, and each place builds the suffix array of its
+run. First only hashes travel, each once a home; runs whose hash occurs in one document
+are dropped. Of the others the bytes travel, of equal runs of a home those of its least id
+(the others are removable as they are), and each place builds the suffix array of its
 windows with their common prefix lengths, scans it with a stack for the tree of
 common-prefix intervals, and keeps intervals whose occurrences differ in what
 precedes them: the maximal repeats there, with all occurrences. A repeat that goes on
@@ -27,9 +28,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,34 +114,65 @@ def packed(array: np.ndarray, kind: str) -> bytes:
     return array.astype(kind).tobytes()
 
 
-HASH_ROWS = "place int, marks binary, runs binary, hash binary, start binary, count binary"
-POSITION_ROWS = "home int, place int, marks binary, start binary, count binary"
-SNIPPET_ROWS = "place int, ids binary, marks binary, start binary, count binary, bytes binary"
+#: What homes tell places (values they have; whether several documents of theirs do), and places tell homes (values that are shared).
+HASH_ROWS = "home int, place int, hash binary, several binary"
+SHARED_ROWS = "home int, place int, hash binary, marks binary"
+#: Snippets for a place, or (place null) what a home can cut by itself.
+SNIPPET_ROWS = "place int, ids binary, marks binary, start binary, count binary, bytes binary, home int, stop binary"
 CUT_ROWS = "home int, marks binary, start binary, stop binary"
 
 
+def home_runs(left: pa.Table, copied: set[int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the texts of a home but copies and those without an id, by parts: (text number, start, windows, minimiser hash, the part's bytes, where in it)."""
+    if not left.num_rows:
+        return
+    marks, known = left.column("mark").to_pylist(), left.column("doc_id").is_valid().to_pylist()
+    texts = left.column("text").combine_chunks()
+    own = np.array([i for i, m in enumerate(marks) if m not in copied and known[i]], dtype=np.int64)
+    for numbers, offsets, joined, lengths in pieces(texts[i].as_buffer().to_pybytes() for i in own.tolist()):
+        data = np.frombuffer(joined, np.uint8)
+        owner, start, count, value = runs_of(data, lengths)
+        at = (np.cumsum(lengths) - lengths)[owner] + start
+        yield own[np.array(numbers)[owner]], start + np.array(offsets)[owner], count, value, data, at
+
+
+@lru_cache(maxsize=2)
+def powers(base: int) -> np.ndarray:
+    """Powers (modulo 2**64) for all positions of a part."""
+    out = np.full(PIECE + LEAST + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def run_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes (modulo 2**64) of the strings of ``size`` bytes that start at ``at``: from sums over prefixes, in powers of the inverse base."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(TABLE[data] * powers(pow(BASE, -1, 1 << 64))[: len(data)], dtype=np.uint64)])
+        return mix64((sums[at + size] - sums[at]) * powers(BASE)[at] + size.astype(np.uint64))
+
+
+def places_of(value: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of a minimiser's hash, and 32 further bits of it."""
+    return (value % np.uint64(places)).astype(np.int64), (value >> np.uint64(32)).astype(np.uint32)
+
+
 def hash_runs(texts: DataFrame, copies: DataFrame, places: int) -> DataFrame:
-    """HASH_ROWS of a home: the runs that go to one place, by text, hashes cut to 32 further bits; copies have none."""
+    """HASH_ROWS of a home: each minimiser once, however often it occurs there; copies have none."""
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = []
-        copied = set(right.column("mark").to_pylist())
-        marks = left.column("mark").to_numpy() if left.num_rows else np.zeros(0, np.int64)
-        known = left.column("doc_id").is_valid().to_pylist() if left.num_rows else []
-        texts = left.column("text").combine_chunks() if left.num_rows else []
-        own = [i for i, m in enumerate(marks.tolist()) if m not in copied and known[i]]
-        for numbers, offsets, joined, lengths in pieces(texts[i].as_buffer().to_pybytes() for i in own):
-            owner, start, count, value = runs_of(np.frombuffer(joined, np.uint8), lengths)
-            held.append((marks[np.array(own)[np.array(numbers)[owner]]], start + np.array(offsets)[owner], count, value))
+        home = (left if left.num_rows else right).column("home")[0].as_py()
+        held = [(number, value) for number, _, _, value, _, _ in home_runs(left, set(right.column("mark").to_pylist()))]
         rows = []
         if held:
-            mark, start, count, value = (np.concatenate(x) for x in zip(*held, strict=True))
-            place = (value % np.uint64(places)).astype(np.int64)
-            order = np.lexsort((mark, place))
-            for part in split_by(place, order):
-                text, runs = np.unique(mark[part], return_counts=True)
-                rows.append((int(place[part[0]]), packed(text, "<i8"), packed(runs, "<i4"), packed(value[part] >> np.uint64(32), "<u4"), packed(start[part], "<i4"), packed(count[part], "u1")))
-        return binary_rows(rows, ("place",), ("marks", "runs", "hash", "start", "count"))
+            number, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((number, value))
+            number, value = number[order], value[order]
+            first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            several = np.minimum.reduceat(number, first) < np.maximum.reduceat(number, first)
+            place, hash_ = places_of(value[first], places)
+            for part in split_by(place, np.argsort(place, kind="stable")):
+                rows.append((home, int(place[part[0]]), packed(hash_[part], "<u4"), packed(several[part], "u1")))
+        return binary_rows(rows, ("home", "place"), ("hash", "several"))
 
     return texts.groupBy("home").cogroup(copies.groupBy("home")).applyInArrow(together, HASH_ROWS)
 
@@ -158,52 +192,82 @@ def joined_columns(table: pa.Table, kinds: dict[str, str]) -> dict[str, np.ndarr
     return {c: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=k) for c, k in kinds.items()}
 
 
-def shared_runs(rows: DataFrame, homes: int) -> DataFrame:
-    """POSITION_ROWS of runs whose hash occurs in two documents or more, dealt to the homes of their texts."""
+def shared_values(rows: DataFrame) -> DataFrame:
+    """SHARED_ROWS of the values that two documents or more have, for each home that has them."""
 
     def reduce(table: pa.Table) -> pa.Table:
-        place = table.column("place")[0].as_py()
-        got = joined_columns(table, {"hash": "<u4", "start": "<i4", "count": "u1"})
-        marks = np.concatenate([np.repeat(np.frombuffer(m, "<i8"), np.frombuffer(r, "<i4")) for m, r in zip(table.column("marks").to_pylist(), table.column("runs").to_pylist(), strict=True)])
+        place, homes = table.column("place")[0].as_py(), table.column("home").to_numpy()
+        got = joined_columns(table, {"hash": "<u4", "several": "u1"})
+        home = np.repeat(homes, [len(x) // 4 for x in table.column("hash").to_pylist()])
         order = np.argsort(got["hash"], kind="stable")
-        value, by = got["hash"][order], marks[order]
+        value = got["hash"][order]
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        shared = np.minimum.reduceat(by, first) < np.maximum.reduceat(by, first)
-        keep = np.sort(order[np.repeat(shared, np.diff(np.append(first, len(value))))])
-        marks, start, count = marks[keep], got["start"][keep], got["count"][keep]
-        home = marks % homes
-        out = [(int(home[part[0]]), place, packed(marks[part], "<i8"), packed(start[part], "<i4"), packed(count[part], "u1")) for part in split_by(home, np.argsort(home, kind="stable"))]
-        return binary_rows(out, ("home", "place"), ("marks", "start", "count"))
-
-    return rows.groupBy("place").applyInArrow(reduce, POSITION_ROWS)
-
-
-def text_index(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts of a home: sorted marks, their ids, where each begins and its length, and all bytes joined."""
-    marks = table.column("mark").to_numpy()
-    texts = [t.as_buffer().to_pybytes() for t in table.column("text").combine_chunks()] if table.num_rows else []
-    order = np.argsort(marks, kind="stable")
-    lengths = np.array([len(texts[i]) for i in order], dtype=np.int64)
-    joined = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
-    return marks[order], table.column("doc_id").to_numpy()[order], np.cumsum(lengths) - lengths, lengths, joined
-
-
-def fetch(texts: DataFrame, positions: DataFrame) -> DataFrame:
-    """SNIPPET_ROWS: the bytes of the runs of ``positions``, dealt back to their places."""
+        size = np.diff(np.append(first, len(value)))
+        shared = (size > 1) | (np.maximum.reduceat(got["several"][order], first) > 0)
+        keep = order[np.repeat(shared, size)]
+        out = [(int(home[part[0]]), place, packed(got["hash"][part], "<u4"), b"") for part in (keep[x] for x in split_by(home[keep], np.argsort(home[keep], kind="stable")))]
+        return binary_rows(out, ("home", "place"), ("hash", "marks"))
+
+    return rows.groupBy("place").applyInArrow(reduce, SHARED_ROWS)
+
+
+def least_of_equals(joined: np.ndarray, at: np.ndarray, size: np.ndarray, value: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each string (``size`` bytes at ``at``) the least id of those that equal it, byte by byte, among those of its hash ``value``."""
+    order = np.lexsort((ids, value))
+    new = np.append(True, value[order][1:] != value[order][:-1]) if len(order) else np.zeros(0, bool)
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    wide = int(size.max()) if len(size) else 1
+    grid = np.lib.stride_tricks.sliding_window_view(np.concatenate([joined, np.zeros(wide, np.uint8)]), wide)
+    out = ids.copy()
+    for s in range(0, len(order), 50_000):
+        a, b = order[s : s + 50_000], lead[s : s + 50_000]
+        unlike = (grid[at[a]] != grid[at[b]]) & (np.arange(wide)[None, :] < size[a][:, None])
+        equal = (size[a] == size[b]) & ~unlike.any(axis=1)
+        out[a[equal]] = ids[b[equal]]
+    return out
+
+
+def fetch(texts: DataFrame, shared: DataFrame, places: int, combine: bool) -> DataFrame:
+    """SNIPPET_ROWS: the bytes of the runs whose minimiser is shared.
+
+    ``combine``: of equal runs of a home only those of the least id go to their place; the others are cut here. So a
+    passage that very many documents have meets in its place as often as there are homes, not documents.
+    """
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            known, ids, begin, _, joined = text_index(left)
-            for place, m, s, c in zip(*(right.column(x).to_pylist() for x in ("place", "marks", "start", "count")), strict=True):
-                marks, start, count = np.frombuffer(m, "<i8"), np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(c, "u1").astype(np.int64)
-                at = np.searchsorted(known, marks)
-                size = count + LEAST - 1
-                source = np.repeat(begin[at] + start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                out.append((place, packed(ids[at], "<i8"), m, s, c, joined[source].tobytes()))
-        return binary_rows(out, ("place",), ("ids", "marks", "start", "count", "bytes"))
-
-    return texts.groupBy("home").cogroup(positions.groupBy("home")).applyInArrow(together, SNIPPET_ROWS)
+        rows = []
+        values = [(p, np.frombuffer(h, "<u4")) for p, h in zip(right.column("place").to_pylist(), right.column("hash").to_pylist(), strict=True) if p is not None]
+        if left.num_rows and values:
+            home = left.column("home")[0].as_py()
+            copied = {m for x in right.column("marks").to_pylist() for m in np.frombuffer(x, "<i8").tolist()}
+            wanted = np.unique(np.concatenate([h.astype(np.uint64) | np.uint64(p << 32) for p, h in values]))
+            held = []
+            for number, start, count, value, data, at in home_runs(left, copied):
+                place, hash_ = places_of(value, places)
+                key = hash_.astype(np.uint64) | (place.astype(np.uint64) << np.uint64(32))
+                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+                held.append((number[hit], start[hit], count[hit], run_hashes(data, at[hit], count[hit] + LEAST - 1), place[hit]))
+            number, start, count, content, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            marks, ids = left.column("mark").to_numpy(), left.column("doc_id").fill_null(0).to_numpy()
+            text = left.column("text").combine_chunks()
+            sizes = pc.binary_length(text).to_numpy().astype(np.int64)
+            joined = np.frombuffer(b"".join(t.as_buffer().to_pybytes() for t in text), np.uint8)
+            at, size, by = (np.cumsum(sizes) - sizes)[number] + start, count + LEAST - 1, ids[number]
+            later = np.flatnonzero(by > least_of_equals(joined, at, size, content, by)) if combine else np.zeros(0, np.int64)
+            if len(later):
+                order = later[np.lexsort((start[later], marks[number[later]]))]
+                rows.append((None, b"", packed(marks[number[order]], "<i8"), packed(start[order], "<i4"), b"", b"", home, packed((start + size)[order], "<i4")))
+            sent = np.ones(len(number), bool)
+            sent[later] = False
+            go = np.flatnonzero(sent)
+            for part in split_by(place, go[np.argsort(place[go], kind="stable")]):
+                n = size[part]
+                source = np.repeat(at[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                rows.append((int(place[part[0]]), packed(by[part], "<i8"), packed(marks[number[part]], "<i8"), packed(start[part], "<i4"), packed(count[part], "u1"), joined[source].tobytes(), None, b""))
+        c = list(zip(*rows, strict=True)) if rows else [()] * 8
+        return pa.table({n.split()[0]: pa.array(x, pa.int32() if n.endswith("int") else pa.binary()) for n, x in zip(SNIPPET_ROWS.split(", "), c, strict=True)})
+
+    return texts.groupBy("home").cogroup(shared.groupBy("home")).applyInArrow(together, SNIPPET_ROWS)
 
 
 def candidate_windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +356,7 @@ def opened(table: pa.Table):
 
 
 def removable(snippets: DataFrame, homes: int) -> DataFrame:
-    """CUT_ROWS: of every occurrence, the longest repeat that a smaller id has too."""
+    """CUT_ROWS: of every occurrence, the longest repeat that a smaller id has too; with what homes cut by themselves."""
 
     def reduce(table: pa.Table) -> pa.Table:
         data, begin, count, ids, marks, start = opened(table)
@@ -308,10 +372,11 @@ def removable(snippets: DataFrame, homes: int) -> DataFrame:
         out = [(int(home[part[0]]), packed(marks[part], "<i8"), packed(low[part], "<i4"), packed(stop[part], "<i4")) for part in split_by(home, np.lexsort((low, marks, home)))]
         return binary_rows(out, ("home",), ("marks", "start", "stop"))
 
-    return snippets.groupBy("place").applyInArrow(reduce, CUT_ROWS)
+    at_home = snippets.where("place is null").select("home", "marks", "start", "stop")
+    return snippets.where("place is not null").groupBy("place").applyInArrow(reduce, CUT_ROWS).union(at_home)
 
 
-def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def prepared(docs: DataFrame, combine: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """The bucketed table of texts, the copies among them, the snippets of all shared runs, and the number of homes.
 
     Texts are exchanged once, for the table; rows of packed arrays number homes times places.
@@ -340,8 +405,11 @@ def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     table.repartition(n, "home").write.option("compression", "zstd").option("path", work_dir(spark, "texts")).bucketBy(n, "home").saveAsTable(name)
     stored = spark.table(name)
     spark.sql(f"drop table {name}")  # the files of a table with a path of its own stay
-    positions = shared_runs(hash_runs(stored, copies, places), homes)
-    return stored, copies, fetch(stored, positions), homes
+    shared = shared_values(hash_runs(stored, copies, places))
+    nothing = F.lit(None).cast("int")
+    known_copies = copy_cuts(copies).select("home", nothing.alias("place"), F.lit(b"").alias("hash"), "marks")
+    snippets = stash(fetch(stored, shared.union(known_copies), places, combine), work_dir(spark, "snippets"))
+    return stored, copies, snippets, homes
 
 
 def copy_cuts(copies: DataFrame) -> DataFrame:
@@ -366,7 +434,7 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
         c = list(zip(*rows, strict=True)) if rows else [()] * 5
         return pa.table([pa.array(x, pa.int64()) for x in c], names=["repeat_id", "n_occurrences", "n_bytes", "doc_id", "start"])
 
-    return prepared(docs)[2].groupBy("place").applyInArrow(reduce, "repeat_id long, n_occurrences long, n_bytes long, doc_id long, start long")
+    return prepared(docs, combine=False)[2].groupBy("place").applyInArrow(reduce, "repeat_id long, n_occurrences long, n_bytes long, doc_id long, start long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -53,6 +53,31 @@ def test_empty_repeated_and_null_ids(spark):
     assert sorted((x.doc_id or -1, x.n_removed) for x in got) == [(-1, 0), (1, 0), (1, 0), (2, 108)]
 
 
+def test_a_passage_of_very_many_documents_and_very_long_texts(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    passage, other = (" ".join(word() for _ in range(60)) for _ in range(2))
+    docs = [(d, f"{word()} {passage} {word()} {other[d % 40 :]}") for d in range(3000)]
+    docs += [(4000, " ".join(word() for _ in range(150_000))), (4001, "x " + passage * 4000)]  # beyond the size of a part
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in r.remove_repeats(df).collect())
+    assert got == brute(docs)
+    snippets = r.prepared(df)[2].where("place is not null")
+    most = max(sum(len(b) // 8 for b in x.all) for x in snippets.groupBy("place").agg({"ids": "collect_list"}).withColumnRenamed("collect_list(ids)", "all").collect())
+    assert most < 30_000  # 4,001 repeats one passage in itself; 3,000 documents count once a home
+
+
+def test_equal_runs_are_found_byte_by_byte():
+    data = np.frombuffer(b"abcabdabcabcd", np.uint8)
+    at, size = np.array([0, 3, 6, 9, 9]), np.array([3, 3, 3, 3, 4])
+    value, ids = np.zeros(5, np.uint64), np.array([5, 4, 3, 2, 1])  # one hash for all: only equal bytes count
+    got = r.least_of_equals(data, at, size, value, ids)
+    assert got.tolist() == [5, 4, 3, 2, 1]
+    same = r.run_hashes(data, at, size)
+    assert same[0] == same[2] == same[3] != same[1] and same[4] not in same[:4]
+    assert r.least_of_equals(data, at, size, same, ids).tolist() == [2, 4, 2, 2, 1]
+
+
 def test_runs_cover_every_window_once():
     data = np.random.default_rng(2).integers(97, 100, 5000).astype(np.uint8)
     lengths = np.array([0, 49, 50, 51, 1000, 3850])
