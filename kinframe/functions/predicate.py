@@ -53,11 +53,15 @@ OTHERS = ("like", "contains", "in", "between", "is null", "is not null")
 
 @dataclass(frozen=True)
 class Cmp(Tree):
-    """``left op right``; a side is a column name (left), Col, Column or constant; between: (low, high)."""
+    """``left op right``; a side is a column name (left), Col, Column or constant; between: (low, high).
+
+    ``ci`` compares text without case, as a database with such a collation does: both sides are lowered.
+    """
 
     left: Any
     op: str
     right: Any = None
+    ci: bool = False
 
 
 class _Many(Tree):
@@ -121,20 +125,21 @@ def _compare(c: Cmp) -> Column:
             raise ValueError(f"{c.op} with null has no meaning")
         one = side(c.left, True) if c.right is None else side(c.right, True)
         return one.isNull() if op == "=" else one.isNotNull()
-    left = side(c.left, True)
+    fold = F.lower if c.ci else lambda x: x
+    left = fold(side(c.left, True))
     if op == "like":
-        return left.like(c.right)
+        return left.like(c.right.lower() if c.ci else c.right)
     if op == "contains":
-        return left.contains(side(c.right))
+        return left.contains(fold(side(c.right)))
     if op == "in":
         values = list(c.right)
         if any(v is None for v in values):
             raise ValueError("a list for IN holds null")
-        return left.isin(values)
+        return left.isin([v.lower() for v in values] if c.ci else values)
     if op == "between":
         low, high = c.right
-        return left.between(side(low), side(high))
-    return COMPARE[op](left, side(c.right))
+        return left.between(fold(side(low)), fold(side(high)))
+    return COMPARE[op](left, fold(side(c.right)))
 
 
 def where(df: DataFrame, *trees: Any) -> DataFrame:

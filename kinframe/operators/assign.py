@@ -8,10 +8,11 @@ lowest subset of options.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: 2**16 subsets at most are tried for a workload.
 MOST_OPTIONS = 16
 
@@ -35,18 +36,28 @@ def numbered(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells.join(options, ["workload", "option"]), sizes.join(queries, "workload")
 
 
-def subset_choices(cells: DataFrame, limits: DataFrame) -> DataFrame:
-    """The best option of each (workload, subset, query), for subsets of exactly min(max_options, options) options.
+def _answers(placed: DataFrame, sizes: DataFrame, limits: DataFrame) -> DataFrame:
+    """(workload, objective, used, picks): the cheapest assignment of each workload under max_options alone.
 
-    A larger subset is never worse without a memory limit, so smaller ones need no trial.
+    Subsets of exactly min(max_options, options) options are tried: a larger one is never worse without a
+    memory limit. Each subset's picks ride along as an array of one entry a query, so the choice is made once.
     """
-    placed, sizes = numbered(cells)
     sized = sizes.join(limits.select("workload", "max_options"), "workload").filter("max_options >= 1")
     refused = F.assert_true(F.col("n_options") <= MOST_OPTIONS, F.lit(f"a workload has more than {MOST_OPTIONS} options"))
     bits = F.least("max_options", "n_options").cast("int")
-    subsets = sized.filter(refused.isNull()).select("workload", "n_queries", bits.alias("bits"), F.expr("explode(sequence(1, shiftleft(1, CAST(n_options AS INT)) - 1))").alias("subset")).filter(F.bit_count("subset") == F.col("bits"))
+    every = F.sequence(F.lit(1), F.expr("shiftleft(1, CAST(n_options AS INT)) - 1"))
+    subsets = sized.filter(refused.isNull()).select("workload", "n_queries", F.explode(F.filter(every, lambda x: F.bit_count(x) == bits)).alias("subset"))
     met = placed.join(subsets, "workload").filter(F.getbit(F.col("subset"), F.col("bit")) == 1)
-    return met.groupBy("workload", "n_queries", "subset", "query").agg(F.min(F.struct("cost", "option", "mem", "bit")).alias("best"))
+    best = met.groupBy("workload", "n_queries", "subset", "query").agg(F.min(F.struct("cost", "option", "mem")).alias("b"))
+    pick = F.struct("query", F.col("b.option").alias("option"), F.col("b.cost").alias("cost"), F.col("b.mem").alias("mem"))
+    whole = best.groupBy("workload", "n_queries", "subset").agg(F.sort_array(F.collect_list(pick)).alias("picks")).filter(F.size("picks") == F.col("n_queries"))
+    sums = whole.select("workload", F.struct(_sum("picks", "cost", "double").alias("objective"), "subset", "picks").alias("w"))
+    return sums.groupBy("workload").agg(F.min("w").alias("w")).select("workload", "w.objective", _sum("w.picks", "mem", "long").alias("used"), "w.picks")
+
+
+def _sum(picks: str, field: str, kind: str) -> Column:
+    """The sum of a field over picks, in their order."""
+    return F.aggregate(F.col(picks), F.lit(0).cast(kind), lambda a, p: a + p[field])
 
 
 def cheapest(measurements: DataFrame, weights: DataFrame, limits: DataFrame) -> DataFrame:
@@ -55,68 +66,52 @@ def cheapest(measurements: DataFrame, weights: DataFrame, limits: DataFrame) ->
     One row per (workload, query): option, cost, mem, objective (the workload's sum). Workloads
     without a full assignment have no row; see ``assignment`` for their status.
     """
-    cells = weighted(measurements, weights)
-    choice = subset_choices(cells, limits)
-    totals = choice.groupBy("workload", "subset").agg(F.sum("best.cost").alias("objective"), F.count(F.lit(1)).alias("n"), F.first("n_queries").alias("n_queries")).filter("n = n_queries")
-    winner = totals.groupBy("workload").agg(F.min(F.struct("objective", "subset")).alias("w")).select("workload", "w.objective", "w.subset")
-    return choice.join(winner, ["workload", "subset"]).select("workload", "query", F.col("best.option").alias("option"), F.col("best.cost").alias("cost"), F.col("best.mem").alias("mem"), "objective")
-
-
-def _knapsack(cells: pd.DataFrame, max_options: int, max_mem: float, most_states: int) -> tuple[str, float, dict]:
-    """Least cost under a memory budget: a fold over queries that keeps undominated (cost, mem) states per option set."""
-    states: dict[frozenset, list[tuple[float, int, tuple]]] = {frozenset(): [(0.0, 0, ())]}
-    for query, rows in cells.sort_values(["query", "option"]).groupby("query", sort=True):
-        grown: dict[frozenset, list[tuple[float, int, tuple]]] = {}
-        for used, kept in states.items():
-            for option, cost, mem in zip(rows["option"], rows["cost"], rows["mem"], strict=True):
-                now = used | {option}
-                if len(now) <= max_options:
-                    grown.setdefault(now, []).extend((c + cost, m + mem, (*way, (query, option, cost, mem))) for c, m, way in kept if m + mem <= max_mem)
-        states, total = {}, 0
-        for used, found in grown.items():
-            best, front = None, []
-            for c, m, way in sorted(found, key=lambda s: s[:2]):
-                if best is None or m < best:
-                    front.append((c, m, way))
-                    best = m
-            states[used] = front
-            total += len(front)
-        if total > most_states:
-            return "too many states", float("nan"), {}
-    ends = [(c, m, tuple(sorted(map(str, used))), way) for used, front in states.items() for c, m, way in front]
-    if not ends:
-        return "infeasible", float("nan"), {}
-    c, _, _, way = min(ends, key=lambda e: e[:3])
-    return "ok", c, {q: (o, x, m) for q, o, x, m in way}
-
-
-def assignment(measurements: DataFrame, weights: DataFrame, limits: DataFrame, most_states: int = 200_000) -> DataFrame:
+    placed, sizes = numbered(weighted(measurements, weights))
+    return _answers(placed, sizes, limits).select("workload", "objective", F.explode("picks").alias("p")).select("workload", "p.*", "objective")
+
+
+def _under_budget(rest: DataFrame, cells: DataFrame) -> DataFrame:
+    """(workload, objective, picks) of ``rest(workload, max_options, max_mem, n_queries)``: the cheapest ways within max_mem.
+
+    States (cost, mem, options used) grow by one query a round, a join of states and the next query's
+    cells. Of states with the same options only those stay that no other beats in cost and memory; nothing else
+    is cut, so the result is exact. A round is written before the next reads it.
+    """
+    pick = "struct<query:{query},option:{option},cost:double,mem:bigint>".format(**{f.name: f.dataType.simpleString() for f in cells.schema.fields})
+    rounds = cells.join(rest.select("workload"), "workload", "left_semi").agg(F.max("step")).first()[0] or 0
+    states = rest.select("*", F.lit(0).cast("long").alias("used"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("mem"), F.array().cast(f"array<{pick}>").alias("picks"))
+    for k in range(1, rounds + 1):
+        here = cells.filter(F.col("step") == k).select("workload", "bit", F.struct("query", "option", "cost", "mem").alias("p"))
+        used = F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
+        grown = states.filter(F.col("n_queries") >= k).join(here, "workload").select("workload", "max_options", "max_mem", "n_queries", used.alias("used"), (F.col("cost") + F.col("p.cost")).alias("cost"), (F.col("mem") + F.col("p.mem")).alias("mem"), F.concat("picks", F.array("p")).alias("picks"))
+        grown = grown.filter((F.bit_count("used") <= F.col("max_options")) & (F.col("mem") <= F.col("max_mem")))
+        before = Window.partitionBy("workload", "used").orderBy("mem", "cost", "picks").rowsBetween(Window.unboundedPreceding, -1)
+        better = F.min("cost").over(before)
+        kept = grown.withColumn("better", better).filter(F.col("better").isNull() | (F.col("cost") < F.col("better"))).drop("better")
+        states = written(kept.unionByName(states.filter(F.col("n_queries") < k)), "states")
+    best = states.groupBy("workload").agg(F.min(F.struct("cost", "mem", "used", "picks")).alias("b"))
+    return best.select("workload", F.col("b.cost").alias("objective"), F.col("b.picks").alias("picks"))
+
+
+def assignment(measurements: DataFrame, weights: DataFrame, limits: DataFrame) -> DataFrame:
     """The cheapest assignment under both limits: (workload, query, option, cost, mem, objective, status).
 
-    Workloads whose answer without a budget fits are done by ``cheapest``; only the others are folded, one
-    small problem a group. status is ok; infeasible and too many states come as one row without a query.
-    A null ``max_mem`` is no limit.
+    Workloads whose answer without a budget fits keep it; only the others are searched again, under
+    the budget. status is ok, or infeasible in one row without a query. A null ``max_mem`` is no limit.
+    Cells and answers are written on the way, so this runs when called.
     """
-    free = cheapest(measurements, weights, limits)
-    budget = limits.select("workload", "max_options", F.col("max_mem").cast("double").alias("max_mem"))
-    used = free.groupBy("workload").agg(F.sum("mem").alias("used"))
-    fits = budget.join(used, "workload").filter(F.col("max_mem").isNull() | (F.col("used") <= F.col("max_mem"))).select("workload")
-    done = free.join(fits, "workload").withColumn("status", F.lit("ok"))
-    cells = weighted(measurements, weights)
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-    left = budget.join(used.select("workload"), "workload").join(fits, "workload", "left_anti").filter("max_options >= 1")
-    schema = f"workload {kinds['workload']}, query {kinds['query']}, option {kinds['option']}, cost double, mem long, objective double, status string"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        status, objective, way = _knapsack(rows, int(rows["max_options"].iloc[0]), float(rows["max_mem"].iloc[0]), most_states)
-        work = rows["workload"].iloc[0]
-        out = [(work, q, o, c, m, objective, status) for q, (o, c, m) in way.items()] or [(work, None, None, None, None, None, status)]
-        return pd.DataFrame(out, columns=["workload", "query", "option", "cost", "mem", "objective", "status"]).astype({"cost": "Float64", "mem": "Int64", "objective": "Float64"})
-
-    folded = cells.join(left, "workload").groupBy("workload").applyInPandas(fold, schema)
-    out = done.select(*folded.columns).unionByName(folded)
-    missing = limits.select("workload").join(out.select("workload").distinct(), "workload", "left_anti")
-    return out.unionByName(missing.withColumn("status", F.lit("infeasible")), allowMissingColumns=True)
+    placed, sizes = numbered(weighted(measurements, weights))
+    steps = placed.select("workload", "query").distinct().withColumn("step", F.row_number().over(Window.partitionBy("workload").orderBy("query")))
+    cells = written(placed.join(steps, ["workload", "query"]), "cells")
+    sizes = written(sizes, "sizes")
+    wanted = limits.select("workload", "max_options", F.col("max_mem").cast("double").alias("max_mem"))
+    asked = written(wanted.join(_answers(cells, sizes, limits), "workload", "left"), "answers")
+    fits = F.col("max_mem").isNull() | (F.col("used") <= F.col("max_mem"))
+    found = asked.filter(fits & F.col("picks").isNotNull()).select("workload", "objective", "picks")
+    rest = asked.filter(~fits).select("workload", "max_options", "max_mem").join(sizes.select("workload", "n_queries"), "workload")
+    found = found.unionByName(_under_budget(rest, cells))
+    out = asked.select("workload").join(found, "workload", "left").select("workload", "objective", F.explode_outer("picks").alias("p"))
+    return out.select("workload", "p.*", "objective", F.when(F.col("p").isNull(), "infeasible").otherwise("ok").alias("status"))
 
 
 def everything_on(measurements: DataFrame, weights: DataFrame) -> DataFrame:

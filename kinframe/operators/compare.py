@@ -39,11 +39,8 @@ def differences_by_key(left: DataFrame, right: DataFrame, key: Sequence[str], to
     return out.filter(F.col("only").isNotNull() | (F.size("differing") > 0))
 
 
-def differences(left: DataFrame, right: DataFrame, digits: int | None = None) -> DataFrame:
-    """As multisets: rows whose numbers of occurrences differ, with ``n_left`` and ``n_right``.
-
-    ``digits`` rounds doubles and decimals before they are compared: the tolerance of rows without a key.
-    """
+def _counted(left: DataFrame, right: DataFrame, digits: int | None) -> DataFrame:
+    """Distinct rows with their numbers of occurrences ``n_left`` and ``n_right``: one exchange of both sides."""
     _same_shape(left, right)
 
     def shaped(df: DataFrame) -> DataFrame:
@@ -51,7 +48,21 @@ def differences(left: DataFrame, right: DataFrame, digits: int | None = None) ->
 
     names = [quoted(c) for c in left.columns]
     both = shaped(left).select(*names, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(shaped(right).select(*names, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-    return both.groupBy(*names).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right")).filter("n_left <> n_right")
+    return both.groupBy(*names).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
+
+
+def differences(left: DataFrame, right: DataFrame, digits: int | None = None) -> DataFrame:
+    """As multisets: rows whose numbers of occurrences differ, with ``n_left`` and ``n_right``.
+
+    ``digits`` rounds doubles and decimals before they are compared: the tolerance of rows without a key.
+    """
+    return _counted(left, right, digits).filter("n_left <> n_right")
+
+
+def difference_counts(left: DataFrame, right: DataFrame, digits: int | None = None) -> DataFrame:
+    """One row (n_left, n_right, n_differences): the rows of both sides, and how many distinct rows ``differences`` has."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_left", "n_right")]
+    return _counted(left, right, digits).agg(*sums, F.count_if(F.col("n_left") != F.col("n_right")).alias("n_differences"))
 
 
 def differences_in_order(left: DataFrame, right: DataFrame, order_by: Sequence[str], tolerance: float = 0.0) -> DataFrame:

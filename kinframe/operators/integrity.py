@@ -6,12 +6,12 @@ turns them into a count per rule.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from ..spec import EntitySpec, RelationSpec, quoted
 
 
@@ -80,30 +80,21 @@ def summary(df: DataFrame, spec: EntitySpec) -> DataFrame:
     return out
 
 
-def shared_folder(df: DataFrame) -> str:
-    """A fresh folder that all executors see; a local one only where none is set."""
-    import tempfile
-
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-kinframe-", dir="/tmp")
-    return f"{base.rstrip('/')}/keys-{uuid.uuid4().hex}"
-
-
 def dense_keys(df: DataFrame, order_by: Sequence[str], name: str = "id", start: int = 1) -> DataFrame:
     """Keys start, start + 1, ... in the given order, without a window over all rows.
 
     Rows are dealt by range and sorted once and written, so that the two passes see the same
-    partitions even if an executor is lost; offsets are one number a partition. Ties get keys in
-    the order of all columns.
+    partitions even if an executor is lost (so this runs when called, not when the result is
+    read); offsets are one number a partition. Ties get keys in the order of all columns.
     """
     by = [quoted(c) for c in order_by]
     ties = [quoted(f.name) for f in df.schema.fields if f.name not in order_by and f.dataType.typeName() not in ("map", "variant")]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     dealt = df.repartitionByRange(n, *by, *ties).sortWithinPartitions(*by, *ties)
-    folder = shared_folder(df)
-    dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).write.parquet(folder)
-    rows = df.sparkSession.read.parquet(folder)
+    rows = written(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "keys")
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition is in this window
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + start).alias("shift"))
     # one row a partition: a bounded table
     return rows.join(F.broadcast(offsets), "_part").select(*[quoted(c) for c in df.columns if c != name], (F.col("_at") + F.col("shift")).alias(name))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Factors to nanoseconds and to bytes.
 UNITS = {"ns": 1.0, "us": 1e3, "μs": 1e3, "µs": 1e3, "ms": 1e6, "s": 1e9, "sec": 1e9, "B": 1.0, "KB": 1024.0, "MB": 1024.0**2, "GB": 1024.0**3}
 
@@ -52,13 +54,37 @@ def running_mean(df: DataFrame, series: Sequence[str], order_by: Sequence[str],
     return df.withColumn(alias, F.avg(value).over(w))
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(by.., q1, q2, ...): exact quantiles of each group, interpolated between the two nearest values.
+
+    Values are sorted by range over all tasks and written; a value's rank in its group follows from
+    counts per task and group, so no task holds a group. Runs when called; null values have no rank.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    keys = [F.col(b).alias(f"_g{i}") for i, b in enumerate(by)]
+    groups = [f"_g{i}" for i in range(len(by))]
+    given = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    dealt = given.repartitionByRange(n, *groups, "_v").sortWithinPartitions(*groups, "_v")
+    rows = written(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "quantiles")
+    counts = rows.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
+    w = Window.partitionBy(*(groups or [F.lit(0)]))
+    so_far = F.coalesce(F.sum("n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"{g}p") for g in groups), (so_far - F.col("first")).alias("shift"), F.sum("n").over(w).alias("total"))
+    same = [F.col("_part") == F.col("_p"), *(F.col(g).eqNullSafe(F.col(f"{g}p")) for g in groups)]
+    ranked = rows.join(places, same).select(*groups, "_v", (F.col("_at") + F.col("shift")).alias("rank"), "total")
+    at = [F.lit(q) * (F.col("total") - 1) for q in shares]
+    near = [F.when((F.col("rank") == F.floor(x)) | (F.col("rank") == F.ceil(x)), F.col("_v")) for x in at]
+    ends = ranked.groupBy(*groups, "total").agg(*[F.min(v).alias(f"lo{i}") for i, v in enumerate(near)], *[F.max(v).alias(f"hi{i}") for i, v in enumerate(near)])
+    between = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (x - F.floor(x)) for i, x in enumerate(at)]
+    return ends.select(*[F.col(g).alias(b) for g, b in zip(groups, by, strict=True)], *[x.alias(f"q{i + 1}") for i, x in enumerate(between)])
+
+
 def box_figures(df: DataFrame, by: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:
     """Box-plot figures by group: quartiles (interpolated), whisker ends, number of outliers.
 
     Whiskers end at the last values within ``whisker`` times the quartile distance of the box.
     """
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*[F.col(b).alias(f"_{b}") for b in by], *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
+    q = quantiles(df, by, value, (0.25, 0.5, 0.75)).select(*[F.col(b).alias(f"_{b}") for b in by], "q1", "q2", "q3")
     reach = (F.col("q3") - F.col("q1")) * whisker
     met = df.join(q, [df[b].eqNullSafe(q[f"_{b}"]) for b in by])
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)

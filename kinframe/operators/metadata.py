@@ -15,6 +15,18 @@ def column_types(spark: SparkSession, tables: dict[str, DataFrame], schema: str
     return spark.createDataFrame(rows, COLUMN_ROWS)
 
 
+def column_facts(spark: SparkSession, tables: dict[str, DataFrame], schema: str = "") -> DataFrame:
+    """``column_types`` with n_rows and n_nulls from the data: one aggregate a table."""
+    counts = None
+    for name, df in tables.items():
+        wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(df.columns)])
+        per = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"v{i}").alias("v")) for i, c in enumerate(df.columns)])).alias("f")
+        one = wide.select("n", per).select(F.lit(name).alias("table_name"), "f.column_name", F.col("n").alias("n_rows"), (F.col("n") - F.col("f.v")).alias("n_nulls"))
+        counts = one if counts is None else counts.unionByName(one)
+    types = column_types(spark, tables, schema)
+    return types if counts is None else types.join(counts, ["table_name", "column_name"], "left")
+
+
 def find_table(tables: DataFrame, name: str, preferred_schema: str = "") -> DataFrame:
     """The one best match of (table_schema, table_name): exact before with or without a last ``s``, then the preferred schema, then by name.
 

@@ -8,10 +8,12 @@ which gives the same pairs as rows and lets a skewed join be split.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.predicate import where
 from ..spec import Cardinality, RelationSpec, quoted
 
 
@@ -19,7 +21,9 @@ def _sorted_children(columns: Sequence[str], first: Sequence[str]) -> Column:
     """All children as structs, sorted by ``first`` and then by all columns."""
     lead = [c for c in first if c in columns]
     rest = [c for c in columns if c not in lead]
-    gathered = F.array_sort(F.collect_list(F.struct(*[quoted(c) for c in [*lead, *rest]])))
+    gathered = F.sort_array(F.collect_list(F.struct(*[quoted(c) for c in [*lead, *rest]])))
+    if [*lead, *rest] == list(columns):
+        return gathered
     return F.transform(gathered, lambda x: F.struct(*[x[c].alias(c) for c in columns]))
 
 
@@ -87,6 +91,12 @@ def flat(parent: DataFrame, child: DataFrame, rel: RelationSpec, prefix: str = "
     return parent.join(child, condition, "left").select(*[parent[f"`{c}`"] for c in parent.columns], *[child[f"`{c}`"].alias(f"{prefix}{c}") for c in child.columns])
 
 
+def with_any_child(parent: DataFrame, child: DataFrame, rel: RelationSpec, *trees: Any) -> DataFrame:
+    """The parents that have a child for which all trees hold: a semi join, nothing is nested to be tested."""
+    found = where(child, *trees)
+    return parent.join(found, [parent[f"`{a}`"] == found[f"`{b}`"] for a, b in rel.pairs], "left_semi")
+
+
 def lookup(rows: DataFrame, others: DataFrame, rel: RelationSpec, name: str | None = None) -> DataFrame:
     """Two results matched by key, as ``include_many``: no row of one is scanned for each of the other."""
     return include_many(rows, others, rel, name)

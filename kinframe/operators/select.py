@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicate import And, Cmp, Not, Or, _Many, side, to_column
+from ..functions.predicate import And, Cmp, Col, Or, side, to_column
 from ..spec import EntitySpec, quoted
 
 AGGREGATES = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
@@ -61,8 +61,9 @@ def pairs_condition(pairs: Sequence[tuple[str, str]], left: str, right: str) ->
 def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]] | Any, kind: str = "inner", aliases: tuple[str, str] = ("l", "r"), allow_non_equi: bool = False) -> DataFrame:
     """Join under two aliases, by column pairs or by any condition tree.
 
-    A tree that implies no equality between the sides would compare all pairs of rows; it is
-    refused unless ``allow_non_equi``. A Column given for ``on`` is taken as it is.
+    A condition that shows no equality between the sides would compare all pairs of rows; it is refused
+    unless ``allow_non_equi``. An equality is shown by column pairs, or in the outer conjunction of a
+    tree by ``Cmp(.., "=", Col(..))`` of both aliases; a Column shows nothing of itself.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown join {kind!r}")
@@ -70,7 +71,7 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]] | Any,
     if isinstance(on, list | tuple):
         condition = pairs_condition(on, *aliases)
     else:
-        if not isinstance(on, Column) and not allow_non_equi and not implies_equality(on, aliases):
+        if not allow_non_equi and not implies_equality(on, aliases):
             raise ValueError("the condition has no equality between the sides")
         condition = to_column(on)
     return a.join(b, condition, KINDS[kind])
@@ -80,10 +81,12 @@ def implies_equality(tree: Any, aliases: tuple[str, str]) -> bool:
     """Whether the tree has, in its outer conjunction, an equality of a column of each side."""
     if isinstance(tree, And):
         return any(implies_equality(p, aliases) for p in tree.parts)
-    if isinstance(tree, Cmp) and tree.op == "=":
-        sides = {str(getattr(x, "name", x)).split(".")[0] for x in (tree.left, tree.right)}
-        return sides == set(aliases)
-    return not isinstance(tree, Or | Not | _Many | Cmp) and isinstance(tree, Column)
+    if not isinstance(tree, Cmp) or tree.op != "=":
+        return False
+    # a text is a column on the left and a constant on the right, as in where()
+    left = tree.left if isinstance(tree.left, str) else getattr(tree.left, "name", "") if isinstance(tree.left, Col) else ""
+    right = tree.right.name if isinstance(tree.right, Col) else ""
+    return {n.partition(".")[0] for n in (left, right) if "." in n} == set(aliases)
 
 
 # aggregation

@@ -272,6 +272,32 @@ def test_assignment_example(spark):
     assert [(r.option, r.status) for r in full] == [(2, "ok"), (2, "ok"), (0, "ok")]
 
 
+def test_quantiles_do_not_depend_on_partitions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=999), "b": rng.integers(0, 3, 1000).astype(float), "c": np.array([5.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("d", None), (None, 1.0), (None, 2.0)], "g string, v double")
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.g: (r.q1, r.q2) for r in measure.quantiles(df, ["g"], "v", (0.25, 0.9)).collect()}
+        assert set(got) == {"a", "b", "c", None} and got[None] == (1.25, 1.9)
+        for g, vs in groups.items():
+            assert np.allclose(got[g], np.quantile(vs, (0.25, 0.9)))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_workloads_of_unlike_sizes_and_budgets(spark):
+    m = spark.createDataFrame([("w", q, o, float(q + o), 10 - 3 * o) for q in range(3) for o in range(3)] + [("v", 0, 0, 1.0, 5), ("v", 0, 1, 2.0, 1)], "workload string, query int, option int, cost double, mem long")
+    w = spark.createDataFrame([], "workload string, query int, weight int")
+    limits = spark.createDataFrame([("w", 2, 20), ("v", 1, 2), ("none", 1, None)], "workload string, max_options int, max_mem long")
+    got = {}
+    for r in assign.assignment(m, w, limits).collect():
+        got.setdefault((r.workload, r.status, r.objective), {})[r.query] = r.option
+    assert got == {("v", "ok", 2.0): {0: 1}, ("none", "infeasible", None): {None: None}, ("w", "ok", 7.0): got[("w", "ok", 7.0)]}
+    assert sum(10 - 3 * o for o in got[("w", "ok", 7.0)].values()) <= 20
+
+
 def test_assignment_limits(spark):
     m, w, limits = example(spark, 10)
     assert [(r.query, r.status) for r in assign.assignment(m, w, limits).collect()] == [(None, "infeasible")]
@@ -296,6 +322,29 @@ def test_budget_against_brute_force(spark):
         assert got[k] == best
 
 
+def test_conditions_without_an_equality_are_refused(spark):
+    from kinframe.functions.predicate import And, Cmp, Col
+    from kinframe.operators import select
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, s string")
+    both = ("l", "r")
+    for on in (F.col("l.k") > F.col("r.k"), And(F.col("l.k") > F.col("r.k"), F.col("l.s") == "x"), Cmp("l.k", "=", "r"), Cmp("l.s", "=", "r.s"), Cmp("l.k", ">", Col("r.k")), Cmp("l.k", "=", Col("l.k")), And(Cmp("l.k", "=", 1), Cmp(Col("r.k"), "=", 1))):
+        with pytest.raises(ValueError):
+            select.join(a, a, on, aliases=both)
+        assert select.join(a, a, on, aliases=both, allow_non_equi=True).columns == ["k", "s", "k", "s"] if not isinstance(on, Cmp) or on.right not in ("r", "r.s") else True
+    assert select.join(a, a, And(Cmp("l.k", "=", Col("r.k")), F.col("l.s") == "x"), aliases=both).count() == 1
+
+
+def test_comparison_without_case(spark):
+    from kinframe.functions.predicate import Cmp, where
+
+    df = spark.createDataFrame([("Ab",), ("AB",), ("b",), (None,)], "s string")
+    found = lambda *c: sorted(r.s for r in where(df, Cmp("s", *c, ci=True)).collect())
+    assert found("=", "aB") == ["AB", "Ab"] and found("<>", "ab") == ["b"] and found("like", "A%") == ["AB", "Ab"]
+    assert found("contains", "B") == ["AB", "Ab", "b"] and found("in", ("AB", "x")) == ["AB", "Ab"] and found("between", ("B", "C")) == ["b"]
+    assert where(df, Cmp("s", "=", "AB")).count() == 1
+
+
 def test_differences(spark):
     a = spark.createDataFrame([(1, 1.0, None), (2, 2.0, "x"), (3, 3.0, "y")], "k long, v double, s string")
     b = spark.createDataFrame([(1, 1.001, None), (2, 2.5, "x"), (4, 3.0, "y")], "k long, v double, s string")

@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_find_table(spark):
-    found = {tuple(r) for r in plans.QUERIES["met2_find_table"](spark, SF).collect()}
+    found = {tuple(r)[:2] for r in plans.QUERIES["met2_find_table"](spark, SF).collect()}
     assert found == {("dbo", "supplier"), ("dbo", "orders"), ("dbo", "part")}
 
 
