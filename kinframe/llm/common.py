@@ -29,9 +29,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, most: int) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in order, dealt anew so that a batch holds up to ``most`` bytes of ``column``, or one longer row."""
-    held, size = [], 0
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, most: int, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, dealt anew so that a batch holds up to ``rows`` rows and ``most`` bytes of ``column``, or one longer row."""
+    held, size, count = [], 0, 0
 
     def joined() -> pa.RecordBatch:
         return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -41,14 +41,14 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, most: int) ->
         at = 0
         while at < b.num_rows:
             before = int(ends[at - 1]) if at else 0
-            n = int(np.searchsorted(ends, before + most - size, side="right")) - at
+            n = min(int(np.searchsorted(ends, before + most - size, side="right")) - at, rows - count)
             if n <= 0 and held:
                 yield joined()
-                held, size = [], 0
+                held, size, count = [], 0, 0
                 continue
             n = max(n, 1)
             held.append(b.slice(at, n))
-            size += int(ends[at + n - 1]) - before
+            size, count = size + int(ends[at + n - 1]) - before, count + n
             at += n
     if held:
         yield joined()

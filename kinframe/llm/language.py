@@ -100,7 +100,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
         import numpy as np
 
         compressors = coders(contents, level)
-        for batch in by_bytes(batches, names.index("text"), BATCH_BYTES):
+        for batch in by_bytes(batches, names.index("text"), BATCH_BYTES, 500):
             texts = batch.column(names.index("text")).to_pylist()
             good = [i for i, t in enumerate(texts) if langs and t is not None and LETTER.search(t)]
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
