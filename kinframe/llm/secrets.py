@@ -7,8 +7,8 @@ stochastic regular languages). The probabilistic automata score every candidate
 token of every text; tokens that a format explains far better than the ordinary
 words of the texts do become spans of kind ``format``. Base spans always stay.
 
-Bounds: at most ``sample`` distinct labelled values and ordinary tokens of each kind
-(those of the least hash) are gathered for fitting; of longer ones the first ``max_length`` characters, without an end.
+Bounds: at most ``sample`` distinct labelled values, and ordinary tokens that two texts have, of
+each kind (those of the least hash) are gathered for fitting; of longer ones the first ``max_length`` characters, without an end.
 
 Defined cases: null text is an empty text; whole texts are scanned; the patterns'
 letters fold case in ASCII only; offsets count code points, ends are exclusive;
@@ -200,15 +200,16 @@ def gather(docs: DataFrame, sample: int, max_length: int) -> dict[str, list[str]
 
         import xxhash
 
-        best: dict[str, dict[str, int]] = {}
+        best: dict[str, dict[str, list[int]]] = {}
 
         def offer(kind: str, value: str) -> None:
             mine = best.setdefault(kind, {})
             if value in mine:
+                mine[value][1] += 1
                 return
-            mine[value] = xxhash.xxh3_64_intdigest(value.encode("utf-8", "replace")) >> 1
+            mine[value] = [xxhash.xxh3_64_intdigest(value.encode("utf-8", "replace")) >> 1, 1]
             if len(mine) > 4 * sample:
-                best[kind] = dict(heapq.nsmallest(sample, mine.items(), key=lambda x: (x[1], x[0])))
+                best[kind] = dict(heapq.nsmallest(sample, mine.items(), key=lambda x: (x[1][0], x[0])))
 
         for b in batches:
             for text in b.column(0):
@@ -224,12 +225,15 @@ def gather(docs: DataFrame, sample: int, max_length: int) -> dict[str, list[str]
                 for x in ordinary:
                     if len(x) >= 6:
                         offer("plain", x[: max_length + 1])
-        rows = [(k, v, h) for k, mine in best.items() for v, h in heapq.nsmallest(sample, mine.items(), key=lambda x: (x[1], x[0]))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "value", "h"])
+        rows = [(k, v, *h) for k, mine in best.items() for v, h in heapq.nsmallest(sample, mine.items(), key=lambda x: (x[1][0], x[0]))]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "value", "h", "n"])
 
     # each task's least hashes; those of all are found by counts of their leading bits, so that no task gets a whole kind
-    met = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, value string, h long")
-    met = stash(met, work_dir(docs.sparkSession, "labels")).distinct()
+    met = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, value string, h long, n long")
+    met = stash(met, work_dir(docs.sparkSession, "labels")).groupBy("kind", "value", "h").agg(F.sum("n").alias("n"))
+    # what occurs in one text only may be a credential that no label names: it says nothing of ordinary tokens
+    met = met.where("kind <> 'plain' or n > 1")
     high = F.shiftright("h", 51)
     enough, so_far = {}, Counter()
     for r in sorted(met.groupBy("kind", high.alias("high")).count().collect(), key=lambda r: r["high"]):

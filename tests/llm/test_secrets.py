@@ -8,6 +8,8 @@ import re
 
 from kinframe.llm import queries, secrets
 
+SF = "/root/testdata/sf0.001"
+
 
 def brute(text):
     out = []
@@ -84,3 +86,40 @@ def test_short_dotted_and_plain_shaped_values_are_scored(spark):
     assert secrets.found_spans("thaenter ionthaent thaentiontha.ent", formats, 1.0, -4.5) == []
     # without any ordinary token the background is uniform, and the method stays on
     assert secrets.found_spans(f"see {bare}", {"assign": formats["assign"]}, 0.5, -4.5) == [("format", 4, 17)]
+
+
+def test_planted_credentials_precision_and_recall(spark):
+    """Bare credentials of a labelled format among the words of real documents; spans equal a scoring of every token."""
+    rng = random.Random(11)
+    pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    digits, upper = "0123456789", "ABCDEFGHJKLMNPQRSTUVWXYZ"
+    make = lambda: f"sk_{pick(digits + 'abcdef', 20)}{pick(upper, 4)}"
+    texts = [r.text[:2000] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(150).collect() if r.text]
+    docs, planted = [], {}
+    for k, t in enumerate(texts):
+        value = make()
+        if k % 2:
+            docs.append((k, f"{t} secret={value} end"))
+        else:
+            docs.append((k, f"{t} {value} end"))
+            planted[k] = (len(t) + 1, len(t) + 1 + len(value))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    formats = secrets.learn_formats(df)
+    got = {r.doc_id: r.spans for r in secrets.scan(df, formats).collect()}
+    found = {(k, *map(int, s.split(":")[1:])) for k, spans in got.items() for s in spans.split(",") if s.startswith("format:")}
+    hit = found & {(k, *s) for k, s in planted.items()}
+    print("recall", len(hit) / len(planted), "precision", len(hit) / max(1, len(found)))
+    assert len(hit) >= 0.9 * len(planted) and len(hit) >= 0.9 * len(found)
+    learned, plain = [a for k, a in formats.items() if k != "plain"], formats["plain"]
+    shortest = min(a.shortest for a in learned)
+    for k, t in docs:
+        spans = brute(t)
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t):
+            whole = m.group().strip(".")
+            if any(m.start() < e and s < m.end() for _, s, e in spans) or len(whole) < shortest:
+                continue
+            at = t.index(whole, m.start())
+            if secrets.accepted(whole, learned, plain, 1.0, -4.5):
+                assert f"format:{at}:{at + len(whole)}" in got[k]
+            elif "." not in whole:
+                assert f"format:{at}:{at + len(whole)}" not in got[k]
