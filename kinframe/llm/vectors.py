@@ -18,8 +18,8 @@ The number of hyperplanes and of passes follows the number of vectors by stated
 
 Defined cases: null, zero or empty vectors and those with null or non-finite
 components link with nothing; vectors of different lengths do not link; equal
-vectors are one member of the passes and count as links of each other; repeated ids
-are rows of their own; null ids link with nothing; labels are not read; an empty
+vectors are one member of the passes and count as links of each other; unlike vectors
+of one id are in one component, and that id has the links of the one with most; null ids link with nothing; labels are not read; an empty
 table gives an empty result.
 """
 
@@ -226,7 +226,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, window: int = 256,
         # without hyperplanes all pairs meet in the first pass
         passes = passes_for(n, window, threshold) if bits else 1
     found = stash(links(firsts.select("id", "vec", "copies"), folder, threshold, passes, bits, seed), f"{folder}/links")
-    component = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), folder)
+    # ids that have several vectors tie these together
+    twice = rows.groupBy("id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select(F.col("id").alias("own"))
+    tied = rows.join(twice, rows["id"] == twice["own"]).select("own", "same").join(firsts.select("same", F.col("id").alias("a")), "same").select("own", "a")
+    ties = tied.join(tied.groupBy("own").agg(F.min("a").alias("b")), "own").select("a", "b").where("a <> b")
+    component = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")).union(ties).distinct(), folder)
     near = found.groupBy("id").agg(F.sum("near").alias("near"))
     per = firsts.select("same", "id", "copies").join(near, "id", "left").join(component, "id", "left")
     per = per.select("same", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -79,3 +79,12 @@ def test_blocks_of_a_bucket_do_not_matter(spark):
         found = v.links(df, v.work_dir(spark, f"blocks{k}"), 0.9, 3, 1, 7, block=block)
         got.append(sorted(tuple(r) for r in found.groupBy("id").sum("near").where("`sum(near)` > 0").collect()))
     assert got[0] == got[1] and got[0]
+
+
+def test_null_and_repeated_ids(spark):
+    e = lambda *x: [float(v) for v in x]
+    rows = [(1, e(1, 0, 0)), (2, e(1, 0.01, 0)), (5, e(0, 1, 0)), (6, e(0, 1, 0.01)), (2, e(0, 1, 0)), (2, e(0, 1, 0)), (None, e(1, 0, 0)), (9, e(0, 0, 1))]
+    got = sorted(tuple(r) for r in v.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if r.vec_id)
+    # id 2 has a vector of each group, so both are one component
+    assert [(v, c, k) for v, _, c, k in got] == [(1, 1, True), *[(2, 1, False)] * 3, (5, 1, False), (6, 1, False), (9, 9, True)]
+    assert dict((v, n) for v, n, _, _ in got)[9] == 0 and dict((v, n) for v, n, _, _ in got)[6] == 3
