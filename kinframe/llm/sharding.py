@@ -103,8 +103,9 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, partitions
 
 
 def keyed_sizes(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, size in UTF-8 bytes plus one, checksum and key; ``keep``: more columns of ``docs``."""
+    """doc_id, size in UTF-8 bytes plus one, checksum and key; ``keep``: more columns of ``docs``, but for names that are made here."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    keep = tuple(c for c in keep if c not in (*OUT, "text_crc32", "_key", "_tie", "_part", "_at"))
     return docs.select("doc_id", *keep, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_key"))
 
 

@@ -35,11 +35,21 @@ def test_whole_table(spark):
 def test_hot_group_and_odd_rows(spark):
     rng = random.Random(1)
     docs = [(i, "hot text" * 50) for i in range(300)] + [(1000 + i, "t" * rng.randint(0, 900)) for i in range(500)] + [(5000, None), (5001, "")]
-    df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, shard int").drop("shard")
-    check(sharding.shard(sharding.keyed_sizes(df)).collect(), docs)
+    df = spark.createDataFrame([(*d, 7, 8, "x") for d in docs], "doc_id long, text string, shard int, size int, source string")
+    got = sharding.shard(sharding.keyed_sizes(df, "text", "shard", "size", "source"))
+    assert sorted(got.columns) == sorted(["doc_id", "text", "source", *sharding.OUT])
+    check(got.collect(), docs)
     assert sharding.shard(sharding.keyed_sizes(df.filter("false"))).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    rows = sharding.shard(sharding.keyed_sizes(spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "c"), (1, "d")], "doc_id long, text string")), shards=3).collect()
+    assert sorted((r.doc_id or 0, r["size"]) for r in rows) == [(0, 2), (0, 2), (1, 2), (1, 2), (1, 2)]
+    for s in range(3):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_splitters_are_close_to_even(spark):
     df = spark.range(20_000).select(F.xxhash64("id").alias("ukey"), (F.col("id") % 90 + 1).alias("size"))
     starts, rounds = sharding.splitters(df, 8, 0.001)
