@@ -41,7 +41,7 @@ def test_against_iteration(spark):
         for r in got:
             assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
             rate = want[r.source] / sizes[r.source] if sizes[r.source] else 0
-            draw = int(hashlib.md5(f"mix-1:{r.doc_id}".encode()).hexdigest()[:8], 16) / 2**32
+            draw = int(hashlib.md5(f"mix-1:{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest() if r.text is not None else ''}".encode()).hexdigest()[:8], 16) / 2**32
             assert r.taken == r.size * (int(rate + 1e-12) + (draw < rate - int(rate + 1e-12))) <= 2 * r.size
 
 
@@ -70,6 +70,15 @@ def test_empty_and_clashing_columns(spark):
     assert mixing.mix_plan(df.filter("false")).count() == 0 and mixing.mix(df.filter("false")).count() == 0
 
 
+def test_each_source_comes_near_its_target_without_ids(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    rows = [(None if s == "a" else 7 if s == "b" else k, " ".join(word() for _ in range(rng.randint(5, 30))), s) for s in ("a", "b", "c", None) for k in range(1500)]
+    plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in plan.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.05, r
+
+
 def test_query_equals_its_sql(spark):
     import duckdb
 
