@@ -57,6 +57,8 @@ MAX_PIECES = 1_000_000
 CHUNK = 8 << 20
 #: Characters of a unit that one row of the lattice starts from.
 PART = 64
+#: Units of a chunk's documents that are filled in at once; a longer document is taken alone.
+FILL_UNITS = 250_000
 #: Units of chunks that a task looks up.
 TASK_UNITS = 60_000
 #: Entries of an array that one inner fold goes through.
@@ -120,13 +122,17 @@ def split_units(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1], and so on."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    total = int(sizes.sum())
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) < 1 << 31) else np.int64
+    out = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct units by falling count, the unit numbers of all texts in order, and how many each text has."""
     full = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
-    some = texts.filter(full)
+    some = texts.filter(full) if pc.any(pc.invert(full), min_count=0).as_py() else texts
     counts = np.zeros(len(texts), np.int64)
     if not len(some):
         return pa.array([], pa.string()), np.zeros(0, np.int64), counts
@@ -143,8 +149,8 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(sizes)])[np.asarray(lists.offsets)]
     counts[full.to_numpy(zero_copy_only=False)] = np.diff(ends)
     order = np.argsort(-np.bincount(codes, minlength=len(distinct.dictionary)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     return distinct.dictionary.take(pa.array(order)), rank[codes], counts
 
 
@@ -162,7 +168,7 @@ def squeezed(numbers: np.ndarray) -> bytes:
 
 def unsqueezed(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
 def mark_of(text: bytes) -> bytes:
@@ -335,28 +341,33 @@ ENCODED = "doc_id long, ids array<int>, decoded string, n_units long, n_pieces l
 
 
 def filled(left: pa.Table, right: pa.Table, spelled: pa.Array) -> pa.Table:
-    """ENCODED rows of the documents of one chunk from its numbers and the ids of its units."""
+    """ENCODED rows of the documents of one chunk from its numbers and the ids of its units; some documents at a time."""
     row = {c: left.column(c)[0] for c in ("docs", "counts", "marks", "codes", "dealt")}
     codes, dealt = unsqueezed(row["codes"].as_py()), unsqueezed(row["dealt"].as_py())
-    counts = row["counts"].values.to_numpy()
+    counts, marks, docs = row["counts"].values.to_numpy(), row["marks"].as_py(), row["docs"].values
     right = right.sort_by("grp")
-    flat, sizes = (np.concatenate([np.zeros(0, np.int64), *(unsqueezed(x) for x in right.column(c).to_pylist())]) for c in ("ids", "sizes"))
+    flat, sizes = (np.concatenate([np.zeros(0, np.uint32), *(unsqueezed(x) for x in right.column(c).to_pylist())]) for c in ("ids", "sizes"))
     if len(sizes) != len(dealt):
         raise ValueError("units of a chunk are missing")
     order = np.argsort(dealt, kind="stable")
     begin, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    begin[order], size[order] = np.cumsum(sizes) - sizes, sizes
-    n = size[codes]
-    ids = flat[gather(begin[codes], n)]
-    ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-    texts = joined_texts(lists, spelled)
-    place = np.arange(len(ids)) - np.repeat(ends[:-1], np.diff(ends)) + 1
-    sums = np.concatenate([[0], np.cumsum((ids + 1) * place % PRIME)])[ends]
-    marks = row["marks"].as_py()
-    trips = [mark_of(t.as_buffer().to_pybytes()) == marks[16 * k : 16 * k + 16] for k, t in enumerate(texts)]
-    columns = [row["docs"].values, lists, texts, pa.array(counts), pa.array(np.diff(ends)), pa.array(np.diff(sums) % PRIME), pa.array(trips, pa.bool_())]
-    return pa.table(columns, names=[c.split()[0] for c in ENCODED.split(", ")])
+    begin[order], size[order] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+    units, names, out, at = np.concatenate([[0], np.cumsum(counts)]), [c.split()[0] for c in ENCODED.split(", ")], [], 0
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(units, units[at] + FILL_UNITS, side="right")) - 1)
+        own = codes[units[at] : units[to]]
+        n = size[own]
+        ids = flat[gather(begin[own], n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[units[at : to + 1] - units[at]]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+        texts = joined_texts(lists, spelled)
+        place = np.arange(len(ids)) - np.repeat(ends[:-1], np.diff(ends)) + 1
+        sums = np.concatenate([[0], np.cumsum((ids.astype(np.int64) + 1) * place % PRIME)])[ends]
+        trips = [mark_of(t.as_buffer().to_pybytes()) == marks[16 * k : 16 * k + 16] for k, t in enumerate(texts, at)]
+        columns = [docs.slice(at, to - at), lists, texts, pa.array(counts[at:to]), pa.array(np.diff(ends)), pa.array(np.diff(sums) % PRIME), pa.array(trips, pa.bool_())]
+        out.append(pa.table(columns, names=names))
+        at = to
+    return pa.concat_tables(out)
 
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
