@@ -205,6 +205,8 @@ def chunks(docs: DataFrame, groups: int) -> DataFrame:
                 rest = [pa.nulls(m, k) for k in kinds[1:6]]
                 own = [pa.array(dealt[order][ends[:-1]], pa.int32()), pa.array(np.diff(ends), pa.int32()), pa.array([sign] * m, pa.string()), pc.binary_join(lists, sign)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), *rest, *own], names=names)
+            del texts, units, codes
+            pa.default_memory_pool().release_unused()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, CHUNK_ROWS)
@@ -393,6 +395,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     back = looked_up(dealt, known)
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         return filled(left, right, spelled)
 
     whole = stored.where("docs is not null").select("chunk", "docs", "counts", "marks", "codes", "dealt")
