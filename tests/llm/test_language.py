@@ -37,3 +37,9 @@ def test_dictionaries_are_bounded_and_repeatable(spark):
     one = language.learn_dictionaries(docs, dict_bytes=5000)
     assert sorted(one) == ["de", "en", "es", "fr"] and all(len(d) <= 5000 for d in one.values())
     assert one == language.learn_dictionaries(docs.repartition(3), dict_bytes=5000)
+
+
+def test_ids_are_no_input_of_learning(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    moved = docs.selectExpr("doc_id + 1000003 as doc_id", "text", "lang")
+    assert language.learn_dictionaries(docs) == language.learn_dictionaries(moved.repartition(5))
