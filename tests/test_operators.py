@@ -374,3 +374,18 @@ def test_write_and_read_back(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).count() == 1
     with pytest.raises(ValueError):
         source.write_measurements(df, str(tmp_path / "x"), kind="xls")
+
+
+def test_no_machine_local_folder_on_a_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    from kinframe.sources.scratch import shared_folder
+
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: conf.get(k.rsplit(".", 1)[-1], default)))
+
+    assert shared_folder(session(dir=str(tmp_path), master="spark://host:7077"), "x").startswith(f"{tmp_path}/x-")
+    assert "spark-kinframe-" in shared_folder(session(master="local[4]"), "x")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master=master), "x")
