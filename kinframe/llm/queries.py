@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, neardup, pieces, repeats, secrets, sharding, telephony, vectors, warc
+from . import filter_audit, language, mixing, neardup, pieces, repeats, secrets, sharding, telephony, vectors, warc
 from .common import stash, work_dir
 
 
@@ -61,9 +61,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.learn_formats(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op6_pieces, op7_vectors, op8_repeats, op9_sharding, op10_secrets)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-#: The mixture in SQL. The other operators rest on compression, hashes of other kinds, files or search,
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op6_pieces, op7_vectors, op8_repeats, op9_sharding, op10_secrets, op11_filter_audit)}
+
+#: The mixture and the filter audit in SQL. The other operators rest on compression, hashes of other kinds, files or search,
 #: and are tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": r"""
@@ -84,5 +88,44 @@ rated AS (
          CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || coalesce(s.digest, '')), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS draw
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) * size AS taken FROM rated
+""",
+    "op11_filter_audit": r"""
+WITH letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+steps AS (
+  SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM orders),
+cut AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+labelled AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+flagged AS (
+  SELECT c.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN coalesce(c.doc_id > min(c.doc_id) OVER (PARTITION BY t), false) THEN 'E' ELSE '' END AS failed
+  FROM cut c LEFT JOIN labelled l ON c.doc_id = l.doc_id),
+sets AS (
+  SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flagged GROUP BY part, failed),
+met AS (
+  SELECT part, filter_order, step, n, good, toxic, failed, substr(filter_order, step, 1) AS letter,
+         contains(failed, substr(filter_order, step, 1)) AS here,
+         step > 1 AND failed <> '' AND length(translate(failed, substr(filter_order, 1, step - 1), '')) < length(failed) AS before
+  FROM sets, steps),
+per AS (
+  SELECT part, filter_order, step, letter,
+         CAST(sum(CASE WHEN NOT here AND NOT before THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN here AND NOT before THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN here AND before THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN failed = letter THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN here AND NOT before THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN here AND NOT before THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM per
 """,
 }
