@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, language, mixing, neardup, pieces, repeats, secrets, sharding, telephony, vectors, warc
+from . import filter_audit, language, mixing, neardup, pieces, repeats, secrets, sharding, telephony, token_files, vectors, warc, whitening
 from .common import stash, work_dir
 
 
@@ -65,7 +65,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op6_pieces, op7_vectors, op8_repeats, op9_sharding, op10_secrets, op11_filter_audit)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_files.checksums(token_files.read_documents(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_language, op3_warc, op4_telephony, op5_mixing, op6_pieces, op7_vectors, op8_repeats, op9_sharding, op10_secrets, op11_filter_audit, op12_whitening, op13_token_files)}
 
 #: The mixture and the filter audit in SQL. The other operators rest on compression, hashes of other kinds, files or search,
 #: and are tested against brute force instead.
