@@ -38,11 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, columns_or_null, stash, work_dir
+from .pieces import bucketed
 from .words import split_words
 
 FILTERS = "ABCDE"
 #: Bytes of text whose words are numbered together; a longer text is a chunk of its own.
 CHUNK_BYTES = 16 << 20
+#: Words of a chunk in one row, on their way to the dictionary.
+LIST_WORDS = 4096
 #: Texts with at least this part of all rows are hot: at most as many texts as 1 / HOT.
 HOT = 0.001
 
@@ -50,7 +53,7 @@ ABOUT = "doc_id long, source string, digest binary, c boolean, d boolean"
 
 
 def cut(docs: DataFrame, max_capitals: int, marks: bytes) -> DataFrame:
-    """Chunks: a row a document with numbers of the chunk's own, and a row a word (``word`` set, ``at`` its number)."""
+    """Chunks: a row a document with numbers of the chunk's own, and rows of ``words`` that it numbered from ``first_at``."""
     marked = np.zeros(256, dtype=bool)
     marked[list(marks)] = True
 
@@ -72,13 +75,15 @@ def cut(docs: DataFrame, max_capitals: int, marks: bytes) -> DataFrame:
         lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
         n, none = batch.num_rows, pa.nulls
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, chunk)), none(n, pa.int32()), none(n, pa.binary()), batch.column("doc_id"), batch.column("source"), batch.column("digest"),
+            [pa.array(np.full(n, chunk)), none(n, pa.int32()), none(n, pa.list_(pa.binary())), batch.column("doc_id"), batch.column("source"), batch.column("digest"),
              pa.array(100 * capitals > max_capitals * points), pa.array(per_text(marked[data]) > 0), lists(entries % width), lists(counts)],
             names=names,
         )
-        n = len(coded.dictionary)
+        first = np.arange(0, len(coded.dictionary), LIST_WORDS, dtype=np.int32)
+        n = len(first)
+        some = pa.ListArray.from_arrays(pa.array(np.append(first, len(coded.dictionary)).astype(np.int32)), coded.dictionary.view(pa.binary()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), coded.dictionary.view(pa.binary()), none(n, pa.int64()), none(n, pa.string()), none(n, pa.binary()),
+            [pa.array(np.full(n, chunk)), pa.array(first), some, none(n, pa.int64()), none(n, pa.string()), none(n, pa.binary()),
              none(n, pa.bool_()), none(n, pa.bool_()), none(n, pa.list_(pa.int32())), none(n, pa.list_(pa.int32()))],
             names=names,
         )
@@ -89,19 +94,38 @@ def cut(docs: DataFrame, max_capitals: int, marks: bytes) -> DataFrame:
         for k, batch in enumerate(by_bytes(batches, "raw", CHUNK_BYTES)):
             yield from one(batch, first + k)
 
-    names = ["chunk", "at", "word", "doc_id", "source", "digest", "c", "d", "terms", "counts"]
+    names = ["chunk", "first_at", "words", "doc_id", "source", "digest", "c", "d", "terms", "counts"]
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     plain = columns_or_null(docs, {"doc_id": "long", "source": "string", "text": "string"})
-    return plain.select("doc_id", "source", raw.alias("raw"), F.unhex(F.sha2(raw, 256)).alias("digest")).mapInArrow(run, f"chunk long, at int, word binary, {ABOUT}, terms array<int>, counts array<int>")
+    return plain.select("doc_id", "source", raw.alias("raw"), F.unhex(F.sha2(raw, 256)).alias("digest")).mapInArrow(run, f"chunk long, first_at int, words array<binary>, {ABOUT}, terms array<int>, counts array<int>")
 
 
-def number_words(vocabulary: DataFrame, folder: str) -> DataFrame:
-    """(word, term): a dense number from 0 for every distinct word of ``vocabulary(word)``, written."""
-    words = stash(vocabulary.select("word").distinct().select("word", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")), f"{folder}/words")
-    # one row a partition that has words
-    order = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = words.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
-    return words.join(F.broadcast(starts), "_part").select("word", (F.col("start") + F.col("_at")).alias("term"))
+def number_words(vocabulary: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(places, words) of ``vocabulary(chunk, at, word)``: (of, at, term) with the dense number from 0 of the word there, and (word, term), each distinct word once.
+
+    One exchange by word; the tasks number the words that they have in order, and a row a
+    task says where its numbers start among all. However many chunks have a word, its
+    task passes their rows on one after another.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, -1
+        for batch in batches:
+            words = batch.column("word")
+            if not len(words):
+                continue
+            new = np.concatenate([[words[0] != last], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
+            seq = n + np.cumsum(new)
+            last, n = words[len(words) - 1], int(seq[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(seq), batch.column("chunk"), batch.column("at"), pc.if_else(pa.array(new), words, pa.scalar(None, words.type))], names=["part", "seq", "of", "at", "word"])
+
+    ranged = vocabulary.repartition("word").sortWithinPartitions("word").select(F.spark_partition_id().alias("part"), "chunk", "at", "word")
+    placed = stash(ranged.mapInArrow(run, "part int, seq long, of long, at int, word binary"), f"{folder}/places")
+    order = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    starts = placed.groupBy("part").agg((F.max("seq") + 1).alias("n")).select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
+    term = (F.col("start") + F.col("seq")).alias("term")
+    met = placed.join(F.broadcast(starts), "part")
+    return met.select("of", "at", term), met.where("word is not null").select("word", term)
 
 
 def renumber(rows: pa.Table, terms: pa.Table) -> pa.Table:
@@ -126,13 +150,14 @@ OUT_TYPES = pa.schema(list(zip(OUT, [pa.int64(), pa.string(), pa.binary(), pa.bo
 
 def term_matrix(docs: DataFrame, max_capitals: int = 5, marks: bytes = b"#$%&*|") -> tuple[DataFrame, DataFrame]:
     """(rows, words), both written: a row a document of ``docs(doc_id, source, text)`` with ``terms`` and ``counts``, its digest and flags c and d; (word, term)."""
-    folder = work_dir(docs.sparkSession, "term-matrix")
-    chunks = stash(cut(docs, max_capitals, marks), f"{folder}/chunks")
-    vocabulary = chunks.where("word is not null").select("chunk", "at", "word")
-    words = number_words(vocabulary, folder)
-    terms = vocabulary.join(words, "word").select(F.col("chunk").alias("of"), "at", "term")
-    rows = chunks.where("word is null").drop("at", "word")
-    coded = rows.groupBy("chunk").cogroup(terms.groupBy("of")).applyInArrow(renumber, f"{ABOUT}, terms array<long>, counts array<int>")
+    spark, folder = docs.sparkSession, work_dir(docs.sparkSession, "term-matrix")
+    chunks = bucketed(cut(docs, max_capitals, marks), f"{folder}/chunks", int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    lists = spark.read.schema(chunks.schema).parquet(f"{folder}/chunks").where("first_at is not null")
+    vocabulary = lists.select("chunk", "first_at", F.posexplode("words").alias("k", "word")).select("chunk", (F.col("first_at") + F.col("k")).alias("at"), "word")
+    places, words = number_words(vocabulary, folder)
+    # the documents' rows lie in buckets by chunk: only the words' numbers are exchanged
+    rows = chunks.where("first_at is null").drop("first_at", "words")
+    coded = rows.groupBy("chunk").cogroup(places.groupBy("of")).applyInArrow(renumber, f"{ABOUT}, terms array<long>, counts array<int>")
     return stash(coded, f"{folder}/rows"), words
 
 
