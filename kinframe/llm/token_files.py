@@ -17,7 +17,7 @@ those within the shard plus the shard's.
 
 Words between white space are encoded once a batch and dealt out to their places: the
 vocabulary's normaliser and pattern keep nothing across white space, so a text's ids are
-those of its words one after another. Strings of special tokens in a text are what the
+those of its words one after another. Files of another kind encode whole texts. Strings of special tokens in a text are what the
 library makes of them (a special id).
 
 Defined cases: a null text is empty and has the end id only; documents without an id
@@ -28,7 +28,10 @@ an empty table gives no files' rows and an empty result.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,34 +47,110 @@ from .words import split_words
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 1
 #: Bytes of text encoded at once, or one longer text.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Words handed to the library at once.
 BATCH_WORDS = 8192
+#: Pieces of words that a worker keeps the ids of.
+MOST_PIECES = 1 << 18
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 512
 
+#: The normaliser and pattern of the vocabulary file, for which words can be encoded one by one.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+LATIN = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+PLAIN = re.compile(rf"[!-~{LATIN}]*")
+#: That pattern on lower-case words of the plain alphabet.
+PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
+
 SHARD_ROW = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
 
 
+class Words:
+    """Ids of words by the library, each piece of a word looked up once.
+
+    Where the file's normaliser and pattern are ``KNOWN``, a text's ids are those of its words, and a
+    word of the plain alphabet (printable ASCII and the letters of Latin-1, which
+    composition leaves alone and lower case maps one to one) those of its matches of the
+    pattern, which the library's model then merges. Other words, and those with a
+    special token's string, go through the whole library.
+    """
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+        file = json.loads(spec)
+        self.by_words = {"normalizer": file["normalizer"], "pre_tokenizer": file["pre_tokenizer"]} == KNOWN
+        self.special = [t["content"] for t in file["added_tokens"]]
+        self.by_words = self.by_words and all("<" in c for c in self.special)
+        self.pieces: dict[str, bytes] = {}
+        if self.by_words:  # the model's spelling of a letter's bytes, as the library gives it
+            self.spelled = {ord(c): "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in LATIN}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit integers."""
+        out = []
+        for at in range(0, len(texts), BATCH_WORDS):
+            out += [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + BATCH_WORDS], add_special_tokens=False)]
+        return out
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece that is not held yet."""
+        if len(self.pieces) >= MOST_PIECES:
+            self.pieces.clear()
+        spelled = text if text.isascii() else text.translate(self.spelled)
+        ids = self.pieces[text] = array("i", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return ids
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space."""
+        out: list[bytes] = [b""] * len(words)
+        rest, held, plain, pieces = [], self.pieces.get, PLAIN.fullmatch, PATTERN.findall
+        special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
+        for k, w in enumerate(words):
+            if plain(w) and not ("<" in w and special(w)):
+                out[k] = b"".join([held(p) or self.piece(p) for p in pieces(w.lower())])
+            else:
+                rest.append(k)
+        for k, ids in zip(rest, self.whole([words[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+
 @lru_cache(maxsize=1)
-def tokenizer_of(spec: str):
-    from tokenizers import Tokenizer
+def words_of(spec: str) -> Words:
+    return Words(spec)
+
 
-    return Tokenizer.from_str(spec)
+def spelled(values: pa.Array) -> list[str]:
+    """Strings of a binary array; what is no UTF-8 becomes the replacement character."""
+    try:
+        return values.cast(pa.string()).to_pylist()
+    except pa.ArrowInvalid:
+        return [w.as_buffer().to_pybytes().decode("utf-8", "replace") for w in values]
 
 
 def encode_batch(texts: pa.Array, spec: str, end_id: int = END_ID) -> pa.ListArray:
     """Lists of ids of a binary array of texts, each with ``end_id`` behind it."""
-    words, per_text = split_words(texts)
-    coded = words.dictionary_encode()
-    spelled = [w.as_buffer().to_pybytes().decode("utf-8", "replace") for w in coded.dictionary]
-    parts, tokenizer = [], tokenizer_of(spec)
-    for at in range(0, len(spelled), BATCH_WORDS):
-        parts += [np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch_fast(spelled[at : at + BATCH_WORDS], add_special_tokens=False)]
-    flat = np.concatenate([*parts, np.zeros(0, np.int32)])
-    size = np.array([len(p) for p in parts], dtype=np.int64)
+    library = words_of(spec)
+    if library.by_words:
+        words, per_text = split_words(texts)
+        coded = words.dictionary_encode()
+        parts, which = library.words(spelled(coded.dictionary.cast(pa.binary()))), coded.indices.to_numpy()
+    else:
+        parts, which, per_text = library.whole(spelled(pc.fill_null(texts, b""))), np.arange(len(texts)), np.ones(len(texts), dtype=np.int64)
+    flat = np.frombuffer(b"".join(parts), dtype=np.int32)
+    size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
     first = np.cumsum(size) - size
-    which = coded.indices.to_numpy()
     sizes = size[which]
     before = np.cumsum(sizes) - sizes
     ids = flat[np.repeat(first[which] - before, sizes) + np.arange(int(sizes.sum()))]

@@ -31,6 +31,23 @@ def test_words_one_by_one_are_the_text(texts):
     assert t.encode_batch(pa.array(raw, pa.binary()), SPEC).to_pylist() == [plain(None if x is None else x.decode()) for x in raw]
 
 
+def test_every_character_of_the_plain_alphabet():
+    chars = [chr(k) for k in range(0x21, 0x180)] + ["'S", "'ll", "''d", "a'", "x1é", "É.", ".é", "≠", "é̀", "ªº", "²", "İI", "…", "ﬁ"]
+    words = chars + [a + b for a in chars[::7] for b in chars[::5]] + ["a" * 3000, "é" * 2000 + "1" * 50]
+    raw = pa.array([w.encode() for w in words] + [" ".join(words).encode()], pa.binary())
+    assert t.encode_batch(raw, SPEC).to_pylist() == [plain(w) for w in words] + [plain(" ".join(words))]
+
+
+def test_files_of_another_kind_encode_whole_texts():
+    path = t.TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k")
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    texts = ["two  words \n", "", None, "Ünïcode's"]
+    library = Tokenizer.from_file(path)
+    want = [[*library.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    assert t.encode_batch(pa.array([x if x is None else x.encode() for x in texts], pa.binary()), spec).to_pylist() == want
+
+
 DOCS = [(i * 3 % 101, f"document {i} " * (i % 7) + "Ünïcode's end", "s") for i in range(101)] + [(None, "no id", "s"), (7, "again, of id 7", "s"), (7, "again, of id 7", "s"), (500, None, "s"), (501, "", "s"), (502, "very long text " * 90_000, "s")]
 
 
