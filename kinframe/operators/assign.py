@@ -1,20 +1,18 @@
 """Assignment of weighted queries to options under limits, for many workloads at once.
 
 measurements(workload, query, option, cost, mem), weights(workload, query, weight),
-limits(workload, max_options, max_mem). Options are compared as strings or numbers,
-whatever they are; ties go to the lowest cost, then the lowest option, then the
-lowest subset of options.
+limits(workload, max_options, max_mem). Options and queries are compared as strings or numbers,
+whatever they are. One rule for ties: lowest cost, then least memory, then the lowest
+options in order of queries. Cells without a cost count as not measured, those without
+memory as using none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
-
-#: 2**16 subsets at most are tried for a workload.
-MOST_OPTIONS = 16
+from . import optionsets
 
 
 def weighted(measurements: DataFrame, weights: DataFrame) -> DataFrame:
@@ -28,36 +26,10 @@ def weighted(measurements: DataFrame, weights: DataFrame) -> DataFrame:
     return met.select("workload", "query", "option", (F.col("c.cost") * weight).alias("cost"), F.col("c.mem").alias("mem"))
 
 
-def numbered(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells with ``bit`` (place of the option within its workload), and (workload, n_options, n_queries)."""
-    options = cells.select("workload", "option").distinct().withColumn("bit", F.row_number().over(Window.partitionBy("workload").orderBy("option")) - 1)
-    sizes = options.groupBy("workload").agg(F.count(F.lit(1)).alias("n_options"))
-    queries = cells.groupBy("workload").agg(F.count_distinct("query").alias("n_queries"))
-    return cells.join(options, ["workload", "option"]), sizes.join(queries, "workload")
-
-
-def _answers(placed: DataFrame, sizes: DataFrame, limits: DataFrame) -> DataFrame:
-    """(workload, objective, used, picks): the cheapest assignment of each workload under max_options alone.
-
-    Subsets of exactly min(max_options, options) options are tried: a larger one is never worse without a
-    memory limit. Each subset's picks ride along as an array of one entry a query, so the choice is made once.
-    """
-    sized = sizes.join(limits.select("workload", "max_options"), "workload").filter("max_options >= 1")
-    refused = F.assert_true(F.col("n_options") <= MOST_OPTIONS, F.lit(f"a workload has more than {MOST_OPTIONS} options"))
-    bits = F.least("max_options", "n_options").cast("int")
-    every = F.sequence(F.lit(1), F.expr("shiftleft(1, CAST(n_options AS INT)) - 1"))
-    subsets = sized.filter(refused.isNull()).select("workload", "n_queries", F.explode(F.filter(every, lambda x: F.bit_count(x) == bits)).alias("subset"))
-    met = placed.join(subsets, "workload").filter(F.getbit(F.col("subset"), F.col("bit")) == 1)
-    best = met.groupBy("workload", "n_queries", "subset", "query").agg(F.min(F.struct("cost", "option", "mem")).alias("b"))
-    pick = F.struct("query", F.col("b.option").alias("option"), F.col("b.cost").alias("cost"), F.col("b.mem").alias("mem"))
-    whole = best.groupBy("workload", "n_queries", "subset").agg(F.sort_array(F.collect_list(pick)).alias("picks")).filter(F.size("picks") == F.col("n_queries"))
-    sums = whole.select("workload", F.struct(_sum("picks", "cost", "double").alias("objective"), "subset", "picks").alias("w"))
-    return sums.groupBy("workload").agg(F.min("w").alias("w")).select("workload", "w.objective", _sum("w.picks", "mem", "long").alias("used"), "w.picks")
-
-
-def _sum(picks: str, field: str, kind: str) -> Column:
-    """The sum of a field over picks, in their order."""
-    return F.aggregate(F.col(picks), F.lit(0).cast(kind), lambda a, p: a + p[field])
+def _answers(measurements: DataFrame, weights: DataFrame, limits: DataFrame) -> DataFrame:
+    """(workload, objective, picks) of ``optionsets.solved``; the objective is the sum of the picks' costs in order of queries."""
+    cells = weighted(measurements, weights).where("cost is not null")
+    return optionsets.solved(cells, limits).withColumn("objective", F.aggregate("picks", F.lit(0.0), lambda a, p: a + p["cost"]))
 
 
 def cheapest(measurements: DataFrame, weights: DataFrame, limits: DataFrame) -> DataFrame:
@@ -66,54 +38,25 @@ def cheapest(measurements: DataFrame, weights: DataFrame, limits: DataFrame) ->
     One row per (workload, query): option, cost, mem, objective (the workload's sum). Workloads
     without a full assignment have no row; see ``assignment`` for their status.
     """
-    placed, sizes = numbered(weighted(measurements, weights))
-    return _answers(placed, sizes, limits).select("workload", "objective", F.explode("picks").alias("p")).select("workload", "p.*", "objective")
-
-
-def _under_budget(rest: DataFrame, cells: DataFrame) -> DataFrame:
-    """(workload, objective, picks) of ``rest(workload, max_options, max_mem, n_queries)``: the cheapest ways within max_mem.
-
-    States (cost, mem, options used) grow by one query a round, a join of states and the next query's
-    cells. Of states with the same options only those stay that no other beats in cost and memory; nothing else
-    is cut, so the result is exact. A round is written before the next reads it.
-    """
-    pick = "struct<query:{query},option:{option},cost:double,mem:bigint>".format(**{f.name: f.dataType.simpleString() for f in cells.schema.fields})
-    rounds = cells.join(rest.select("workload"), "workload", "left_semi").agg(F.max("step")).first()[0] or 0
-    states = rest.select("*", F.lit(0).cast("long").alias("used"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("mem"), F.array().cast(f"array<{pick}>").alias("picks"))
-    for k in range(1, rounds + 1):
-        here = cells.filter(F.col("step") == k).select("workload", "bit", F.struct("query", "option", "cost", "mem").alias("p"))
-        used = F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
-        grown = states.filter(F.col("n_queries") >= k).join(here, "workload").select("workload", "max_options", "max_mem", "n_queries", used.alias("used"), (F.col("cost") + F.col("p.cost")).alias("cost"), (F.col("mem") + F.col("p.mem")).alias("mem"), F.concat("picks", F.array("p")).alias("picks"))
-        grown = grown.filter((F.bit_count("used") <= F.col("max_options")) & (F.col("mem") <= F.col("max_mem")))
-        before = Window.partitionBy("workload", "used").orderBy("mem", "cost", "picks").rowsBetween(Window.unboundedPreceding, -1)
-        better = F.min("cost").over(before)
-        kept = grown.withColumn("better", better).filter(F.col("better").isNull() | (F.col("cost") < F.col("better"))).drop("better")
-        states = written(kept.unionByName(states.filter(F.col("n_queries") < k)), "states")
-    best = states.groupBy("workload").agg(F.min(F.struct("cost", "mem", "used", "picks")).alias("b"))
-    return best.select("workload", F.col("b.cost").alias("objective"), F.col("b.picks").alias("picks"))
+    free = limits.select("workload", "max_options", F.lit(None).cast("double").alias("max_mem"))
+    return _answers(measurements, weights, free).select("workload", "objective", F.explode("picks").alias("p")).select("workload", "p.*", "objective")
 
 
 def assignment(measurements: DataFrame, weights: DataFrame, limits: DataFrame) -> DataFrame:
     """The cheapest assignment under both limits: (workload, query, option, cost, mem, objective, status).
 
-    Workloads whose answer without a budget fits keep it; only the others are searched again, under
-    the budget. status is ok, or infeasible in one row without a query. A null ``max_mem`` is no limit.
-    Cells and answers are written on the way, so this runs when called.
+    status is ok, or infeasible in one row without a query. A null ``max_mem`` or ``max_options`` is no limit.
     """
-    placed, sizes = numbered(weighted(measurements, weights))
-    steps = placed.select("workload", "query").distinct().withColumn("step", F.row_number().over(Window.partitionBy("workload").orderBy("query")))
-    cells = written(placed.join(steps, ["workload", "query"]), "cells")
-    sizes = written(sizes, "sizes")
-    wanted = limits.select("workload", "max_options", F.col("max_mem").cast("double").alias("max_mem"))
-    asked = written(wanted.join(_answers(cells, sizes, limits), "workload", "left"), "answers")
-    fits = F.col("max_mem").isNull() | (F.col("used") <= F.col("max_mem"))
-    found = asked.filter(fits & F.col("picks").isNotNull()).select("workload", "objective", "picks")
-    rest = asked.filter(~fits).select("workload", "max_options", "max_mem").join(sizes.select("workload", "n_queries"), "workload")
-    found = found.unionByName(_under_budget(rest, cells))
-    out = asked.select("workload").join(found, "workload", "left").select("workload", "objective", F.explode_outer("picks").alias("p"))
+    asked = limits.select("workload").distinct()
+    out = asked.join(_answers(measurements, weights, limits), "workload", "left").select("workload", "objective", F.explode_outer("picks").alias("p"))
     return out.select("workload", "p.*", "objective", F.when(F.col("p").isNull(), "infeasible").otherwise("ok").alias("status"))
 
 
+def selected_options(answers: DataFrame) -> DataFrame:
+    """(workload, option, n_queries, cost, mem): the options that an answer of ``cheapest`` or ``assignment`` uses."""
+    return answers.where("query is not null").groupBy("workload", "option").agg(F.count(F.lit(1)).alias("n_queries"), F.sum("cost").alias("cost"), F.sum("mem").alias("mem"))
+
+
 def everything_on(measurements: DataFrame, weights: DataFrame) -> DataFrame:
     """(workload, option, cost, mem) if all queries used the option; options that lack a query have no row."""
     cells = weighted(measurements, weights)

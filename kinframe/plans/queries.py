@@ -7,13 +7,14 @@ fixed type on both sides; nested results are flattened to figures.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsoncol, names
 from ..functions.predicate import And, Cmp, Col, Not, Or, any_in, expect_one, to_column, where, where_in
-from ..operators import assign, compare, integrity, measure, metadata, relation, select
+from ..operators import assign, compare, discover, integrity, matching, measure, metadata, relation, select
 from ..sources import tables as source
 from ..sources.scratch import shared_folder
 from ..spec import Cardinality, EntitySpec, RelationSpec
@@ -637,6 +638,37 @@ def met3_profile_orders(s, d):
     return metadata.profile(orders(s, d), "orders", exact=True).select("column_name", "n_nulls", "n_distinct", "max_length")
 
 
+KEY_TABLES = (t.EVENTS, t.PART)
+SETS = {spec.table_name: [c for size in (1, 2, 3) for c in combinations([p.name for p in spec.properties], size)] for spec in KEY_TABLES}
+COUNTED_SETS = " UNION ALL ".join(f"SELECT '{name}' AS table_name, [{', '.join(repr(c) for c in cols)}] AS cols, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(cols)} FROM {name})) = (SELECT count(*) FROM {name}) AS is_key" for name, sets in SETS.items() for cols in sets)
+
+
+@query(f"""
+WITH s AS ({COUNTED_SETS}), k AS (SELECT table_name, cols FROM s WHERE is_key)
+SELECT table_name, array_to_string(cols, ',') AS columns, CAST(len(cols) AS INTEGER) AS n_columns FROM k
+WHERE NOT EXISTS (SELECT 1 FROM k AS o WHERE o.table_name = k.table_name AND len(o.cols) < len(k.cols) AND list_has_all(k.cols, o.cols))
+""")
+def met3_composite_keys(s, d):
+    """Every minimal key of up to three columns of events and part."""
+    return discover.composite_keys({spec.table_name: source.scan(s, spec, d) for spec in KEY_TABLES})
+
+
+KINDS = {"bigint": "i", "int": "i", "string": "s", "double": "d", "timestamp_ntz": "t"}
+VALUES = " UNION ALL ".join(f"SELECT '{spec.table_name}' AS t, '{p.name}' AS c, '{KINDS[p.type.simpleString()]}' AS kind, CAST({p.name} AS VARCHAR) AS v, count(*) AS n FROM {spec.table_name} WHERE {p.name} IS NOT NULL GROUP BY ALL" for spec in t.ALL for p in spec.properties)
+
+
+@query(f"""
+WITH v AS MATERIALIZED ({VALUES}), c AS (SELECT t, c, kind, count(*) AS n_values, max(n) = 1 AS is_unique FROM v GROUP BY ALL),
+keys AS (SELECT * FROM c WHERE is_unique),
+met AS (SELECT a.t AS at, a.c AS ac, b.t AS bt, b.c AS bc, count(*) AS n FROM v a JOIN v b ON a.kind = b.kind AND a.v = b.v JOIN keys k ON b.t = k.t AND b.c = k.c WHERE (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)
+SELECT met.at AS table_name, met.ac AS column_name, met.bt AS ref_table, met.bc AS ref_column, x.n_values, k.n_values AS n_ref, x.is_unique
+FROM met JOIN c x ON x.t = met.at AND x.c = met.ac JOIN keys k ON k.t = met.bt AND k.c = met.bc WHERE n = x.n_values
+""")
+def met3_inclusions(s, d):
+    """Every column of every table whose values all occur in a key of any table."""
+    return discover.inclusions({spec.table_name: source.scan(s, spec, d) for spec in t.ALL})
+
+
 SPARK_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP"}
 
 
@@ -863,6 +895,12 @@ FROM budget b JOIN nq USING (workload) LEFT JOIN ways w ON w.workload = b.worklo
 """
 
 
+@query(f"SELECT workload, option, count(*) AS n_queries FROM ({PAIRS}) GROUP BY ALL")
+def asn1_selected(s, d):
+    """The options that the cheapest assignment uses."""
+    return assign.selected_options(assign.cheapest(*problem(s, d))).select("workload", "option", "n_queries")
+
+
 @query(BUDGET)
 def asn2_with_budget(s, d):
     out = assign.assignment(*problem(s, d))
@@ -915,6 +953,40 @@ def dif1_by_key(s, d):
     return out.select("o_orderkey", "only", F.array_join("differing", ",").alias("differing"))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 5 THEN 'left' WHEN o_orderkey % 1000 = 7 THEN 'right' END AS only, CASE WHEN o_orderkey % 1000 = 3 THEN 'o_totalprice' ELSE '' END AS differing FROM orders WHERE o_orderkey % 1000 IN (3, 5, 7)")
+def dif1_by_ranges(s, d):
+    """One order in a thousand changed, one missing on either side: only their ranges are exchanged."""
+    k = F.col("o_orderkey") % 1000
+    changed = orders(s, d).where(k != 5).withColumn("o_totalprice", F.col("o_totalprice") + F.when(k == 3, 1.0).otherwise(0.0))
+    out = matching.differences_by_ranges(orders(s, d).where(k != 7), changed, ["o_orderkey"])
+    return out.select("o_orderkey", "only", F.array_join("differing", ",").alias("differing"))
+
+
+#: Two pointers a group, as a recursion: the lower of both values has no partner, or both are one pair.
+TWO_POINTERS = """
+WITH RECURSIVE
+a AS (SELECT l_partkey AS g, l_extendedprice AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice) AS k FROM lineitem WHERE l_returnflag = 'R'),
+b AS (SELECT l_partkey AS g, l_extendedprice AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice) AS k FROM lineitem WHERE l_returnflag = 'A'),
+s AS (
+  SELECT g, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(NULL AS DOUBLE) AS lone, CAST(NULL AS INTEGER) AS side FROM (SELECT g FROM a UNION SELECT g FROM b)
+  UNION ALL
+  SELECT s.g,
+         CASE WHEN a.v IS NOT NULL AND (b.v IS NULL OR a.v <= b.v + 0 OR abs(a.v - b.v) <= 4000) AND (b.v IS NULL OR abs(a.v - b.v) <= 4000 OR a.v < b.v) THEN i + 1 ELSE i END,
+         CASE WHEN b.v IS NOT NULL AND (a.v IS NULL OR abs(a.v - b.v) <= 4000 OR b.v < a.v) THEN j + 1 ELSE j END,
+         CASE WHEN abs(a.v - b.v) <= 4000 THEN NULL WHEN b.v IS NULL OR a.v < b.v THEN a.v ELSE b.v END,
+         CASE WHEN abs(a.v - b.v) <= 4000 THEN NULL WHEN b.v IS NULL OR a.v < b.v THEN 1 ELSE -1 END
+  FROM s LEFT JOIN a ON a.g = s.g AND a.k = i LEFT JOIN b ON b.g = s.g AND b.k = j WHERE a.v IS NOT NULL OR b.v IS NOT NULL)
+SELECT g AS l_partkey, lone AS l_extendedprice, count(*) FILTER (WHERE side = 1) AS n_left, count(*) FILTER (WHERE side = -1) AS n_right FROM s WHERE side IS NOT NULL GROUP BY ALL
+"""
+
+
+@query(TWO_POINTERS)
+def dif1_within_tolerance(s, d):
+    """Returned against accepted lines of a part: prices within 4,000 of each other are one, each once."""
+    side_of = lambda flag: where(lines(s, d), Cmp("l_returnflag", "=", flag)).select("l_partkey", "l_extendedprice")
+    return matching.differences_within(side_of("R"), side_of("A"), "l_extendedprice", 4000.0)
+
+
 SIDES = "SELECT l_partkey, l_suppkey, count(*) FILTER (WHERE l_quantity > 30) AS n_left, count(*) FILTER (WHERE l_quantity < 40) AS n_right FROM lineitem GROUP BY ALL"
 
 

@@ -389,3 +389,185 @@ def test_no_machine_local_folder_on_a_cluster(tmp_path):
     for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
         with pytest.raises(ValueError):
             shared_folder(session(master=master), "x")
+
+
+def brute(cells, queries, options, most, budget):
+    """(cost, mem, picks) by trying every way; None if there is none."""
+    import itertools
+
+    ways = []
+    for way in itertools.product(options, repeat=len(queries)):
+        got = [cells.get((q, o)) for q, o in zip(queries, way, strict=True)]
+        if len(set(way)) <= most and None not in got and (budget is None or sum(m for _, m in got) <= budget):
+            ways.append((sum(c for c, _ in got), sum(m for _, m in got), list(way)))
+    return min(ways, default=None)
+
+
+def answers(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.workload, []).append(r)
+    return {w: None if rs[0].query is None else (rs[0].objective, sum(r.mem for r in rs), [r.option for r in sorted(rs, key=lambda r: r.query)]) for w, rs in out.items()}
+
+
+def test_search_against_brute_force(spark):
+    """Missing cells, ties, budgets that bind or not, one to all options."""
+    import random
+
+    rng = random.Random(8)
+    problems, cells = {}, []
+    for w in range(60):
+        nq, nf = rng.randint(1, 5), rng.randint(1, 5)
+        mine = {(q, o): (float(rng.randint(0, 6)), rng.randint(0, 9)) for q in range(nq) for o in range(nf) if rng.random() < 0.85}
+        queries, options = sorted({q for q, _ in mine}), sorted({o for _, o in mine})
+        problems[w] = (mine, queries, options, rng.randint(1, nf), rng.choice([None, rng.randint(0, 9 * nq)]))
+        cells += [(w, q, o, c, m) for (q, o), (c, m) in mine.items()]
+    m = spark.createDataFrame(cells, "workload int, query int, option int, cost double, mem long")
+    w = spark.createDataFrame([], "workload int, query int, weight int")
+    limits = spark.createDataFrame([(k, p[3], p[4]) for k, p in problems.items()], "workload int, max_options int, max_mem long")
+    got = answers(assign.assignment(m, w, limits).collect())
+    assert got == {k: brute(*p) if p[1] else None for k, p in problems.items()}
+    free = answers(assign.cheapest(m, w, limits).collect())
+    assert free == {k: brute(*p[:4], None) for k, p in problems.items() if p[1] and brute(*p[:4], None)}
+
+
+def test_forty_options_five_of_them(spark):
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    cost = rng.integers(1, 1000, (40, 30)).astype(float)
+    m = spark.createDataFrame([("w", q, f"o{o:02}", float(cost[o, q]), 1) for o in range(40) for q in range(30)], "workload string, query int, option string, cost double, mem long")
+    w = spark.createDataFrame([], "workload string, query int, weight int")
+    got = assign.cheapest(m, w, spark.createDataFrame([("w", 5)], "workload string, max_options int")).collect()
+    pairs = np.array(list(itertools.combinations(range(40), 2)))
+    least = np.minimum(cost[pairs[:, 0]], cost[pairs[:, 1]])
+    best = min(np.minimum(least, np.minimum(least[k], cost[o])).sum(axis=1).min() for k in range(len(pairs)) for o in range(pairs[k, 1] + 1, 40))
+    assert got[0].objective == best and len(got) == 30 and {r.option for r in got} == {r.option for r in assign.selected_options(spark.createDataFrame(got)).collect()}
+
+
+def test_a_hundred_queries_under_a_budget(spark):
+    """Against a knapsack table over memory, for each pair of options."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(13)
+    cost, mem = rng.uniform(1, 100, (6, 100)).round(3), rng.integers(1, 40, (6, 100))
+    budget = 1700  # pairs need 1,000 to 1,400 at least, and 2,000 for their cheapest choices
+    best = np.inf
+    for pair in itertools.combinations(range(6), 2):
+        table = np.zeros(budget + 1)
+        for q in range(100):
+            table = np.min([np.concatenate([np.full(min(mem[o, q], budget + 1), np.inf), table[: max(0, budget + 1 - mem[o, q])]]) + cost[o, q] for o in pair], axis=0)
+        best = min(best, table[-1])
+    m = spark.createDataFrame([(1, q, o, float(cost[o, q]), int(mem[o, q])) for o in range(6) for q in range(100)], "workload int, query int, option int, cost double, mem long")
+    w = spark.createDataFrame([], "workload int, query int, weight int")
+    got = assign.assignment(m, w, spark.createDataFrame([(1, 2, budget)], "workload int, max_options int, max_mem long")).collect()
+    assert got[0].objective == pytest.approx(best, abs=1e-6) and sum(r.mem for r in got) <= budget and len({r.option for r in got}) <= 2
+
+
+def pairs_at_most(a, b, tolerance):
+    """The greatest number of pairs of one of ``a`` and one of ``b`` within the tolerance, by augmenting paths."""
+    partner = {}
+
+    def place(i, seen):
+        for j, y in enumerate(b):
+            if abs(a[i] - y) <= tolerance and j not in seen:
+                seen.add(j)
+                if j not in partner or place(partner[j], seen):
+                    partner[j] = i
+                    return True
+        return False
+
+    return sum(place(i, set()) for i in range(len(a)))
+
+
+def test_rows_without_a_key_within_a_tolerance(spark):
+    import random
+    from collections import Counter, defaultdict
+
+    from kinframe.operators import matching
+
+    rng = random.Random(21)
+    sides = [[(g, round(rng.uniform(0, 6), 2)) for g in ("a", "b", None, "c") for _ in range(rng.randint(3, 14))] for _ in range(2)]
+    sides[0] += [("a", 100.0)] * 40 + [("b", None), ("b", float("nan")), ("c", float("inf")), ("c", -float("inf"))]
+    sides[1] += [("a", 100.4)] * 55 + [("b", None), ("b", None), ("c", float("inf")), ("d", 0.0)]
+    left, right = (spark.createDataFrame(s, "g string, v double") for s in sides)
+    for tolerance in (0.0, 0.3, 0.5, 2.0, 1000.0):
+        for parts in (1, 9):  # with nine ranges, runs of close values lie across borders
+            rows = matching.differences_within(left, right, "v", tolerance, partitions=parts).collect()
+            got = Counter()
+            for r in rows:
+                got[r.g] += r.n_left
+                got[r.g, "right"] += r.n_right
+            for g in ("a", "b", None, "c", "d"):
+                a, b = ([v for k, v in s if k == g and v is not None and abs(v) < float("inf")] for s in sides)
+                odd = [Counter(repr(v) for k, v in s if k == g and not (v is not None and abs(v) < float("inf"))) for s in sides]
+                pairs = pairs_at_most(a, b, tolerance) + sum((odd[0] & odd[1]).values())
+                n = [sum(k == g for k, _ in s) for s in sides]
+                assert (got[g], got[g, "right"]) == (n[0] - pairs, n[1] - pairs)
+            have = defaultdict(lambda: [0, 0])
+            for k, s in enumerate(sides):
+                for row in s:
+                    have[repr(row)][k] += 1
+            assert all(r.n_left <= have[repr((r.g, r.v))][0] and r.n_right <= have[repr((r.g, r.v))][1] for r in rows)
+    assert matching.differences_within(left, left, "v", 0.1).count() == 0
+    assert matching.differences_within(left.filter("false"), right.filter("false"), "v", 0.1).count() == 0
+    assert matching.differences_within(spark.createDataFrame([(0.49,)], "v double"), spark.createDataFrame([(0.51,)], "v double"), "v", 0.05).count() == 0
+    for bad in (("g", 1.0), ("v", -1.0), ("v", float("nan"))):
+        with pytest.raises(ValueError):
+            matching.differences_within(left, right, *bad)
+
+
+def test_differences_by_ranges(spark):
+    from kinframe.operators import matching
+
+    left = spark.range(20_000).selectExpr("id AS k", "concat('v', id % 97) AS s", "CAST(id AS double) AS v")
+    right = left.where("k <> 77").selectExpr("k", "IF(k = 5000, 'other', s) AS s", "IF(k = 9000, 0.0D, v) AS v").unionByName(spark.createDataFrame([(30_000, "new", 1.0)], "k long, s string, v double"))
+    want = sorted(map(tuple, compare.differences_by_key(left, right, ["k"]).collect()))
+    assert sorted(map(tuple, matching.differences_by_ranges(left, right, ["k"]).collect())) == want and len(want) == 4
+    ranges, width, few = matching.unequal_ranges(left, right, ["k"], bits=6, levels=3, enough=0)
+    assert width == 18 and few and ranges.count() == 4
+    assert matching._within(left, ranges, few, ["k"], width).count() <= 6  # of 20,000 rows; the others stay where they are
+    assert matching.differences_by_ranges(left, left, ["k"]).count() == 0
+    near = left.withColumn("v", left.v + 0.001)
+    assert matching.differences_by_ranges(left, near, ["k"], tolerance=0.01).count() == 0
+    odd = spark.createDataFrame([(None, "x", None), (None, "x", None), (1, None, -0.0)], "k long, s string, v double")
+    assert matching.differences_by_ranges(odd, odd, ["k"]).count() == 0
+    assert matching.differences_by_ranges(odd.where("k = 1"), odd.filter("false"), ["k"]).collect()[0].only == "left"
+
+
+def test_composite_keys(spark):
+    import itertools
+    import random
+
+    from kinframe.operators import discover
+
+    rng = random.Random(2)
+    rows = [(i // 40, i % 40, rng.randint(0, 3), rng.randint(0, 9999) if i else None, float(i // 20), None) for i in range(400)]
+    df = spark.createDataFrame(rows, "`a,b` long, b int, c int, d int, e double, f string")
+    got = set(discover.unique_sets(df, 3))
+    full = [i for i in range(6) if all(r[i] is not None for r in rows)]
+    keys = []
+    for size in (1, 2, 3):
+        keys += [s for s in itertools.combinations(full, size) if not any(set(k) <= set(s) for k in keys) and len({tuple(r[i] for i in s) for r in rows}) == len(rows)]
+    assert got == {tuple(df.columns[i] for i in s) for s in keys} and ("a,b", "b") in got
+    assert discover.unique_sets(df.limit(1)) == [] and discover.unique_sets(df.filter("false")) == []
+    assert discover.unique_sets(df.unionAll(df)) == []
+
+
+def test_inclusions_and_relations(spark):
+    from kinframe.operators import discover
+    from kinframe.spec import Cardinality
+
+    parent = spark.createDataFrame([(i, f"n{i}", i % 5) for i in range(1, 3001)], "id long, name string, z int")
+    child = spark.createDataFrame([(i, None if i % 7 == 0 else i % 2900 + 1, f"n{i}" if i != 4321 else "missing", 5000 - i) for i in range(1, 5001)], "cid long, pid int, pname string, pid2 long")
+    got = {tuple(r)[:4]: (r.n_values, r.n_ref, r.is_unique) for r in discover.inclusions({"parent": parent, "child": child, "none": parent.filter("false")}).collect()}
+    assert got[("child", "pid", "parent", "id")][1:] == (3000, False) and ("child", "pname", "parent", "name") not in got
+    assert got[("parent", "id", "child", "cid")] == (3000, 5000, True) and ("child", "pid2", "child", "cid") not in got  # 0 is no cid
+    assert got[("parent", "z", "child", "pid2")] == (5, 5000, False)
+    specs = discover.proposed_relations(discover.inclusions({"parent": parent, "child": child}))
+    kinds = {(a, b, s.pairs): s.cardinality for a, b, s in specs}
+    assert kinds[("parent", "child", (("id", "pid"),))] is Cardinality.ONE_TO_MANY and kinds[("child", "parent", (("cid", "id"),))] is Cardinality.ONE_TO_ONE
