@@ -25,14 +25,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.identify(docs, known).where("not rejected").select(*DOCUMENTS)
 
 
+def own_ids(docs: DataFrame, folder: str) -> DataFrame:
+    """``docs`` with ``_digest`` of the text and ``_id``: doc_id, but a number above all of them for further texts of one id.
+
+    So an id's texts are documents of their own, those after the first (by digest) as if they came last.
+    """
+    digested = docs.withColumn("_digest", F.coalesce(F.md5("text"), F.lit("")))  # no text is a text of its own
+    per_id = digested.where("doc_id is not null").groupBy("doc_id").agg(F.min("_digest").alias("first"), F.max("_digest").alias("last"))
+    several = stash(per_id.where("first <> last").select("doc_id", "first"), f"{folder}/several")
+    if not several.take(1):
+        return digested.withColumn("_id", F.col("doc_id"))
+    top = docs.agg(F.max("doc_id")).first()[0]
+    further = digested.join(several, "doc_id").where("_digest <> first").select("doc_id", "_digest").distinct()
+    further = stash(further.withColumn("_fresh", F.monotonically_increasing_id() + (top + 1)), f"{folder}/further")
+    return digested.join(further, ["doc_id", "_digest"], "left").withColumn("_id", F.coalesce("_fresh", "doc_id")).drop("_fresh")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group, one row of each of its texts; rows without an id all stay."""
-    docs = columns_or_null(docs, DOCUMENTS)
-    dropped = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti")
+    """Keep the document of least id of each group; of equal rows one stays, unlike texts of one id are documents of their own, and rows without an id all stay."""
+    docs = own_ids(columns_or_null(docs, DOCUMENTS), work_dir(spark, "ids"))
+    dropped = neardup.near_duplicates(docs.select(F.col("_id").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    left = docs.join(dropped, "_id", "left_anti")
     # rows of one id: exchanged with the text only here, where the join has dealt them by id already
-    own = left.where("doc_id is not null").withColumn("_digest", F.md5("text")).dropDuplicates(["doc_id", "_digest"]).select(*DOCUMENTS)
-    return own.unionByName(docs.where("doc_id is null")).select(*DOCUMENTS)
+    own = left.where("_id is not null").dropDuplicates(["_id", "_digest"]).select(*DOCUMENTS)
+    return own.unionByName(docs.where("_id is null").select(*DOCUMENTS)).select(*DOCUMENTS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
