@@ -79,15 +79,27 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[flo
     return ends.select(*[F.col(g).alias(b) for g, b in zip(groups, by, strict=True)], *[x.alias(f"q{i + 1}") for i, x in enumerate(between)])
 
 
+def _boxed(df: DataFrame, by: Sequence[str], value: str, whisker: float) -> tuple[DataFrame, Column]:
+    """Rows with the quartiles of their group, and whether a row lies within the whiskers."""
+    q = quantiles(df, by, value, (0.25, 0.5, 0.75)).select(*[F.col(b).alias(f"_{b}") for b in by], "q1", "q2", "q3")
+    reach = (F.col("q3") - F.col("q1")) * whisker
+    met = df.join(q, [df[b].eqNullSafe(q[f"_{b}"]) for b in by]).drop(*[f"_{b}" for b in by])
+    return met, (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
+
+
+def outliers(df: DataFrame, by: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:
+    """The rows that ``box_figures`` counts as outliers, with ``side``: low or high. Rows without a value are none."""
+    met, inside = _boxed(df, by, value, whisker)
+    side = F.when(F.col(value) < F.col("q2"), "low").otherwise("high").alias("side")
+    return met.where(~inside).select(*[F.col(f"`{c}`") for c in df.columns], side)
+
+
 def box_figures(df: DataFrame, by: Sequence[str], value: str, whisker: float = 1.5) -> DataFrame:
     """Box-plot figures by group: quartiles (interpolated), whisker ends, number of outliers.
 
     Whiskers end at the last values within ``whisker`` times the quartile distance of the box.
     """
-    q = quantiles(df, by, value, (0.25, 0.5, 0.75)).select(*[F.col(b).alias(f"_{b}") for b in by], "q1", "q2", "q3")
-    reach = (F.col("q3") - F.col("q1")) * whisker
-    met = df.join(q, [df[b].eqNullSafe(q[f"_{b}"]) for b in by])
-    inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
+    met, inside = _boxed(df, by, value, whisker)
     return met.groupBy(*by, "q1", "q2", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("n_outliers"))
 
 

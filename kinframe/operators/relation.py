@@ -1,8 +1,8 @@
 """Related rows as nested rows, and back.
 
 Children are grouped before the join, so a parent row is never repeated. A parent
-with very many children is one very large row; where that can happen use ``flat``,
-which gives the same pairs as rows and lets a skewed join be split.
+with very many children is one very large row; where that can happen use ``include_in_chunks``,
+or ``flat``, which gives the same pairs as rows and lets a skewed join be split.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicate import where
 from ..spec import Cardinality, RelationSpec, quoted
+from .integrity import dense_keys
 
 
 def _sorted_children(columns: Sequence[str], first: Sequence[str]) -> Column:
@@ -51,6 +52,31 @@ def include_many(parent: DataFrame, child: DataFrame, rel: RelationSpec, name: s
     return _attach(parent, grouped, [a for a, _ in rel.pairs], keys, name)
 
 
+def include_in_chunks(parent: DataFrame, child: DataFrame, rel: RelationSpec, size: int, name: str | None = None, order_by: Sequence[str] = ()) -> DataFrame:
+    """1:N with children in arrays of ``size`` at most: the parent's columns, ``chunk`` (from 0) and the array, a row a chunk.
+
+    Children are numbered over all parents in order of key, ``order_by`` and all columns, by one range exchange, and cut
+    at every ``size``-th number; so a parent's first and last chunk may be short, the others are full, and no task or row holds
+    more of a parent than others do. A parent without children has one row with an empty array. ``flatten`` gives the children back.
+    Numbers are written on the way, so this runs when called.
+    """
+    if rel.cardinality not in (Cardinality.ONE_TO_MANY, Cardinality.ONE_TO_ONE):
+        raise ValueError(f"{rel.name} is {rel.cardinality.value}")
+    if size < 1:
+        raise ValueError("a chunk has one child at least")
+    name = name or rel.name
+    keys = [f"_k{i}" for i in range(len(rel.pairs))]
+    near = [b for _, b in rel.pairs]
+    placed = dense_keys(_keys_not_null(child, near), [*near, *[c for c in order_by if c not in near]], "_place", 0)
+    grouped = placed.withColumn("_chunk", F.floor(F.col("_place") / size)).groupBy(*[quoted(b).alias(k) for b, k in zip(near, keys, strict=True)], "_chunk").agg(_sorted_children(child.columns, order_by).alias(name))
+    # a row a chunk of a parent, no children
+    firsts = placed.groupBy(*[quoted(b).alias(f"f{k}") for b, k in zip(near, keys, strict=True)]).agg(F.floor(F.min("_place") / size).alias("_first"))
+    numbered = grouped.join(firsts, [F.col(k) == F.col(f"f{k}") for k in keys]).withColumn("_chunk", F.col("_chunk") - F.col("_first"))
+    joined = parent.join(numbered, [parent[f"`{a}`"] == numbered[k] for (a, _), k in zip(rel.pairs, keys, strict=True)], "left")
+    empty = F.array().cast(grouped.schema[name].dataType)
+    return joined.select(*[parent[f"`{c}`"] for c in parent.columns if c not in (name, "chunk")], F.coalesce("_chunk", F.lit(0)).cast("long").alias("chunk"), F.coalesce(numbered[name], empty).alias(name))
+
+
 def include_many_to_many(source: DataFrame, junction: DataFrame, target: DataFrame, rel: RelationSpec, name: str | None = None, order_by: Sequence[str] = ()) -> DataFrame:
     """N:M through a junction: an array of targets for each source row; ``rel.inverse()`` gives the other side.
 

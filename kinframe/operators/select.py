@@ -141,7 +141,7 @@ def first_n(df: DataFrame, spec: EntitySpec, n: int, *by: str | tuple[str, bool]
 
 
 def page(df: DataFrame, spec: EntitySpec, skip: int, take: int, *by: str | tuple[str, bool]) -> DataFrame:
-    """Rows ``skip`` to ``skip + take`` of a total order; costs grow with ``skip``, see ``page_after``."""
+    """Rows ``skip`` to ``skip + take`` of a total order; costs grow with ``skip``, see ``page_after`` and ``paging.page_by_rank``."""
     return order(df, *total_order(spec, by)).offset(skip).limit(take)
 
 

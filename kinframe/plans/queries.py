@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsoncol, names
 from ..functions.predicate import And, Cmp, Col, Not, Or, any_in, expect_one, to_column, where, where_in
-from ..operators import assign, compare, discover, integrity, matching, measure, metadata, relation, select
+from ..operators import assign, compare, discover, integrity, keyblocks, matching, measure, metadata, paging, rangejoin, relation, select
 from ..sources import tables as source
 from ..sources.scratch import shared_folder
 from ..spec import Cardinality, EntitySpec, RelationSpec
@@ -164,6 +164,14 @@ def src10_write_measurements(s, d):
     return back.groupBy(F.col("workload").cast("long").alias("workload")).agg(F.count(F.lit(1)).alias("n"), F.sum("mem").alias("mem"))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey BETWEEN 26 AND 29")
+def src10_clustered(s, d):
+    """Lines written in order of their order, and four orders looked up in the files."""
+    folder = shared_folder(s, "clustered")
+    source.write_clustered(lines(s, d), folder, ["l_orderkey", "l_linenumber"], bloom=["l_partkey"])
+    return where(s.read.parquet(folder), Cmp("l_orderkey", "between", (26, 29))).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
 # projection
 
 
@@ -373,6 +381,21 @@ def jon7_condition_tree(s, d):
     return select.join(orders(s, d), lines(s, d), on, aliases=("o", "l")).select("o_orderkey", "l_linenumber", "l_quantity")
 
 
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 250")
+def jon7_band(s, d):
+    """Customers and suppliers of a nation with balances within 250."""
+    met = rangejoin.band_join(customers(s, d), suppliers(s, d), "c_acctbal", "s_acctbal", 250.0, [("c_nationkey", "s_nationkey")])
+    return met.select("c_custkey", "s_suppkey")
+
+
+@query("SELECT o_orderkey, l_orderkey, l_linenumber, count(*) AS n FROM orders JOIN lineitem ON o_custkey = l_partkey AND o_orderdate BETWEEN l_shipdate AND l_shipdate + to_days(CAST(l_quantity AS INTEGER)) GROUP BY ALL")
+def jon7_interval(s, d):
+    """Orders within as many days of a line's shipment as its quantity, by customer and part number."""
+    spans = lines(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", (F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("until"))
+    met = rangejoin.interval_join(orders(s, d).select("o_orderkey", "o_custkey", "o_orderdate"), spans, "o_orderdate", "l_shipdate", "until", [("o_custkey", "l_partkey")])
+    return met.groupBy("o_orderkey", "l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT c.c_mktsegment, count(*) AS n FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY c.c_mktsegment")
 def jon8_chain(s, d):
     first = select.join(customers(s, d), orders(s, d), [("c_custkey", "o_custkey")], aliases=("c", "o"))
@@ -408,6 +431,21 @@ def rel1_include_many(s, d):
     return nested_figures(relation.include_many(orders(s, d), child, t.ORDER_LINES, order_by=["l_linenumber"]))
 
 
+CHUNKS = """
+WITH k AS (SELECT n_nationkey, c_custkey, (row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1) // 16 AS place FROM nation JOIN customer ON n_nationkey = c_nationkey),
+f AS (SELECT n_nationkey, c_custkey, place - min(place) OVER (PARTITION BY n_nationkey) AS chunk FROM k)
+SELECT n.n_nationkey, coalesce(chunk, 0) AS chunk, count(c_custkey) AS n_customers, min(c_custkey) AS first_customer FROM nation n LEFT JOIN f ON n.n_nationkey = f.n_nationkey GROUP BY ALL
+"""
+
+
+@query(CHUNKS)
+def rel1_in_chunks(s, d):
+    """Nations with their customers, 16 a row."""
+    by_nation = RelationSpec("customers", Cardinality.ONE_TO_MANY, (("n_nationkey", "c_nationkey"),))
+    met = relation.include_in_chunks(nations(s, d), customers(s, d).select("c_nationkey", "c_custkey"), by_nation, 16, order_by=["c_custkey"])
+    return met.select("n_nationkey", "chunk", F.size("customers").cast("long").alias("n_customers"), F.array_min(F.transform("customers", lambda x: x["c_custkey"])).alias("first_customer"))
+
+
 @query("SELECT count(*) AS n_orders, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS n_empty FROM orders")
 def rel2_optional_many(s, d):
     nested = relation.include_many(orders(s, d), lines(s, d).select("l_orderkey", "l_linenumber"), t.ORDER_LINES)
@@ -565,6 +603,13 @@ def srt4_page(s, d):
     return select.page(orders(s, d).select("o_orderkey", "o_orderdate"), t.ORDERS, 1000, 50, "o_orderdate")
 
 
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET (SELECT CAST(floor(count(*) * 0.9) AS BIGINT) FROM orders)")
+def srt4_page_by_rank(s, d):
+    """A page nine tenths into the orders, latest first."""
+    found = orders(s, d).select("o_orderkey", "o_orderdate")
+    return paging.page_by_rank(found, t.ORDERS, int(found.count() * 0.9), 50, ("o_orderdate", False))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 50")
 def srt5_page_after(s, d):
     return select.page_after(orders(s, d).select("o_orderkey", "o_custkey"), t.ORDERS, 1000, 50)
@@ -745,6 +790,17 @@ def key5_dense_keys(s, d):
     return integrity.dense_keys(orders(s, d).select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "id")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus = 'P', o_orderkey) AS id, true AS again FROM orders")
+def key5_two_batches(s, d):
+    """Open and closed orders, then orders in progress: keys go on, and the first batch again has its old ones."""
+    ledger = shared_folder(s, "ledger")
+    done, rest = (orders(s, d).where(c).select("o_orderkey") for c in ("o_orderstatus <> 'P'", "o_orderstatus = 'P'"))
+    first = keyblocks.continued_keys(done, ["o_orderkey"], ledger, "done")
+    second = keyblocks.continued_keys(rest, ["o_orderkey"], ledger, "rest")
+    again = keyblocks.continued_keys(done, ["o_orderkey"], ledger, "done").unionByName(keyblocks.continued_keys(rest, ["o_orderkey"], ledger, "rest"))
+    return first.unionByName(second).join(again.withColumnRenamed("id", "old"), "o_orderkey").select("o_orderkey", "id", (F.col("id") == F.col("old")).alias("again"))
+
+
 @query("SELECT count(*) AS n, count(*) AS n_ids FROM orders")
 def key6_hilo_keys(s, d):
     return select.scalar(integrity.hilo_keys(orders(s, d)), F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
@@ -819,6 +875,17 @@ def msr6_box_figures(s, d):
     return out.select("event_type", *[F.round(c, 6).cast("decimal(18,6)").alias(c) for c in ("q1", "q2", "q3", "low", "high")], "n_outliers")
 
 
+OUTLIERS = """
+WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS q2, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_totalprice < q2 THEN 'low' ELSE 'high' END AS side FROM orders JOIN q USING (o_orderpriority) WHERE o_totalprice < q1 - 0.4 * (q3 - q1) OR o_totalprice > q3 + 0.4 * (q3 - q1)
+"""
+
+
+@query(OUTLIERS)
+def msr6_outliers(s, d):
+    return measure.outliers(orders(s, d), ["o_orderpriority"], "o_totalprice", 0.4).select("o_orderkey", "side")
+
+
 HISTOGRAM = """
 WITH e AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1)
 SELECT x.event_type, CAST(least(floor((value - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, count(*) AS n FROM events x JOIN e ON x.event_type = e.event_type GROUP BY ALL

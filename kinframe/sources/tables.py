@@ -82,3 +82,18 @@ def write_measurements(df: DataFrame, path: str, partition_by: tuple[str, ...] =
         out.option("header", True).option("sep", ";").csv(path)
     else:
         raise ValueError(f"unknown kind {kind!r}")
+
+
+def write_clustered(df: DataFrame, path: str, by: Sequence[str], row_group_bytes: int = 32 << 20, page_rows: int = 2_000, bloom: Sequence[str] = ()) -> None:
+    """Write Parquet files sorted by ``by``, one range a file, so that a lookup by ``by`` seeks instead of scanning.
+
+    Files and row groups hold ranges that do not overlap, and pages their bounds, so a filter on the
+    first columns of ``by`` reads the pages that can hold the value. ``bloom``: further columns to look values up by; a Bloom filter a
+    row group tells which groups cannot have them.
+    """
+    names = [quoted(c) for c in by]
+    out = df.repartitionByRange(*names).sortWithinPartitions(*names).write.option("parquet.block.size", str(row_group_bytes)).option("parquet.page.row.count.limit", str(page_rows))
+    for c in bloom:
+        # filters are not made for columns that dictionaries describe already
+        out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.enable.dictionary#{c}", "false")
+    out.parquet(path)

@@ -571,3 +571,113 @@ def test_inclusions_and_relations(spark):
     specs = discover.proposed_relations(discover.inclusions({"parent": parent, "child": child}))
     kinds = {(a, b, s.pairs): s.cardinality for a, b, s in specs}
     assert kinds[("parent", "child", (("id", "pid"),))] is Cardinality.ONE_TO_MANY and kinds[("child", "parent", (("cid", "id"),))] is Cardinality.ONE_TO_ONE
+
+
+def test_pages_by_rank(spark, monkeypatch):
+    import datetime
+    import random
+
+    from kinframe.operators import paging, select
+    from kinframe.spec import EntitySpec, Property
+
+    monkeypatch.setattr(paging, "SORTED", 50)
+    monkeypatch.setattr(paging, "BOUNDS", 7)
+    rng = random.Random(9)
+    day = datetime.datetime(2020, 1, 1)
+    rows = [(i, None if i % 11 == 0 else rng.choice(["x", "y", "z"]), None if i % 13 == 0 else day + datetime.timedelta(hours=rng.randint(0, 90)), rng.choice([0.5, float("nan"), -1.0])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, s string, t timestamp_ntz, v double").repartition(5)
+    types = dict(df.dtypes)
+    spec = EntitySpec("E", tuple(Property(c, df.schema[c].dataType) for c in types), ("k",))
+    for by in ([], ["s"], [("s", False), "t"], [("t", False), ("v", False)], ["v", ("k", False)]):
+        whole = [r.k for r in select.order(df, *select.total_order(spec, by)).collect()]
+        for skip, take in ((0, 10), (777, 25), (1800, 40), (1990, 40), (2500, 5), (5, 0)):
+            assert [r.k for r in paging.page_by_rank(df, spec, skip, take, *by).collect()] == whole[skip : skip + take]
+    assert paging.page_by_rank(df.filter("false"), spec, 5, 5).count() == 0
+    found = paging.page_by_rank(df, spec, 1800, 20)
+    assert found.sparkSession is spark and "Filter" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_range_joins(spark, monkeypatch):
+    import random
+
+    from kinframe.operators import rangejoin
+
+    rng = random.Random(4)
+    some = lambda: rng.choice([rng.uniform(-50, 50), rng.randint(-9, 9), 1e15 + rng.randint(0, 9), None, float("nan"), float("inf"), 0.0])
+    fl = lambda v: None if v is None else float(v)
+    points = [(i, fl(some()), rng.choice(["a", "b", None])) for i in range(300)] + [(1000 + i, 7.0, "a") for i in range(1500)]
+    spans = [(i, a, None if a is None else a + rng.choice([0.0, 0.3, 5.0, 1e-9, 40.0, -1.0]), rng.choice(["a", "b", None])) for i in range(120) for a in [fl(some())]]
+    p, iv = spark.createDataFrame(points, "i long, v double, g string"), spark.createDataFrame(spans, "j long, lo double, hi double, h string")
+    ok = lambda v: v is not None and abs(v) < float("inf")
+    for on in ((), (("g", "h"),)):
+        same = lambda g, h, on=on: not on or (g is not None and g == h)
+        got = rangejoin.interval_join(p, iv, "v", "lo", "hi", on)
+        assert got.columns == ["i", "v", "g", "j", "lo", "hi", "h"]
+        want = sorted((i, j) for i, v, g in points for j, lo, hi, h in spans if ok(v) and ok(lo) and ok(hi) and lo <= v <= hi and same(g, h))
+        assert sorted((r.i, r.j) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        for width in (0.0, 0.5, 30.0):
+            want = sorted((i, j) for i, v, g in points for j, lo, _, h in spans if ok(v) and ok(lo) and abs(v - lo) <= width and same(g, h))
+            assert sorted((r.i, r.j) for r in rangejoin.band_join(p, iv, "v", "lo", width, on).collect()) == want
+    assert rangejoin.interval_join(p, iv.filter("false"), "v", "lo", "hi").count() == 0
+    for bad in (lambda: rangejoin.band_join(p, p, "v", "v", 1.0), lambda: rangejoin.band_join(p, iv, "g", "lo", 1.0), lambda: rangejoin.band_join(p, iv, "v", "lo", -1.0)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_children_in_chunks(spark):
+    from kinframe.spec import Cardinality, RelationSpec
+
+    parent = spark.createDataFrame([(1, "one"), (2, "hot"), (3, "none")], "k long, name string")
+    child = spark.range(10_000).selectExpr("IF(id < 7, 1, 2) AS pk", "id AS n").unionByName(spark.createDataFrame([(None, 1), (9, 1)], "pk int, n long")).repartition(6)
+    rel = RelationSpec("kids", Cardinality.ONE_TO_MANY, (("k", "pk"),))
+    got = relation.include_in_chunks(parent, child, rel, 100, order_by=["n"])
+    assert got.columns == ["k", "name", "chunk", "kids"]
+    rows = got.collect()
+    assert max(len(r.kids) for r in rows) == 100 and {r.k: 0 for r in rows if not r.kids} == {3: 0}
+    hot = sorted((r for r in rows if r.k == 2), key=lambda r: r.chunk)
+    assert [r.chunk for r in hot] == list(range(len(hot))) and [x.n for r in hot for x in r.kids] == list(range(7, 10_000))
+    flat = relation.flatten(got.drop("chunk"), "kids")
+    assert flat.where("n is not null").count() == 10_000 and flat.where("n is null").count() == 1
+
+
+def test_clustered_files_are_sought(spark, tmp_path):
+    from kinframe.sources import tables as source
+
+    df = spark.range(60_000).selectExpr("(id * 7919) % 60000 AS k", "concat('name ', id) AS name", "id % 10 AS z")
+    source.write_clustered(df, str(tmp_path / "c"), ["k"], row_group_bytes=1 << 16, page_rows=500, bloom=["name"])
+    back = spark.read.parquet(str(tmp_path / "c"))
+
+    def read(tree):
+        got = back.where(tree)
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan()
+        node = plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan
+        while not node.nodeName().startswith("Scan"):
+            node = node.children().apply(0)
+        return node.metrics().apply("numOutputRows").value()
+
+    assert back.where("k = 4711").count() == 1 and read("k = 4711") <= 1000  # two pages at most of 60,000 rows
+    assert read("name = 'nobody'") <= 6000  # Bloom filters leave out most row groups, whose bounds do not
+
+
+def test_keys_go_on(spark, tmp_path):
+    from kinframe.operators import keyblocks
+
+    ledger = str(tmp_path / "ledger")
+    batch = lambda a, b: spark.range(a, b).toDF("n")
+    keys = lambda name, a, b: {r.n: r.id for r in keyblocks.continued_keys(batch(a, b), ["n"], ledger, name).collect()}
+    assert keys("one", 0, 50) == {n: n + 1 for n in range(50)}
+    assert keys("two/ü", 50, 80) == {n: n + 1 for n in range(50, 80)}
+    assert keys("none", 0, 0) == {} and keys("one", 0, 50)[49] == 50
+    assert keys("three", 80, 81) == {80: 81}
+    assert [(c["batch"], c["start"], c["count"]) for c in keyblocks.claims(spark, ledger)] == [("one", 1, 50), ("two/ü", 51, 30), ("none", 81, 0), ("three", 81, 1)]
+    with pytest.raises(ValueError):
+        keys("one", 0, 51)
+
+
+def test_outlier_rows(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 2, 3, 3, 3, 4, 50, -40)] + [("a", None), ("b", 1.0)], "g string, v double")
+    assert sorted((r.g, r.v, r.side) for r in measure.outliers(df, ["g"], "v").collect()) == [("a", -40.0, "low"), ("a", 50.0, "high")]
+    assert measure.box_figures(df, ["g"], "v").where("g = 'a'").first().n_outliers == 2
