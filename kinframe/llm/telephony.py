@@ -3,8 +3,8 @@
 Payload bytes are stored losslessly as 8-bit mu-law samples in a RIFF/WAVE file;
 stored files are parsed again, expanded by mu-law and A-law lookup tables, decoded
 as IMA ADPCM blocks (all blocks of a batch advance together, one numpy step per
-nibble). Their 16-bit PCM at the native 8 kHz, every sample of it, is stored beside them;
-a lower rate is an option.
+nibble). Their 16-bit PCM is resampled from 8 to 16 kHz by polyphase filters and stored beside
+them; other rates are an option.
 
 Defined cases: a null text is an empty payload; an empty one is padded to one block
 of 64 zero bytes; texts of any length are handled whole; equal texts give equal
@@ -120,17 +120,40 @@ def adpcm_moves() -> np.ndarray:
 MOVES = adpcm_moves()
 
 
-def resample(pcm: np.ndarray, down: int) -> np.ndarray:
-    """int16 samples at a ``down``-th of the rate: means of ``down`` neighbours, rounded to even; the last may be of fewer."""
-    if down == 1 or not len(pcm):
+def phases(up: int, down: int, zeros: int = 16) -> tuple[np.ndarray, int]:
+    """(taps, reach): for each of ``up`` phases the filter over 2 * reach input samples around a place between two of them.
+
+    A sinc with its edge at the lower of both rates, ``zeros`` zero crossings long on each side and tapered by a Hann window;
+    each phase adds up to one, so that a constant stays one.
+    """
+    narrow = min(1.0, up / down)
+    reach = int(np.ceil(zeros / narrow))
+    at = np.arange(1 - reach, reach + 1)[None, :] - (np.arange(up) / up)[:, None]
+    taps = np.sinc(narrow * at) * np.where(np.abs(at) < reach, 0.5 + 0.5 * np.cos(np.pi * at / reach), 0.0)
+    return taps / taps.sum(axis=1, keepdims=True), reach
+
+
+def resample(pcm: np.ndarray, up: int, down: int = 1) -> np.ndarray:
+    """int16 samples at ``up / down`` times the rate, by polyphase filters; silence lies beyond both ends.
+
+    Sample n is the input at place n * down / up: the phase is the rest, and one filter over the whole input gives all samples of a phase.
+    """
+    count = -(-len(pcm) * up // down)
+    if not count:
         return pcm
-    starts = np.arange(0, len(pcm), down)
-    sums = np.add.reduceat(pcm.astype(np.int64), starts)
-    return np.rint(sums / np.diff(np.append(starts, len(pcm)))).astype(np.int16)
+    taps, reach = phases(up, down)
+    padded = np.concatenate([np.zeros(reach - 1), pcm, np.zeros(reach + 1)])
+    place = np.arange(count) * down
+    whole, phase = place // up, place % up
+    out = np.empty(count)
+    for p in range(up):
+        mine = np.flatnonzero(phase == p)
+        out[mine] = np.convolve(padded, taps[p][::-1], "valid")[whole[mine]]
+    return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
-def encode_texts(docs: DataFrame, down: int = 1) -> DataFrame:
-    """(doc_id, n_bytes, media, pcm): the text's padded bytes as a mu-law file, and its PCM as one, at the native rate unless ``down`` asks for a part of it."""
+def encode_texts(docs: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
+    """(doc_id, n_bytes, media, pcm): the text's padded bytes as a mu-law file at 8 kHz, and its PCM as a file at ``up / down`` times that rate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1, BATCH_BYTES, 256):
@@ -140,7 +163,7 @@ def encode_texts(docs: DataFrame, down: int = 1) -> DataFrame:
                 lengths.append(len(raw))
                 raw += bytes(-len(raw) % BLOCK if raw else BLOCK)
                 media.append(wave_file(MULAW_TAG, RATE, 8, raw))
-                pcm.append(wave_file(PCM_TAG, RATE // down, 16, resample(MULAW[np.frombuffer(raw, np.uint8)], down).astype("<i2").tobytes()))
+                pcm.append(wave_file(PCM_TAG, RATE * up // down, 16, resample(MULAW[np.frombuffer(raw, np.uint8)], up, down).astype("<i2").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(media, pa.binary()), pa.array(pcm, pa.binary())], names=["doc_id", "n_bytes", "media", "pcm"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary, pcm binary")
