@@ -38,10 +38,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn_dictionaries(labelled: DataFrame, sample_docs: int = 64, sample_chars: int = 20_000, dict_bytes: int = 110_000, max_languages: int = 500) -> dict[str, bytes]:
-    """Per language the lower-cased sample texts, cut to ``dict_bytes``; from (text, lang), drawn by a hash of the text."""
+    """Per language the lower-cased sample texts, cut to ``dict_bytes``; from (text, lang), distinct texts drawn by a hash of the text."""
     rows = labelled.select("text", "lang").where("lang is not null and text is not null")
     usable = rows.where(f"length(text) between 1 and {int(sample_chars)}")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
@@ -50,7 +50,9 @@ def learn_dictionaries(labelled: DataFrame, sample_docs: int = 64, sample_chars:
     # keep about four times the sample by a threshold on the draw, so that ranking is small
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * sample_docs / n))])
     near = usable.withColumn("draw", draw).where((F.shiftrightunsigned("draw", 11).cast("double") / F.lit(float(1 << 53))) <= F.element_at(share, F.col("lang")))
-    best = Window.partitionBy("lang").orderBy("draw", "text")
+    # copies have one draw and go before they are dealt: a language's window has some hundred rows
+    near = near.groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    best = Window.partitionBy("lang").orderBy("draw")
     chosen = near.withColumn("k", F.row_number().over(best)).where(F.col("k") <= sample_docs).select("lang", "k", "text").collect()
     out: dict[str, bytes] = {}
     for lang in sorted({r["lang"] for r in chosen}):

@@ -6,7 +6,7 @@ pass, no row is multiplied) tell most that cannot be keys; those left are counte
 exactly, one exchange each. Inclusions are told by ranges and distinct counts, then by
 a sample of values chosen by hash (the same value is in the sample wherever it occurs, so
 a sampled value that the other column lacks disproves an inclusion), and only those
-left by one join a referred column. Every claim is exact: sketches and samples only
+left by one join for each kind of values. Every claim is exact: sketches and samples only
 rule out.
 """
 
@@ -23,12 +23,17 @@ from pyspark.sql import types as T
 from ..sources.scratch import written
 from ..spec import Cardinality, RelationSpec, quoted
 
-#: Relative standard deviation of distinct counts by sketch, and how many of them a set may lack before it is ruled out.
+#: Relative standard deviation of distinct counts by sketch (of 2**14 registers), and how many of them a set may lack before it is ruled out.
 DEVIATION, MARGIN = 0.01, 6
 #: Sketches of one pass.
 SKETCHES = 48
 
 
+def _distinct(hashed: Column) -> Column:
+    """Distinct values by a sketch that is one value of the aggregate, however many registers it has."""
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(hashed, 14)), F.lit(0))
+
+
 def unique_sets(df: DataFrame, max_size: int = 3, columns: list[str] | None = None) -> list[tuple[str, ...]]:
     """Minimal sets of up to ``max_size`` columns without a null whose values differ in every row, in order of columns.
 
@@ -53,7 +58,7 @@ def unique_sets(df: DataFrame, max_size: int = 3, columns: list[str] | None = No
         near = []
         for at in range(0, len(sets), SKETCHES):
             some = sets[at : at + SKETCHES]
-            row = df.agg(*[F.approx_count_distinct(F.xxhash64(*[cols[c] for c in s]), DEVIATION).alias(f"d{i}") for i, s in enumerate(some)]).first()
+            row = df.agg(*[_distinct(F.xxhash64(*[cols[c] for c in s])).alias(f"d{i}") for i, s in enumerate(some)]).first()
             for i, s in enumerate(some):
                 if size == 1:
                     estimates[s[0]] = row[f"d{i}"]
@@ -114,7 +119,7 @@ def column_facts(name: str, df: DataFrame) -> list[ColumnFacts]:
     per = []
     for i, c in enumerate(use):
         v = quoted(c).cast(kinds[c])
-        per += [F.count(v).alias(f"v{i}"), F.approx_count_distinct(v, DEVIATION).alias(f"d{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}")]
+        per += [F.count(v).alias(f"v{i}"), _distinct(F.when(v.isNotNull(), F.xxhash64(v))).alias(f"d{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}")]
     row = df.agg(F.count(F.lit(1)).alias("n"), *per).first()
     return [ColumnFacts(name, c, kinds[c], row["n"], row[f"v{i}"], row[f"d{i}"], row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(use)]
 
@@ -146,30 +151,36 @@ def inclusions(tables: dict[str, DataFrame], sample: int = 200) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
     schema = "table_name string, column_name string, ref_table string, ref_column string, n_values bigint, n_ref bigint, is_unique boolean"
     facts = [c for name, df in tables.items() for c in column_facts(name, df)]
-    full = lambda c: c.values == c.n and c.n > 0 and c.estimate >= c.n * (1 - MARGIN * DEVIATION)
-    keys = [c for c in facts if full(c) and is_unique(tables[c.table], (c.name,))]
-    pairs = [(a, b) for b in keys for a in facts if a.ref != b.ref and a.kind == b.kind and a.values and a.least >= b.least and a.greatest <= b.greatest and a.estimate * (1 - MARGIN * DEVIATION) <= b.n]
+    may_be_key = lambda c: c.values == c.n and c.n > 0 and c.estimate >= c.n * (1 - MARGIN * DEVIATION)
+    fits = lambda a, b: a.values and a.least >= b.least and a.greatest <= b.greatest and a.estimate * (1 - MARGIN * DEVIATION) <= b.n
+    numbered = list(enumerate(facts))
+    pairs = [(i, k) for k, b in numbered if may_be_key(b) for i, a in numbered if i != k and a.kind == b.kind and fits(a, b)]
     if not pairs:
         return spark.createDataFrame([], schema)
-    place = {c.ref: i for i, c in enumerate(facts)}
-    shares = spark.createDataFrame([(place[a.ref], place[b.ref], min(1.0, sample / max(1, a.estimate), sample / max(1, b.estimate))) for a, b in pairs], "a int, b int, share double")
+    shares = spark.createDataFrame([(i, k, min(1.0, sample / max(1, facts[i].estimate), sample / max(1, facts[k].estimate))) for i, k in pairs], "a int, b int, share double")
     taken = samples(tables, facts, sample)
     left = F.broadcast(shares).join(taken.withColumnRenamed("c", "a"), "a").where("place < share")  # pairs of columns: as many as the schemas give
     missing = left.join(taken.select(F.col("c").alias("b"), "value"), ["b", "value"], "left_anti").select("a", "b").distinct()
     wrong = {(r.a, r.b) for r in missing.collect()}  # pairs of columns, not of values
+    pairs = [p for p in pairs if p not in wrong]
     out = None
-    for b in keys:
-        refs = [a for a, of in pairs if of is b and (place[a.ref], place[b.ref]) not in wrong]
-        if not refs:
+    for kind in sorted({c.kind for c in facts}):
+        mine = [(i, k) for i, k in pairs if facts[i].kind == kind]
+        if not mine:
             continue
         values = None
-        for a in refs:
-            mine = tables[a.table].select(F.lit(place[a.ref]).alias("a"), value(a).alias("v")).where("v is not null").groupBy("a", "v").agg((F.count("*") > 1).alias("again"))
-            values = mine if values is None else values.unionByName(mine)
-        met = values.join(tables[b.table].select(value(b).alias("v"), F.lit(True).alias("there")), "v", "left")
-        held = met.groupBy("a").agg(F.count("*").alias("n_values"), F.count("there").alias("n_there"), F.max("again").alias("again")).where("n_values = n_there")
-        named = spark.createDataFrame([(place[a.ref], a.table, a.name) for a in refs], "a int, table_name string, column_name string")
-        rows = held.join(F.broadcast(named), "a").select("table_name", "column_name", F.lit(b.table).alias("ref_table"), F.lit(b.name).alias("ref_column"), "n_values", F.lit(b.n).cast("long").alias("n_ref"), (~F.col("again")).alias("is_unique"))
+        for i in sorted({c for p in mine for c in p}):  # each column is read once, alone
+            one = tables[facts[i].table].select(value(facts[i]).alias("v")).where("v is not null").groupBy("v").agg((F.count(F.lit(1)) > 1).alias("again")).select(F.lit(i).alias("c"), "v", "again")
+            values = one if values is None else values.unionByName(one)
+        values = written(values, "values")
+        sums = values.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
+        ends = spark.createDataFrame([(i, k, facts[i].table, facts[i].name, facts[k].table, facts[k].name) for i, k in mine], "a int, b int, table_name string, column_name string, ref_table string, ref_column string")
+        keys = sums.where("NOT again").select(F.col("c").alias("b"), F.col("n").alias("n_ref"))
+        open_ = ends.join(F.broadcast(keys), "b")
+        met = values.select(F.col("c").alias("a"), "v").join(F.broadcast(open_.select("a", "b")), "a").join(values.select(F.col("c").alias("b"), "v"), ["b", "v"])
+        held = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_met"))
+        rows = held.join(F.broadcast(open_), ["a", "b"]).join(F.broadcast(sums.select(F.col("c").alias("a"), F.col("n").alias("n_values"), (~F.col("again")).alias("is_unique"))), "a").where("n_met = n_values")
+        rows = rows.select("table_name", "column_name", "ref_table", "ref_column", "n_values", "n_ref", "is_unique")
         out = rows if out is None else out.unionByName(rows)
     return spark.createDataFrame([], schema) if out is None else out
 

@@ -43,3 +43,21 @@ def test_ids_are_no_input_of_learning(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     moved = docs.selectExpr("doc_id + 1000003 as doc_id", "text", "lang")
     assert language.learn_dictionaries(docs) == language.learn_dictionaries(moved.repartition(5))
+
+
+def test_copies_do_not_flood_the_sample(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
+    hot = docs.where("lang = 'en' and length(text) < 20000").orderBy("text").limit(1).collect()[0]
+    # the text that the sample has anyway, or would have had: dictionaries of the distinct texts stay as they are
+    flooded = docs.unionByName(spark.range(3000).selectExpr("id").crossJoin(spark.createDataFrame([hot], docs.schema)).select("text", "lang"))
+    assert language.learn_dictionaries(flooded) == language.learn_dictionaries(docs)
+    # ties and too many languages
+    same = spark.createDataFrame([("one two three four", "b"), ("one two three four", "a")], "text string, lang string")
+    known = language.learn_dictionaries(same)
+    row = language.identify(same, known).first()
+    assert (row.lang_pred, row.score, row.rejected) == ("a", 0.0, True)
+    try:
+        language.learn_dictionaries(same, max_languages=1)
+        raise AssertionError
+    except ValueError:
+        pass
