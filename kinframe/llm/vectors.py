@@ -19,7 +19,7 @@ The number of hyperplanes and of passes follows the number of vectors by stated
 Defined cases: null, zero or empty vectors and those with null or non-finite
 components link with nothing; vectors of different lengths do not link; equal
 vectors are one member of the passes and count as links of each other; unlike vectors
-of one id are in one component, and that id has the links of the one with most; null ids link with nothing; labels are not read; an empty
+of one id are in one component, and each row has the links of its own vector; null ids link with nothing; labels are not read; an empty
 table gives an empty result.
 """
 
@@ -60,13 +60,13 @@ def planes(pass_no: int, width: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, pass_no, width]).standard_normal((width, bits))
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(id, vec) of rows that can link: finite components, not all zero; floats stay floats, they take half the room."""
+def keyed(vectors: DataFrame) -> DataFrame:
+    """(id, vec, same) of every row; same: a digest of vectors that can link, with finite components, not all zero, and an id; else vec and same are null. Floats stay floats, they take half the room."""
     kind = "float" if dict(vectors.dtypes).get("embedding") == "array<float>" else "double"
-    vec = F.col("embedding").cast(f"array<{kind}>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), vec.alias("vec")).where("id is not null and size(vec) > 0")
-    sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return rows.where(sound & F.exists("vec", lambda x: x != 0))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(f"array<{kind}>").alias("vec"))
+    sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
+    fine = F.coalesce(F.col("id").isNotNull() & (F.size("vec") > 0) & sound, F.lit(False))
+    return rows.select("id", F.when(fine, F.col("vec")).alias("vec"), F.when(fine, F.sha2(F.to_json(F.struct("vec")).cast("binary"), 256)).alias("same"))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -218,8 +218,16 @@ def links(firsts: DataFrame, folder: str, threshold: float, passes: int, bits: i
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, window: int = 256, passes: int | None = None, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding, ...)``."""
     folder = work_dir(vectors.sparkSession, "vectors")
-    rows = stash(usable(vectors).withColumn("same", F.sha2(F.to_json(F.struct("vec")).cast("binary"), 256)), f"{folder}/rows")
+    every = stash(keyed(vectors), f"{folder}/rows")
+    rows = every.where("same is not null")
     firsts = stash(rows.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec")), f"{folder}/firsts")
+    # a vector goes by its least id; of several that share it, all but one by numbers above all ids
+    clash = firsts.groupBy("id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select(F.col("id").alias("of"), "low")
+    clash = stash(clash, f"{folder}/clash")
+    if clash.take(1):
+        top = firsts.agg(F.max("id")).first()[0]
+        fresh = F.when(F.col("same") != F.col("low"), F.monotonically_increasing_id() + (top + 1))
+        firsts = stash(firsts.join(clash, F.col("id") == F.col("of"), "left").select("same", F.coalesce(fresh, "id").alias("id"), "copies", "vec"), f"{folder}/nodes")
     n = firsts.count()
     bits = bits_for(n, window)
     if passes is None:
@@ -234,7 +242,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, window: int = 256,
     near = found.groupBy("id").agg(F.sum("near").alias("near"))
     per = firsts.select("same", "id", "copies").join(near, "id", "left").join(component, "id", "left")
     per = per.select("same", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = rows.select("id", "same").join(per, "same").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(linked, F.col("vec_id") == F.col("id"), "left")
-    group = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), group.alias("component_id"), F.coalesce(F.col("vec_id") == group, F.lit(True)).alias("kept"))
+    # a row has the links of its own vector; the rows of an id are in one component
+    sound = rows.select("id", "same").join(per, "same").select("id", "n_links", "component_id")
+    group = sound.groupBy(F.col("id").alias("of")).agg(F.min("component_id").alias("component_id"))
+    bare = every.where("same is null").select("id", F.lit(0).cast("long").alias("n_links"))
+    named = sound.select("id", "n_links").unionByName(bare.where("id is not null"))
+    out = named.join(group, named["id"] == group["of"], "left").select("id", "n_links", F.coalesce("component_id", "id").alias("component_id"))
+    out = out.unionByName(bare.where("id is null").select("id", "n_links", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from kinframe.llm import queries
 from kinframe.llm import vectors as v
 
 
@@ -88,3 +89,20 @@ def test_null_and_repeated_ids(spark):
     # id 2 has a vector of each group, so both are one component
     assert [(v, c, k) for v, _, c, k in got] == [(1, 1, True), *[(2, 1, False)] * 3, (5, 1, False), (6, 1, False), (9, 9, True)]
     assert dict((v, n) for v, n, _, _ in got)[9] == 0 and dict((v, n) for v, n, _, _ in got)[6] == 3
+
+
+def test_unlike_vectors_of_one_id_have_their_own_links(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.02]), (3, [0.0, 1.0]), (3, None), (4, [0.01, 1.0]), (5, [0.0, 0.0]), (None, [1.0, 0.0])]
+    got = sorted(((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in v.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    # id 3: two links by its first vector, one by its second, none without a vector; its row ties both groups
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (3, 1, 1, False), (3, 0, 1, False), (4, 1, 1, False), (5, 0, 5, True), (-1, 0, None, True)], key=str)
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in table], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in queries.op7_vectors(spark, sf).collect()}
+    assert got == {r.vec_id: int(k) for r, k in zip(table, near, strict=True)}
