@@ -6,7 +6,8 @@ emitted floor(rate) times plus one copy drawn by a hash of its id and text.
 
 Defined cases: null text has size 0; null source is a source of its own, last in
 order; a source of size 0 gets target 0 and rate 0; an empty table gives an empty
-result; rows of one id and text get the same draw, and only those; other columns pass through untouched, and
+result; rows of one source, id and text have one draw, by which they are sampled in steps of the rate, so that together they come
+within one copy of their share; other columns pass through untouched, and
 the added columns replace columns of the same names.
 """
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stash, work_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 PLAN = ("size", "source_size", "target", "rate", "copies", "taken")
 
@@ -51,6 +54,24 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ma
     return per.withColumn("final", F.max("level").over(everything)).select("source", "source_size", F.least(cap, F.col("final") * F.col("weight")).alias("target"))
 
 
+def with_turns(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_turn``: 0, 1, ... among the rows of one source, id and text.
+
+    Only digests are exchanged to find such rows; where there are none, as in most tables, nothing else is done.
+    """
+    spark = docs.sparkSession
+    digest = F.md5(F.col("text").cast("string"))
+    keys = ["_source", "_id", "_digest"]
+    named = lambda df: df.withColumns({"_source": F.col("source"), "_id": F.col("doc_id"), "_digest": digest})
+    several = stash(named(docs.select("source", "doc_id", "text")).groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"{k}2") for k in keys]), f"{work_dir(spark, 'several')}/rows")
+    if not several.take(1):
+        return docs.withColumn("_turn", F.lit(0).cast("long"))
+    met = named(docs).join(several, [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in keys], "left").withColumn("_many", F.col("_source2").isNotNull() | F.col("_id2").isNotNull() | F.col("_digest2").isNotNull())
+    # rows that differ in nothing that counts: which is which does not matter
+    turn = (F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) - 1).cast("long")
+    return met.where("NOT _many").select(*docs.columns, F.lit(0).cast("long").alias("_turn")).unionByName(met.where("_many").select(*docs.columns, turn.alias("_turn")))
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_rate: float = 2.0, seed: str = "mix-1") -> DataFrame:
     """``docs`` with size, source_size, target, rate, copies and taken for each row.
 
@@ -58,14 +79,16 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: floa
     a second joins the one row per source back. The documents are not shuffled for a
     small source table, and a large one is left to adaptive execution.
     """
-    docs = docs.drop(*PLAN)
+    docs = with_turns(docs.drop(*PLAN))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     targets = source_targets(docs.select("source", size.alias("size")), weights, budget, max_rate).select(F.col("source").alias("_source"), "source_size", "target")
     sized = docs.withColumn("size", size)
     out = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("rate") + F.when(unit_draw(seed, F.col("doc_id"), F.md5(F.col("text").cast("string"))) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return out.withColumn("rate", rate).withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    # floor(rate) copies and one more if the draw is below the fraction; of equal rows each counts on from the one before
+    draw = unit_draw(seed, F.col("doc_id"), F.md5(F.col("text").cast("string")))
+    copies = F.ceil((F.col("_turn") + 1) * F.col("rate") - F.col("_draw")) - F.ceil(F.col("_turn") * F.col("rate") - F.col("_draw"))
+    return out.withColumn("rate", rate).withColumn("_draw", draw).withColumn("copies", copies.cast("long")).drop("_draw", "_turn").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -94,10 +94,10 @@ leveled AS (
 targets AS (
   SELECT source, source_size, least(source_size * CAST(2 AS DOUBLE), max(level) OVER () * weight) AS target FROM leveled),
 rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE CAST(0 AS DOUBLE) END AS rate,
+  SELECT s.doc_id, s.size, t.source_size, t.target, row_number() OVER (PARTITION BY s.source, s.doc_id, s.digest) - 1 AS turn, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE CAST(0 AS DOUBLE) END AS rate,
          CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || coalesce(s.digest, '')), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS draw
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) * size AS taken FROM rated
+SELECT doc_id, size, source_size, target, CAST(ceil((turn + 1) * rate - draw) - ceil(turn * rate - draw) AS BIGINT) * size AS taken FROM rated
 """,
     "op11_filter_audit": r"""
 WITH letters AS (

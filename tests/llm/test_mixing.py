@@ -79,6 +79,21 @@ def test_each_source_comes_near_its_target_without_ids(spark):
         assert abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.05, r
 
 
+def test_equal_rows_come_near_their_target(spark):
+    rows = [(1, "two words", "a", k) for k in range(300)] + [(None, None, None, 1)] * 5 + [(k, f"w{k} x", "b", k) for k in range(500)] + [(k % 3, "y z", "b", k) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").repartition(4)
+    plan = mixing.mix_plan(df)
+    assert plan.columns == [*df.columns, *mixing.PLAN] and plan.count() == len(rows)
+    got = plan.collect()
+    for source in ("a", "b"):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) / mine[0].target - 1) < 0.05 and max(r.copies for r in mine) <= 2
+        assert {r.copies for r in mine} <= {int(mine[0].rate), int(mine[0].rate) + 1}
+    one = [r.taken for r in got if r.source == "a"]
+    assert abs(sum(one) - next(r.target for r in got if r.source == "a")) <= 2  # within one copy
+    assert sorted((r.doc_id or -1, r.taken) for r in got) == sorted((r.doc_id or -1, r.taken) for r in mixing.mix_plan(df.repartition(7)).collect())
+
+
 def test_query_equals_its_sql(spark):
     import duckdb
 
