@@ -43,13 +43,18 @@ def profile(df: DataFrame, table: str = "", exact: bool = False) -> DataFrame:
     """Facts of each column from the data, a row a column: (table_name, column_name, n_rows, n_nulls, n_distinct, max_length, max_precision, max_scale, key_candidate).
 
     One pass, unpivoted after; distinct counts are estimates unless ``exact``, and a key candidate
-    (no null, all distinct) is only claimed from exact ones. max_length: of text; precision and scale: of decimals.
+    (no null, all distinct) is only claimed from exact ones. Exact counts read each column once more, alone, and
+    combine its values before they are exchanged. max_length: of text; precision and scale: of decimals.
     """
+    apart = None
     per = []
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         countable = not isinstance(f.dataType, T.MapType | T.VariantType)
-        distinct = F.lit(None) if not countable else F.countDistinct(c) if exact else F.approx_count_distinct(c)
+        distinct = F.approx_count_distinct(c) if countable and not exact else F.lit(None)
+        if countable and exact:
+            one = df.select(c.alias("v")).where("v is not null").distinct().agg(F.lit(f.name).alias("_column"), F.count(F.lit(1)).alias("_distinct"))
+            apart = one if apart is None else apart.unionByName(one)
         digits = F.abs(c).cast("string") if isinstance(f.dataType, T.DecimalType) else None
         per += [
             F.count(c).alias(f"v{i}"),
@@ -60,5 +65,10 @@ def profile(df: DataFrame, table: str = "", exact: bool = False) -> DataFrame:
         ]
     wide = df.agg(F.count(F.lit(1)).alias("n"), *per)
     rows = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"v{i}").alias("v"), F.col(f"d{i}").alias("d"), F.col(f"l{i}").alias("l"), F.col(f"p{i}").alias("p"), F.col(f"s{i}").alias("s")) for i, f in enumerate(df.schema.fields)])).alias("f")
-    key = (F.col("f.v") == F.col("n")) & (F.col("f.d") == F.col("n")) if exact else F.lit(None).cast("boolean")
-    return wide.select("n", rows).select(F.lit(table).alias("table_name"), F.col("f.column_name"), F.col("n").alias("n_rows"), (F.col("n") - F.col("f.v")).alias("n_nulls"), F.col("f.d").alias("n_distinct"), F.col("f.l").alias("max_length"), F.col("f.p").alias("max_precision"), F.col("f.s").alias("max_scale"), key.alias("key_candidate"))
+    out = wide.select("n", rows)
+    if apart is None:
+        out = out.withColumn("d", F.col("f.d"))
+    else:
+        out = out.join(F.broadcast(apart), F.col("f.column_name") == F.col("_column"), "left").withColumn("d", F.col("_distinct"))  # a row a column
+    key = (F.col("f.v") == F.col("n")) & (F.col("d") == F.col("n")) if exact else F.lit(None).cast("boolean")
+    return out.select(F.lit(table).alias("table_name"), F.col("f.column_name"), F.col("n").alias("n_rows"), (F.col("n") - F.col("f.v")).alias("n_nulls"), F.col("d").alias("n_distinct"), F.col("f.l").alias("max_length"), F.col("f.p").alias("max_precision"), F.col("f.s").alias("max_scale"), key.alias("key_candidate"))

@@ -419,7 +419,7 @@ def nested_figures(nested: DataFrame) -> DataFrame:
 
 @query(NESTED)
 def jon10_key_lookup(s, d):
-    return nested_figures(relation.lookup(orders(s, d), lines(s, d), t.ORDER_LINES))
+    return nested_figures(relation.lookup(orders(s, d), lines(s, d).select("l_orderkey", "l_linenumber"), t.ORDER_LINES))
 
 
 # relations
@@ -671,7 +671,7 @@ def fun6_deviation(s, d):
 
 @query("SELECT 'orders' AS table_name, count(*) AS n_rows, count(DISTINCT o_orderkey) AS keys FROM orders UNION ALL SELECT 'supplier', count(*), count(DISTINCT s_suppkey) FROM supplier")
 def met3_key_candidates(s, d):
-    facts = [metadata.profile(df, spec.table_name, exact=True).filter(F.col("column_name") == spec.key[0]) for spec, df in ((t.ORDERS, orders(s, d)), (t.SUPPLIER, suppliers(s, d)))]
+    facts = [metadata.profile(df.select(*spec.key), spec.table_name, exact=True) for spec, df in ((t.ORDERS, orders(s, d)), (t.SUPPLIER, suppliers(s, d)))]
     return facts[0].unionByName(facts[1]).filter("key_candidate").select("table_name", "n_rows", F.col("n_distinct").alias("keys"))
 
 
