@@ -10,9 +10,9 @@ bounded whatever the size of the table.
 
 Defined cases: null html is an empty payload; null url gives the key ``-``; equal
 payloads of at least ``min_revisit`` bytes have one response, that of the least page
-id. A page without an id has a record too (its id is made from URL and digest): it revisits
+id. A page without an id has a record too: it revisits
 the page of least id with its payload, or is a response where none has an id.
-Rows of one id are records of their own; if they are equal and have the least id of
+Rows of one id are records of their own, with record ids of their own; if they are equal and have the least id of
 their payload, all are responses. An empty table gives an empty result; columns other
 than page_id, url and html are not read.
 """
@@ -68,21 +68,27 @@ def stamp(page_id: Column) -> Column:
     return F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(1_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def record_id(page_id: Column, digest: Column, turn: Column) -> Column:
+    """A URN in the shape of a UUID, from the page's id, its payload's digest and its turn among pages that share both."""
+    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("-")), digest, turn.cast("string")))
+    piece = lambda a, n: F.substring(h, a, n)
+    return F.concat(F.lit("<urn:uuid:"), piece(1, 8), F.lit("-"), piece(9, 4), F.lit("-8"), piece(14, 3), F.lit("-a"), piece(18, 3), F.lit("-"), piece(21, 12), F.lit(">"))
+
+
 def record(payload: Column) -> Column:
-    """The text of a record, without its last line break."""
+    """The text of a record, without its last line break; of (page_id, url, payload_bytes, payload_digest, refers_to, turn)."""
     revisit = F.col("refers_to").isNotNull()
-    urn = lambda c: F.concat(F.lit("<urn:uuid:00000000-0000-4000-8000-"), F.lpad(F.hex(c), 16, "0"), F.lit(">"))
-    unnamed = F.concat(F.lit("<urn:md5:"), F.md5(F.concat_ws(" ", "payload_digest", "url")), F.lit(">"))
+    urn = lambda c, turn: record_id(c, F.col("payload_digest"), turn)
     body = F.when(revisit, F.lit("")).otherwise(payload)
     head = [
         F.lit("WARC/1.1" + END + "WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
-        F.lit(END + "WARC-Record-ID: "), F.coalesce(urn(F.col("page_id")), unnamed),
+        F.lit(END + "WARC-Record-ID: "), urn(F.col("page_id"), F.col("turn")),
         F.lit(END + "WARC-Date: "), stamp(F.col("page_id")),
         F.lit(END + "WARC-Target-URI: "), F.regexp_replace(F.coalesce(F.col("url"), F.lit("-")), r"[\r\n]", "%0A"),
         F.lit(END + "WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.lit(END + "X-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("-")),
         F.lit(END + "X-Payload-Length: "), F.col("payload_bytes").cast("string"),
-        F.when(revisit, F.concat(F.lit(END + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + END + "WARC-Refers-To: "), urn(F.col("refers_to")), F.lit(END + "X-Refers-To-Page: "), F.col("refers_to").cast("string"))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(END + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + END + "WARC-Refers-To: "), urn(F.col("refers_to"), F.lit(0)), F.lit(END + "X-Refers-To-Page: "), F.col("refers_to").cast("string"))).otherwise(F.lit("")),
         F.lit(END + "Content-Type: text/html; charset=utf-8" + END + "Content-Length: "), F.octet_length(body).cast("string"),
         F.lit(END + END), body, F.lit(END),
     ]
@@ -100,6 +106,15 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, records_
     mean = sized.agg(F.avg("payload_bytes")).first()[0] or 0
     decided = responses(sized, min_revisit).toDF("id", "digest", "refers_to")
     both = own.join(decided, own["page_id"].eqNullSafe(decided["id"]) & (own["payload_digest"] == decided["digest"]))
+    # pages of one id and payload are told apart by a turn; most tables have none, and then nothing is dealt for it
+    several = sized.groupBy(F.col("page_id").alias("id2"), F.col("payload_digest").alias("digest2")).count().where("count > 1").select("id2", "digest2")
+    several = stash(several, f"{folder}-several")
+    if several.take(1):
+        met = both.join(several, both["page_id"].eqNullSafe(several["id2"]) & (both["payload_digest"] == several["digest2"]), "left")
+        turn = F.row_number().over(Window.partitionBy("page_id", "payload_digest").orderBy(F.lit(0))) - 1
+        both = met.where("digest2 is null").withColumn("turn", F.lit(0)).unionByName(met.where("digest2 is not null").withColumn("turn", turn))
+    else:
+        both = both.withColumn("turn", F.lit(0))
     per_file = max(1, min(records_per_file, int(FILE_BYTES / (mean + 1000))))
     both.select(record(F.col("html")).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
 

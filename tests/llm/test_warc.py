@@ -80,3 +80,24 @@ def test_url_keys():
     assert warc.url_key("https://www.Example.com:443/A?b=C#d") == "com,example)/a?b=c"
     assert warc.url_key("http://x.y:81") == "y,x:81)/"
     assert warc.url_key("-") == "-"
+
+
+def test_record_ids_are_unique_and_referred_to(spark):
+    import glob
+    import gzip
+    import io
+    import uuid
+
+    pages = [(None, "u", "x"), (None, "u", "x"), (None, "v", None), (1, "u", "ab"), (1, "w", "ab"), (1, "u", "ab"), (1, "u", "cd"), (2, "u", "ab"), (3, "u", "cd"), (4, "u", None), (5, "u", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    warc.write_archives(df, folder := warc.work_dir(spark, "ids"))
+    heads = []
+    for name in glob.glob(f"{folder}/*.txt.gz"):
+        with gzip.open(name) as f:
+            heads += [head for _, head, _ in warc.parse(io.BytesIO(f.read()))]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(ids) == len(set(ids)) == len(pages)
+    assert all(str(uuid.UUID(i[10:-1])) == i[10:-1] and uuid.UUID(i[10:-1]).version == 8 for i in ids)
+    answers = {h["WARC-Record-ID"]: h["WARC-Payload-Digest"] for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 4 and all(answers[h["WARC-Refers-To"]] == h["WARC-Payload-Digest"] for h in revisits)
