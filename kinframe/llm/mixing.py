@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import stash, work_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Up to so many sources are broadcast with their targets, a few megabytes.
+FEW_SOURCES = 100_000
 PLAN = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
@@ -76,19 +78,23 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: floa
     """``docs`` with size, source_size, target, rate, copies and taken for each row.
 
     One scan counts words and adds them up per source (combined before the shuffle);
-    a second joins the one row per source back. The documents are not shuffled for a
-    small source table, and a large one is left to adaptive execution.
+    a second joins the one row per source back, which is written and counted first: up to
+    ``FEW_SOURCES`` sources are broadcast, so that documents are not exchanged; more are left to adaptive execution.
     """
     docs = with_turns(docs.drop(*PLAN))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     targets = source_targets(docs.select("source", size.alias("size")), weights, budget, max_rate).select(F.col("source").alias("_source"), "source_size", "target")
-    sized = docs.withColumn("size", size)
-    out = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    targets = stash(targets, f"{work_dir(docs.sparkSession, 'targets')}/rows")
+    # a source with a third of all documents would be one task of an exchange
+    small = targets.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    # the draw is made before the join, so that texts pass it only where they are asked for
+    draw = unit_draw(seed, F.col("doc_id"), F.md5(F.col("text").cast("string")))
+    sized = docs.withColumn("size", size).withColumn("_draw", draw)
+    out = sized.join(F.broadcast(targets) if small else targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # floor(rate) copies and one more if the draw is below the fraction; of equal rows each counts on from the one before
-    draw = unit_draw(seed, F.col("doc_id"), F.md5(F.col("text").cast("string")))
     copies = F.ceil((F.col("_turn") + 1) * F.col("rate") - F.col("_draw")) - F.ceil(F.col("_turn") * F.col("rate") - F.col("_draw"))
-    return out.withColumn("rate", rate).withColumn("_draw", draw).withColumn("copies", copies.cast("long")).drop("_draw", "_turn").withColumn("taken", F.col("copies") * F.col("size"))
+    return out.withColumn("rate", rate).withColumn("copies", copies.cast("long")).drop("_draw", "_turn").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
