@@ -4,7 +4,8 @@ Payload bytes are stored losslessly as 8-bit mu-law samples in a RIFF/WAVE file;
 stored files are parsed again, expanded by mu-law and A-law lookup tables, decoded
 as IMA ADPCM blocks (all blocks of a batch advance together, one numpy step per
 nibble). Their 16-bit PCM is resampled from 8 to 16 kHz by polyphase filters and stored beside
-them; other rates are an option.
+them, without loss, as every ``up``-th sample and what the others differ from those that the
+filters make of these; other rates are an option.
 
 Defined cases: a null text is an empty payload; an empty one is padded to one block
 of 64 zero bytes; texts of any length are handled whole; equal texts give equal
@@ -29,6 +30,8 @@ BLOCK = 64
 #: Bytes of payload that are coded at once; a longer one is taken alone.
 BATCH_BYTES = 1 << 20
 RATE = 8000
+#: Of the stored files, whose samples are small already: more effort saves a twentieth.
+ZSTD_LEVEL = 6
 #: Fixed values of the formats: WAVE format tags, and the IMA ADPCM index moves.
 PCM_TAG, ALAW_TAG, MULAW_TAG = 1, 6, 7
 INDEX_MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, dtype=np.int32)
@@ -124,13 +127,14 @@ def phases(up: int, down: int, zeros: int = 16) -> tuple[np.ndarray, int]:
     """(taps, reach): for each of ``up`` phases the filter over 2 * reach input samples around a place between two of them.
 
     A sinc with its edge at the lower of both rates, ``zeros`` zero crossings long on each side and tapered by a Hann window;
-    each phase adds up to one, so that a constant stays one.
+    each phase adds up to one, so that a constant stays one. Taps are multiples of 2 ** -34: their sums with 16-bit samples
+    are exact in doubles, so any machine and order of adding gives the same samples.
     """
     narrow = min(1.0, up / down)
     reach = int(np.ceil(zeros / narrow))
     at = np.arange(1 - reach, reach + 1)[None, :] - (np.arange(up) / up)[:, None]
     taps = np.sinc(narrow * at) * np.where(np.abs(at) < reach, 0.5 + 0.5 * np.cos(np.pi * at / reach), 0.0)
-    return taps / taps.sum(axis=1, keepdims=True), reach
+    return np.rint(taps / taps.sum(axis=1, keepdims=True) * 2.0**34) / 2.0**34, reach
 
 
 def resample(pcm: np.ndarray, up: int, down: int = 1) -> np.ndarray:
@@ -148,29 +152,87 @@ def resample(pcm: np.ndarray, up: int, down: int = 1) -> np.ndarray:
     out = np.empty(count)
     for p in range(up):
         mine = np.flatnonzero(phase == p)
-        out[mine] = np.convolve(padded, taps[p][::-1], "valid")[whole[mine]]
+        # a phase on the input's own places passes them on
+        out[mine] = pcm[whole[mine]] if p == 0 and up >= down else np.convolve(padded, taps[p][::-1], "valid")[whole[mine]]
     return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
+def pack(pcm: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, rest) of any int16 samples: every ``step``-th one, and of the others the difference (modulo 2 ** 16) to those interpolated from the base; no rest if there is none."""
+    base = pcm[::step]
+    rest = (pcm - resample(base, step)[: len(pcm)])[np.arange(len(pcm)) % step != 0]
+    return base, rest if rest.any() else rest[:0]
+
+
+def unpack(base: np.ndarray, rest: np.ndarray, count: int, step: int) -> np.ndarray:
+    """The ``count`` samples that ``pack`` took apart."""
+    pcm = resample(base, step)[:count]
+    if len(rest):
+        pcm[np.arange(count) % step != 0] += rest
+    return pcm
+
+
+ENCODED = "doc_id long, n_bytes long, media binary, pcm binary"
+PACKED = "doc_id long, n_bytes long, media binary, rate int, step int, samples long, base binary, rest binary"
+PACKED_NAMES = [c.split()[0] for c in PACKED.split(", ")]
+
+
+def encoding(batches: Iterator[pa.RecordBatch], up: int, down: int) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches, 1, BATCH_BYTES, 256):
+        lengths, media, pcm = [], [], []
+        for t in batch.column(1):
+            raw = b"" if not t.is_valid else t.as_buffer().to_pybytes()
+            lengths.append(len(raw))
+            raw += bytes(-len(raw) % BLOCK if raw else BLOCK)
+            media.append(wave_file(MULAW_TAG, RATE, 8, raw))
+            pcm.append(wave_file(PCM_TAG, RATE * up // down, 16, resample(MULAW[np.frombuffer(raw, np.uint8)], up, down).astype("<i2").tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(media, pa.binary()), pa.array(pcm, pa.binary())], names=["doc_id", "n_bytes", "media", "pcm"])
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode_texts(docs: DataFrame, up: int = 2, down: int = 1) -> DataFrame:
     """(doc_id, n_bytes, media, pcm): the text's padded bytes as a mu-law file at 8 kHz, and its PCM as a file at ``up / down`` times that rate."""
+    return texts_of(docs).mapInArrow(lambda batches: encoding(batches, up, down), ENCODED)
+
+
+def packing(batches: Iterator[pa.RecordBatch], rate: int, step: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pcm = [np.frombuffer(read_wave(p.as_py())[3], "<i2") for p in batch.column(3)]
+        packed = [pack(p, step) for p in pcm]
+        fixed = [pa.array(np.full(len(pcm), x, np.int32)) for x in (rate, step)]
+        columns = [pa.array([part[k].astype("<i2").tobytes() for part in packed], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *fixed, pa.array([len(p) for p in pcm], pa.int64()), *columns], names=PACKED_NAMES)
+
+
+def unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches, 2, BATCH_BYTES, 256):
+        pcm = []
+        for rate, step, count, base, rest in zip(*(batch.column(k).to_pylist() for k in range(3, 8)), strict=True):
+            data = unpack(np.frombuffer(base, "<i2"), np.frombuffer(rest, "<i2"), count, step)
+            pcm.append(wave_file(PCM_TAG, rate, 16, data.astype("<i2").tobytes()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(pcm, pa.binary())], names=["doc_id", "n_bytes", "media", "pcm"])
+
+
+def store(docs: DataFrame, folder: str, up: int = 2, down: int = 1) -> DataFrame:
+    """What ``encode_texts`` gives, packed, written to ``folder`` and read back; ``files`` gives it as files again.
+
+    At a rate that is no multiple of 8 kHz all samples are the base.
+    """
+    run = lambda batches: packing(encoding(batches, up, down), RATE * up // down, up if down == 1 else 1)
+    texts_of(docs).mapInArrow(run, PACKED).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", ZSTD_LEVEL).parquet(folder)
+    return docs.sparkSession.read.schema(PACKED).parquet(folder)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 1, BATCH_BYTES, 256):
-            lengths, media, pcm = [], [], []
-            for t in batch.column(1):
-                raw = b"" if not t.is_valid else t.as_buffer().to_pybytes()
-                lengths.append(len(raw))
-                raw += bytes(-len(raw) % BLOCK if raw else BLOCK)
-                media.append(wave_file(MULAW_TAG, RATE, 8, raw))
-                pcm.append(wave_file(PCM_TAG, RATE * up // down, 16, resample(MULAW[np.frombuffer(raw, np.uint8)], up, down).astype("<i2").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(media, pa.binary()), pa.array(pcm, pa.binary())], names=["doc_id", "n_bytes", "media", "pcm"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary, pcm binary")
+def files(stored: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media, pcm) of what ``store`` wrote."""
+    return stored.select(*PACKED_NAMES).mapInArrow(unpacking, ENCODED)
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """Digests and sound features of stored files; from (doc_id, n_bytes, media, pcm).
+    """Digests and sound features of stored files; from (doc_id, n_bytes, media, pcm), or from ``store``.
 
     feature: ``mu:<rms>;a:<rms>;adpcm:<mean>:<rms>;pcm:<samples>:<crc32>`` with root mean
     squares of the mu-law and A-law expansion and of the ADPCM decoding, and what the stored PCM holds.
@@ -204,4 +266,7 @@ def features(stored: DataFrame) -> DataFrame:
         for batch in by_bytes(batches, 2, BATCH_BYTES, 256):
             yield some(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())
 
-    return stored.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, schema)
+    if "pcm" in stored.columns:
+        return stored.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, schema)
+    # the files are four times the packed samples: they stay in the task that reads them
+    return stored.select(*PACKED_NAMES).mapInArrow(lambda batches: run(unpacking(batches)), schema)

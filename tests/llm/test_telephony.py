@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from pathlib import Path
 
 import numpy as np
 
@@ -107,5 +108,37 @@ def test_pcm_is_stored_at_another_rate(spark):
         assert len(rows[2][3]) == 64 * 2 * factor
 
 
+def test_any_samples_are_packed_without_loss():
+    rng = np.random.default_rng(7)
+    for step in (1, 2, 3):
+        for n in (0, 1, 2, 3, 64, 401):
+            pcm = rng.integers(-32768, 32768, n).astype(np.int16)
+            assert t.unpack(*t.pack(pcm, step), n, step).tolist() == pcm.tolist()
+            more = t.resample(pcm, step)
+            base, rest = t.pack(more, step)
+            assert len(base) == n and not len(rest) and t.unpack(base, rest, len(more), step).tolist() == more.tolist()
+
+
+def test_taps_give_exact_sums():
+    # multiples of 2 ** -34, and sums with 16-bit samples below 2 ** 53 of these: no machine rounds on the way
+    for up, down in ((2, 1), (3, 2), (1, 2), (2, 3), (1, 8)):
+        taps = t.phases(up, down)[0] * 2.0**34
+        assert (taps == np.rint(taps)).all() and (np.abs(taps).sum(axis=1) * 32768 < 2.0**53).all()
+
+
+def test_stored_pcm_is_whole_and_small(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plain = {r.doc_id: (r.n_bytes, r.media, r.pcm) for r in t.encode_texts(docs).collect()}
+    stored = t.store(docs, str(tmp_path / "media"))
+    assert {r.doc_id: (r.n_bytes, r.media, r.pcm) for r in t.files(stored).collect()} == plain
+    assert sorted(map(tuple, t.features(stored).collect())) == sorted(map(tuple, t.features(t.encode_texts(docs)).collect()))
+    size = lambda path: sum(p.stat().st_size for p in path.rglob("*.parquet"))
+    assert size(tmp_path / "media") < 1.5 * Path("/root/testdata/sf0.01/documents.parquet").stat().st_size
+    few = docs.limit(5)
+    for k, options in enumerate(({"up": 3, "down": 2}, {"up": 1}, {"up": 3})):
+        want = sorted(tuple(r) for r in t.encode_texts(few, **options).collect())
+        assert sorted(tuple(r) for r in t.files(t.store(few, str(tmp_path / f"m{k}"), **options)).collect()) == want
+
+
 def mulaw_of(raw):
     return t.MULAW[np.frombuffer(raw, np.uint8)].tolist()
