@@ -91,6 +91,21 @@ def test_matrix_rows(spark, monkeypatch):
     assert got == Counter((d, frozenset(Counter(WORD.findall((t or "").encode())).items())) for d, t, _ in docs)
 
 
+def test_words_travel_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(f, "PARTS", 7)
+    monkeypatch.setattr(f, "PART_BYTES", 1)  # each part is numbered alone
+    docs = [(i, " ".join([f"w{k}é" for k in range(i * 500, i * 500 + 1500)] + ["x" * 70_000, "w1", "w1"]), "s") for i in range(9)]
+    df = frames(spark, docs)[0].repartition(3)
+    lists = f.cut(df, 5, b"#").where("part is not null").collect()
+    # a row a chunk and part, not a row a word: these are what is exchanged
+    assert len(lists) <= 3 * 7 and sum(len(r.at) // 4 for r in lists) > 5000 and max(Counter((r.chunk, r.part) for r in lists).values()) == 1
+    rows, words = f.term_matrix(df)
+    number = {r.term: bytes(r.word) for r in words.collect()}
+    assert sorted(number) == list(range(5502)) and len(set(number.values())) == 5502
+    for r in rows.collect():
+        assert r.terms == sorted(r.terms) and {number[t]: n for t, n in zip(r.terms, r.counts, strict=True)} == Counter(docs[r.doc_id][1].encode().split())
+
+
 def test_no_documents_no_labels(spark):
     docs, labels = frames(spark, some_docs())
     assert f.audit(docs.filter("false"), labels).count() == 0
