@@ -11,10 +11,17 @@ common-prefix intervals, and keeps intervals whose occurrences differ in what
 precedes them: the maximal repeats there, with all occurrences. A repeat that goes on
 beyond a run goes on in the place of the next run, so lengths add up over places.
 
+A minimiser of very many runs (a line that most documents have, between unlike ones) would
+crowd its place. Its runs are cut where the minimiser's position in the window passes a
+bound, and each section is dealt by the bytes that all its windows have in common, its
+core, of nearly a window. Again only hashes of cores travel first. A place takes its
+windows in batches of whole minimisers, or of some positions of the minimiser: equal
+windows agree in both.
+
 An occurrence is removable where its repeat also occurs in a document of smaller id.
 Texts equal to that of a smaller id are wholly removable and take no part.
 
-Texts are kept in a bucketed table in the shared folder, so the two joins that need
+Texts are kept in a bucketed table in the shared folder, so the joins that need
 them move only positions. Every group handled at once is one of a number of parts
 that grows with the shuffle partitions.
 
@@ -25,6 +32,7 @@ repeated rows give repeated result rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
@@ -42,6 +50,11 @@ from .neardup import mix64
 LEAST, GRAM = 50, 16
 #: Windows handled in one numpy step; positions within it take 20 bits of the ordering key.
 PIECE = 400_000
+#: Windows that a place holds in numpy arrays at once, and bytes of runs hashed in one step.
+BATCH, SLICE = 1 << 19, 1 << 20
+#: Runs from which on a minimiser is crowded, and the positions of the minimiser in a window at which its runs are cut.
+CROWDED = 200_000
+CUTS = (*range(0, LEAST - GRAM, 3), LEAST - GRAM + 1)
 POSITION = np.uint64(0xFFFFF)
 BASE = 0x9E3779B97F4A7C15
 TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
@@ -70,7 +83,12 @@ def runs_of(data: np.ndarray, lengths: np.ndarray, least: int = LEAST, gram: int
 
     ``data`` holds the texts one after the other and must be shorter than 2**20 bytes.
     """
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return anchored_runs(data, lengths, least, gram)[:4]
+
+
+def anchored_runs(data: np.ndarray, lengths: np.ndarray, least: int = LEAST, gram: int = GRAM):
+    """What ``runs_of`` gives, and how far after the run's start its minimiser is."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(data) < least:
         return none
     hashes = mix64(gram_hashes(data, gram))
@@ -90,7 +108,7 @@ def runs_of(data: np.ndarray, lengths: np.ndarray, least: int = LEAST, gram: int
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, n))
     at, count = at[inside[at]], count[inside[at]]
-    return owner[at], at - (ends - lengths)[owner[at]], count, hashes[anchor[at]]
+    return owner[at], at - (ends - lengths)[owner[at]], count, hashes[anchor[at]], anchor[at] - at
 
 
 def pieces(texts: Iterable[bytes]) -> Iterator[tuple[list[int], list[int], bytes, np.ndarray]]:
@@ -110,20 +128,38 @@ def pieces(texts: Iterable[bytes]) -> Iterator[tuple[list[int], list[int], bytes
         yield numbers, offsets, b"".join(parts), np.array([len(p) for p in parts])
 
 
+def released(function):
+    """``function``, after which freed memory goes back to the system: a Python worker would keep it, also while it waits for others' work."""
+
+    def call(*tables: pa.Table) -> pa.Table:
+        out = function(*tables)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+        return out
+
+    if function.__code__.co_argcount == 1:
+        return lambda table: call(table)
+    return lambda left, right: call(left, right)
+
+
 def packed(array: np.ndarray, kind: str) -> bytes:
     return array.astype(kind).tobytes()
 
 
-#: What homes tell places (values they have; whether several documents of theirs do), and places tell homes (values that are shared).
-HASH_ROWS = "home int, place int, hash binary, several binary"
-SHARED_ROWS = "home int, place int, hash binary, marks binary"
+#: What homes tell places: values they have; twice their runs, and 1 more if several documents of theirs have them.
+HASH_ROWS = "home int, place int, hash binary, runs binary"
+#: What places tell homes: values that are shared, by kind. Where place is null: the home's copies.
+SHARED_ROWS = "home int, place int, kind int, hash binary, marks binary"
+MINIMISER, CROWD, CORE = 0, 1, 2
 #: Snippets for a place, or (place null) what a home can cut by itself.
 SNIPPET_ROWS = "place int, ids binary, marks binary, start binary, count binary, bytes binary, home int, stop binary"
 CUT_ROWS = "home int, marks binary, start binary, stop binary"
 
 
 def home_runs(left: pa.Table, copied: set[int]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of the texts of a home but copies and those without an id, by parts: (text number, start, windows, minimiser hash, the part's bytes, where in it)."""
+    """Of the texts of a home but copies and those without an id, by parts: (text number, start, windows, minimiser hash, the part's bytes, where in it, how far after that the minimiser)."""
     if not left.num_rows:
         return
     marks, known = left.column("mark").to_pylist(), left.column("doc_id").is_valid().to_pylist()
@@ -131,9 +167,9 @@ def home_runs(left: pa.Table, copied: set[int]) -> Iterator[tuple[np.ndarray, ..
     own = np.array([i for i, m in enumerate(marks) if m not in copied and known[i]], dtype=np.int64)
     for numbers, offsets, joined, lengths in pieces(texts[i].as_buffer().to_pybytes() for i in own.tolist()):
         data = np.frombuffer(joined, np.uint8)
-        owner, start, count, value = runs_of(data, lengths)
+        owner, start, count, value, reach = anchored_runs(data, lengths)
         at = (np.cumsum(lengths) - lengths)[owner] + start
-        yield own[np.array(numbers)[owner]], start + np.array(offsets)[owner], count, value, data, at
+        yield own[np.array(numbers)[owner]], start + np.array(offsets)[owner], count, value, data, at, reach
 
 
 @lru_cache(maxsize=2)
@@ -156,25 +192,69 @@ def places_of(value: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
     return (value % np.uint64(places)).astype(np.int64), (value >> np.uint64(32)).astype(np.uint32)
 
 
-def hash_runs(texts: DataFrame, copies: DataFrame, places: int) -> DataFrame:
-    """HASH_ROWS of a home: each minimiser once, however often it occurs there; copies have none."""
+def sections(count: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs cut at CUTS, as sections: (run, first window, windows, start and bytes of the core), starts within the run.
+
+    A window's section and core depend on the window alone.
+    """
+    out = []
+    for least, over in zip(CUTS, CUTS[1:], strict=False):
+        low, high = np.maximum(0, reach - over + 1), np.minimum(count, reach - least + 1)
+        run = np.flatnonzero(low < high)
+        out.append((run, low[run], (high - low)[run], (reach - least)[run], np.full(len(run), LEAST - (over - 1 - least))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def told(rows: pa.Table, kind: int) -> np.ndarray:
+    """The values of a kind that places told a home, as sorted pairs of place and hash."""
+    held = [np.frombuffer(h, "<u4").astype(np.uint64) | np.uint64(p << 32) for p, k, h in zip(*(rows.column(x).to_pylist() for x in ("place", "kind", "hash")), strict=True) if k == kind]
+    return np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+
+
+def among(value: np.ndarray, places: int, keys: np.ndarray) -> np.ndarray:
+    """Whether ``keys``, as of ``told``, have the values."""
+    if not len(keys):
+        return np.zeros(len(value), bool)
+    place, hash_ = places_of(value, places)
+    key = hash_.astype(np.uint64) | (place.astype(np.uint64) << np.uint64(32))
+    return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+
+
+def copied(rows: pa.Table) -> set[int]:
+    """The marks of the copies in SHARED_ROWS of a home."""
+    return {m for p, x in zip(rows.column("place").to_pylist(), rows.column("marks").to_pylist(), strict=True) if p is None for m in np.frombuffer(x, "<i8").tolist()}
+
+
+def hash_runs(texts: DataFrame, known: DataFrame, places: int, kind: int) -> DataFrame:
+    """HASH_ROWS of a home: each minimiser, or each core of runs of crowded ones, once, however often it occurs there; copies have none.
+
+    ``known``: SHARED_ROWS of the copies and of crowded minimisers.
+    """
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         home = (left if left.num_rows else right).column("home")[0].as_py()
-        held = [(number, value) for number, _, _, value, _, _ in home_runs(left, set(right.column("mark").to_pylist()))]
-        rows = []
+        crowd, held, rows = told(right, CROWD), [], []
+        for number, _, count, value, data, at, reach in home_runs(left, copied(right)) if kind == MINIMISER or len(crowd) else ():
+            if kind == MINIMISER:
+                held.append((number.astype(np.int32), value))
+                continue
+            cut = np.flatnonzero(among(value, places, crowd))
+            if len(cut):
+                run, _, _, core, size = sections(count[cut], reach[cut])
+                held.append((number[cut[run]].astype(np.int32), run_hashes(data, at[cut[run]] + core, size)))
         if held:
             number, value = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((number, value))
             number, value = number[order], value[order]
             first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             several = np.minimum.reduceat(number, first) < np.maximum.reduceat(number, first)
+            runs = 2 * np.minimum(np.diff(np.append(first, len(value))), (1 << 15) - 1) + several
             place, hash_ = places_of(value[first], places)
             for part in split_by(place, np.argsort(place, kind="stable")):
-                rows.append((home, int(place[part[0]]), packed(hash_[part], "<u4"), packed(several[part], "u1")))
-        return binary_rows(rows, ("home", "place"), ("hash", "several"))
+                rows.append((home, int(place[part[0]]), packed(hash_[part], "<u4"), packed(runs[part], "<u2")))
+        return binary_rows(rows, ("home", "place"), ("hash", "runs"))
 
-    return texts.groupBy("home").cogroup(copies.groupBy("home")).applyInArrow(together, HASH_ROWS)
+    return texts.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(released(together), HASH_ROWS)
 
 
 def split_by(key: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
@@ -192,23 +272,26 @@ def joined_columns(table: pa.Table, kinds: dict[str, str]) -> dict[str, np.ndarr
     return {c: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=k) for c, k in kinds.items()}
 
 
-def shared_values(rows: DataFrame) -> DataFrame:
-    """SHARED_ROWS of the values that two documents or more have, for each home that has them."""
+def shared_values(rows: DataFrame, kind: int, crowded: int) -> DataFrame:
+    """SHARED_ROWS of the values that two documents or more have, for each home that has them; those of ``crowded`` runs or more are of kind CROWD."""
 
     def reduce(table: pa.Table) -> pa.Table:
         place, homes = table.column("place")[0].as_py(), table.column("home").to_numpy()
-        got = joined_columns(table, {"hash": "<u4", "several": "u1"})
+        got = joined_columns(table, {"hash": "<u4", "runs": "<u2"})
         home = np.repeat(homes, [len(x) // 4 for x in table.column("hash").to_pylist()])
         order = np.argsort(got["hash"], kind="stable")
-        value = got["hash"][order]
+        value, runs = got["hash"][order], got["runs"][order]
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
         size = np.diff(np.append(first, len(value)))
-        shared = (size > 1) | (np.maximum.reduceat(got["several"][order], first) > 0)
-        keep = order[np.repeat(shared, size)]
-        out = [(int(home[part[0]]), place, packed(got["hash"][part], "<u4"), b"") for part in (keep[x] for x in split_by(home[keep], np.argsort(home[keep], kind="stable")))]
-        return binary_rows(out, ("home", "place"), ("hash", "marks"))
+        shared = (size > 1) | (np.maximum.reduceat(runs & np.uint16(1), first) > 0)
+        many = np.add.reduceat((runs >> np.uint16(1)).astype(np.int64), first) >= crowded
+        out = []
+        for k, what in ((kind, shared & ~many), (CROWD, shared & many)):
+            keep = order[np.repeat(what, size)]
+            out += [(int(home[part[0]]), place, k, packed(got["hash"][part], "<u4"), b"") for part in (keep[x] for x in split_by(home[keep], np.argsort(home[keep], kind="stable")))]
+        return binary_rows(out, ("home", "place", "kind"), ("hash", "marks"))
 
-    return rows.groupBy("place").applyInArrow(reduce, SHARED_ROWS)
+    return rows.groupBy("place").applyInArrow(released(reduce), SHARED_ROWS)
 
 
 def least_of_equals(joined: np.ndarray, at: np.ndarray, size: np.ndarray, value: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -228,31 +311,38 @@ def least_of_equals(joined: np.ndarray, at: np.ndarray, size: np.ndarray, value:
 
 
 def fetch(texts: DataFrame, shared: DataFrame, places: int, combine: bool) -> DataFrame:
-    """SNIPPET_ROWS: the bytes of the runs whose minimiser is shared.
+    """SNIPPET_ROWS: the bytes of the runs whose minimiser is shared; where it is crowded, of the sections whose core is.
 
     ``combine``: of equal runs of a home only those of the least id go to their place; the others are cut here. So a
     passage that very many documents have meets in its place as often as there are homes, not documents.
     """
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        values = [(p, np.frombuffer(h, "<u4")) for p, h in zip(right.column("place").to_pylist(), right.column("hash").to_pylist(), strict=True) if p is not None]
-        if left.num_rows and values:
+        rows, held = [], []
+        wanted, crowd, cores = (told(right, kind) for kind in (MINIMISER, CROWD, CORE))
+
+        if left.num_rows and len(wanted) + len(cores):
             home = left.column("home")[0].as_py()
-            copied = {m for x in right.column("marks").to_pylist() for m in np.frombuffer(x, "<i8").tolist()}
-            wanted = np.unique(np.concatenate([h.astype(np.uint64) | np.uint64(p << 32) for p, h in values]))
-            held = []
-            for number, start, count, value, data, at in home_runs(left, copied):
-                place, hash_ = places_of(value, places)
-                key = hash_.astype(np.uint64) | (place.astype(np.uint64) << np.uint64(32))
-                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
-                held.append((number[hit], start[hit], count[hit], run_hashes(data, at[hit], count[hit] + LEAST - 1), place[hit]))
+            for number, start, count, value, data, at, reach in home_runs(left, copied(right)):
+                run = np.flatnonzero(among(value, places, wanted))
+                low, windows, dealt = np.zeros_like(run), count[run], value[run]
+                cut = np.flatnonzero(among(value, places, crowd))
+                if len(cut):
+                    part, first, some, core, size = sections(count[cut], reach[cut])
+                    hashes = run_hashes(data, at[cut[part]] + core, size)
+                    hit = np.flatnonzero(among(hashes, places, cores))
+                    run, low, windows, dealt = (np.concatenate(x) for x in ((run, cut[part[hit]]), (low, first[hit]), (windows, some[hit]), (dealt, hashes[hit])))
+                content = run_hashes(data, at[run] + low, windows + LEAST - 1)
+                held.append((number[run].astype(np.int32), (start[run] + low).astype(np.int32), windows.astype(np.uint8), content, places_of(dealt, places)[0].astype(np.int32)))
             number, start, count, content, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            start, count = start.astype(np.int64), count.astype(np.int64)
             marks, ids = left.column("mark").to_numpy(), left.column("doc_id").fill_null(0).to_numpy()
             text = left.column("text").combine_chunks()
             sizes = pc.binary_length(text).to_numpy().astype(np.int64)
-            joined = np.frombuffer(b"".join(t.as_buffer().to_pybytes() for t in text), np.uint8)
-            at, size, by = (np.cumsum(sizes) - sizes)[number] + start, count + LEAST - 1, ids[number]
+            begin = np.cumsum(sizes) - sizes
+            joined = np.concatenate([np.frombuffer(t.as_buffer(), np.uint8) for t in text if len(t.as_buffer())])
+            at, size, by = begin[number] + start, count + LEAST - 1, ids[number]
             later = np.flatnonzero(by > least_of_equals(joined, at, size, content, by)) if combine else np.zeros(0, np.int64)
             if len(later):
                 order = later[np.lexsort((start[later], marks[number[later]]))]
@@ -267,19 +357,33 @@ def fetch(texts: DataFrame, shared: DataFrame, places: int, combine: bool) -> Da
         c = list(zip(*rows, strict=True)) if rows else [()] * 8
         return pa.table({n.split()[0]: pa.array(x, pa.int32() if n.endswith("int") else pa.binary()) for n, x in zip(SNIPPET_ROWS.split(", "), c, strict=True)})
 
-    return texts.groupBy("home").cogroup(shared.groupBy("home")).applyInArrow(together, SNIPPET_ROWS)
+    return texts.groupBy("home").cogroup(shared.groupBy("home")).applyInArrow(released(together), SNIPPET_ROWS)
+
 
+def sliced(begin: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of stretches of runs, that lie one after the other, of about SLICE bytes."""
+    first = 0
+    while first < len(count):
+        end = max(first + 1, int(np.searchsorted(begin, begin[first] + SLICE)))
+        yield first, end
+        first = end
 
-def candidate_windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(run, offset) of windows that may start a maximal repeat.
+
+def candidate_windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, offset) of windows that may start a maximal repeat, of those from ``low`` to below ``high``.
 
     Windows are grouped by a 64-bit hash; a group stays if it spans two documents and its
     windows are not all preceded by one byte within their runs. Hashes that collide only keep more.
     """
-    run = np.repeat(np.arange(len(count)), count)
-    offset = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    windows = high - low
+    ends = np.cumsum(windows)
+    run = np.repeat(np.arange(len(count), dtype=np.int32), windows)
+    offset = (np.arange(len(run)) - np.repeat(ends - windows - low, windows)).astype(np.int32)
     at = begin[run] + offset
-    value = gram_hashes(data, LEAST)[at]
+    value = np.empty(len(run), np.uint64)
+    for a, b in sliced(begin, count):
+        here = slice(ends[a] - windows[a], ends[b - 1])
+        value[here] = gram_hashes(data[begin[a] : begin[b - 1] + count[b - 1] + LEAST - 1], LEAST)[at[here] - begin[a]]
     before = np.where(offset > 0, data[np.maximum(at - 1, 0)].astype(np.int16), -1)
     order = np.argsort(value)
     value, by, left = value[order], ids[run[order]], before[order]
@@ -327,9 +431,12 @@ def common_prefix_intervals(common: list[int], least: int) -> Iterator[tuple[int
             stack.append((c, first))
 
 
-def maximal_repeats(data: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray):
-    """(run, offset) in suffix order, and the intervals (length, first, last) that are maximal repeats of two documents."""
-    run, offset = candidate_windows(data, begin, count, ids)
+def maximal_repeats(data: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None):
+    """(run, offset) in suffix order, and the intervals (length, first, last) that are maximal repeats of two documents.
+
+    They start in windows from ``low`` to below ``high``, else in any.
+    """
+    run, offset = candidate_windows(data, begin, count, ids, np.zeros_like(count) if low is None else low, count if high is None else high)
     if not len(run):
         return run, offset, []
     at = begin[run] + offset
@@ -355,31 +462,87 @@ def opened(table: pa.Table):
     return got["bytes"], np.cumsum(size) - size, count, got["ids"], got["marks"], got["start"].astype(np.int64)
 
 
+def minimisers(data: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ordering key, how far after the run's start) of the minimiser of each run: the first least gram of what its windows have in common."""
+    value, reach = np.empty(len(count), np.uint64), np.empty(len(count), np.int64)
+    for a, b in sliced(begin, count):
+        grams = LEAST - GRAM + 2 - count[a:b]
+        ends = np.cumsum(grams)
+        at = np.arange(ends[-1]) - np.repeat(ends - grams - count[a:b] + 1, grams)  # within the run
+        key = mix64(gram_hashes(data[begin[a] : begin[b - 1] + count[b - 1] + LEAST - 1], GRAM))[np.repeat(begin[a:b] - begin[a], grams) + at]
+        low = np.minimum.reduceat((key & ~POSITION) | at.astype(np.uint64), ends - grams)
+        value[a:b], reach[a:b] = low & ~POSITION, (low & POSITION).astype(np.int64)
+    return value, reach
+
+
+def batches(data: np.ndarray, begin: np.ndarray, count: np.ndarray, most: int = 0) -> Iterator[tuple]:
+    """(runs, their bytes, starts and windows, least and end of the windows to take), so that equal windows meet and ``most`` (else BATCH) windows or one position of one minimiser are taken."""
+    most = most or BATCH
+    value, reach = minimisers(data, begin, count)
+    order = np.argsort(value, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(value[order]) > 0))
+    ends = np.cumsum(count[order])
+    upto = ends[np.append(first[1:], len(order)) - 1]  # windows to the end of each minimiser
+    k = 0
+    while k < len(first):
+        before = int(upto[k - 1]) if k else 0
+        end = max(k + 1, int(np.searchsorted(upto, before + most, side="right")))
+        runs = order[first[k] : first[end] if end < len(first) else len(order)]
+        size = count[runs] + LEAST - 1
+        starts = np.cumsum(size) - size
+        joined = np.empty(int(size.sum()), np.uint8)
+        for a, b in sliced(starts, size):
+            to = starts[a], starts[b - 1] + size[b - 1]
+            joined[to[0] : to[1]] = data[np.repeat(begin[runs[a:b]] - starts[a:b], size[a:b]) + np.arange(*to)]
+        windows, far = count[runs], reach[runs]
+        if upto[end - 1] - before <= most:
+            yield runs, joined, starts, windows, np.zeros_like(windows), windows
+        else:
+            taken = np.array([np.count_nonzero((far - p >= 0) & (far - p < windows)) for p in range(LEAST - GRAM + 1)])
+            p = 0
+            while p < len(taken):
+                over = max(p + 1, int(np.searchsorted(np.cumsum(taken), taken[:p].sum() + most, side="right")))
+                low = np.clip(far - over + 1, 0, windows)
+                yield runs, joined, starts, windows, low, np.maximum(low, np.clip(far - p + 1, 0, windows))
+                p = over
+        k = end
+
+
 def removable(snippets: DataFrame, homes: int) -> DataFrame:
-    """CUT_ROWS: of every occurrence, the longest repeat that a smaller id has too; with what homes cut by themselves."""
+    """CUT_ROWS: of every occurrence, the longest repeat that a smaller id has too; with what homes cut by themselves, which passes through.
+
+    So snippets are exchanged once and stored nowhere else.
+    """
 
     def reduce(table: pa.Table) -> pa.Table:
+        at_home = table.column("home").is_valid()
+        done = table.filter(at_home).select(["home", "marks", "start", "stop"])
+        table = table.filter(pc.invert(at_home))
+        if not table.num_rows:
+            return done
         data, begin, count, ids, marks, start = opened(table)
-        run, offset, found = maximal_repeats(data, begin, count, ids)
-        by, longest = ids[run], np.zeros(len(run), dtype=np.int64)
-        for length, first, last in found:  # inner, longer ones come first
-            here, mine = by[first : last + 1], longest[first : last + 1]
-            mine[(here > here.min()) & (mine == 0)] = length
-        hit = np.flatnonzero(longest)
-        marks, low = marks[run[hit]], (start[run] + offset)[hit]
+        cuts = []
+        for runs, *batch, least, end in batches(data, begin, count):
+            run, offset, found = maximal_repeats(*batch, ids[runs], least, end)
+            by, longest = ids[runs[run]], np.zeros(len(run), dtype=np.int64)
+            for length, first, last in found:  # inner, longer ones come first
+                here, mine = by[first : last + 1], longest[first : last + 1]
+                mine[(here > here.min()) & (mine == 0)] = length
+            hit = np.flatnonzero(longest)
+            low = start[runs[run[hit]]] + offset[hit]
+            cuts.append((marks[runs[run[hit]]], low.astype(np.int32), (low + longest[hit]).astype(np.int32)))
+        marks, low, stop = (np.concatenate(x) for x in zip(*cuts, strict=True))
         home = marks % homes
-        stop = low + longest[hit]
         out = [(int(home[part[0]]), packed(marks[part], "<i8"), packed(low[part], "<i4"), packed(stop[part], "<i4")) for part in split_by(home, np.lexsort((low, marks, home)))]
-        return binary_rows(out, ("home",), ("marks", "start", "stop"))
+        return pa.concat_tables([done, binary_rows(out, ("home",), ("marks", "start", "stop")).cast(done.schema)])
 
-    at_home = snippets.where("place is null").select("home", "marks", "start", "stop")
-    return snippets.where("place is not null").groupBy("place").applyInArrow(reduce, CUT_ROWS).union(at_home)
+    return snippets.withColumn("place", F.coalesce("place", "home")).groupBy("place").applyInArrow(released(reduce), CUT_ROWS)
 
 
-def prepared(docs: DataFrame, combine: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def prepared(docs: DataFrame, combine: bool = True, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """The bucketed table of texts, the copies among them, the snippets of all shared runs, and the number of homes.
 
-    Texts are exchanged once, for the table; rows of packed arrays number homes times places.
+    Runs of minimisers with ``crowded`` runs or more are cut into sections: their texts are read once more for the cores. Texts are exchanged once, for the table; rows of packed arrays number homes times places.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -405,11 +568,14 @@ def prepared(docs: DataFrame, combine: bool = True) -> tuple[DataFrame, DataFram
     table.repartition(n, "home").write.option("compression", "zstd").option("path", work_dir(spark, "texts")).bucketBy(n, "home").saveAsTable(name)
     stored = spark.table(name)
     spark.sql(f"drop table {name}")  # the files of a table with a path of its own stay
-    shared = shared_values(hash_runs(stored, copies, places))
     nothing = F.lit(None).cast("int")
-    known_copies = copy_cuts(copies).select("home", nothing.alias("place"), F.lit(b"").alias("hash"), "marks")
-    snippets = stash(fetch(stored, shared.union(known_copies), places, combine), work_dir(spark, "snippets"))
-    return stored, copies, snippets, homes
+    known = copy_cuts(copies).select("home", nothing.alias("place"), nothing.alias("kind"), F.lit(b"").alias("hash"), "marks")
+    shared = stash(shared_values(hash_runs(stored, known, places, MINIMISER), MINIMISER, crowded), work_dir(spark, "shared"))
+    crowd = shared.where(F.col("kind") == CROWD)
+    if crowd.take(1):
+        cores = hash_runs(stored, known.union(crowd), places, CORE)
+        shared = shared.union(shared_values(cores, CORE, 1 << 62))
+    return stored, copies, fetch(stored, shared.union(known), places, combine), homes
 
 
 def copy_cuts(copies: DataFrame) -> DataFrame:
@@ -423,23 +589,26 @@ def copy_cuts(copies: DataFrame) -> DataFrame:
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
-    """Maximal repeats within runs, one row an occurrence: (repeat_id, n_occurrences, n_bytes, doc_id, start)."""
+    """Maximal repeats within runs (within their sections where a minimiser is crowded), one row an occurrence: (repeat_id, n_occurrences, n_bytes, doc_id, start)."""
 
     def reduce(table: pa.Table) -> pa.Table:
         data, begin, count, ids, _, start = opened(table)
-        run, offset, found = maximal_repeats(data, begin, count, ids)
-        place, rows = table.column("place")[0].as_py(), []
-        for k, (length, first, last) in enumerate(found):
-            rows += [((place << 40) | k, last - first + 1, length, int(ids[run[x]]), int(start[run[x]] + offset[x])) for x in range(first, last + 1)]
+        place, rows, k = table.column("place")[0].as_py(), [], 0
+        for runs, *batch, least, end in batches(data, begin, count):
+            run, offset, found = maximal_repeats(*batch, ids[runs], least, end)
+            run = runs[run]
+            for k, (length, first, last) in enumerate(found, start=k):
+                rows += [((place << 40) | k, last - first + 1, length, int(ids[run[x]]), int(start[run[x]] + offset[x])) for x in range(first, last + 1)]
+            k += bool(found)
         c = list(zip(*rows, strict=True)) if rows else [()] * 5
         return pa.table([pa.array(x, pa.int64()) for x in c], names=["repeat_id", "n_occurrences", "n_bytes", "doc_id", "start"])
 
     return prepared(docs, combine=False)[2].groupBy("place").applyInArrow(reduce, "repeat_id long, n_occurrences long, n_bytes long, doc_id long, start long")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept: the remaining bytes."""
-    stored, copies, snippets, homes = prepared(docs)
+def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept: the remaining bytes. ``crowded``: see ``prepared``."""
+    stored, copies, snippets, homes = prepared(docs, crowded=crowded)
     cuts = removable(snippets, homes).union(copy_cuts(copies))
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -463,4 +632,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         c = list(zip(*out, strict=True)) if out else [()] * 6
         return pa.table({**{k: pa.array(x, pa.int64()) for k, x in zip(("doc_id", "n_bytes", "n_removed", "n_spans"), c, strict=False)}, "kept_sha256": pa.array(c[4], pa.string()), "kept": pa.array(c[5], pa.binary())})
 
-    return stored.groupBy("home").cogroup(cuts.groupBy("home")).applyInArrow(together, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return stored.groupBy("home").cogroup(cuts.groupBy("home")).applyInArrow(released(together), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

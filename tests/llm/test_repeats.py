@@ -114,3 +114,101 @@ def test_groups_hold_all_occurrences(spark):
     for g in {x.repeat_id for x in rows}:
         own = [x for x in rows if x.repeat_id == g]
         assert {x.doc_id for x in own} == {1, 2, 3} and len({text[x.doc_id][x.start : x.start + x.n_bytes] for x in own}) == 1
+
+
+def lines_between_unlike_texts(n, seed=4):
+    """Texts of two common lines, shorter than a run, each between unlike words, and now and then a longer repeat over a line's border."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    words = lambda k: " ".join(word() for _ in range(k))
+    lines, around = [words(11), words(14)], [words(9) for _ in range(30)]
+    side = lambda: rng.choice(around) if rng.random() < 0.2 else words(9)
+    return [(d, f"{side()}\n{lines[0]}\n{side()}\n{lines[1]}\n{side()}") for d in range(n)]
+
+
+def test_runs_of_crowded_minimisers_are_cut(spark):
+    docs = lines_between_unlike_texts(1500)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    windows = lambda crowded: sum(sum(x["count"]) for x in r.prepared(df, crowded=crowded)[2].where("place is not null").collect())
+    assert windows(100) < windows(1 << 40) / 2
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in r.remove_repeats(df, crowded=100).collect())
+    assert got == brute(docs)
+
+
+def test_few_unlike_sections_meet():
+    texts = [t.encode() for _, t in lines_between_unlike_texts(1500)]
+    data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    owner, start, count, value, reach = r.anchored_runs(data, lengths)
+    at = (np.cumsum(lengths) - lengths)[owner] + start
+    whole, cut = {}, {}
+    for v, a, n in zip(value.tolist(), at.tolist(), count.tolist(), strict=True):
+        whole.setdefault(v, set()).add(data[a : a + n + 49].tobytes())
+    run, low, windows, core, size = (x.tolist() for x in r.sections(count, reach))
+    for a, w, n, c, m in zip(at[run].tolist(), low, windows, core, size, strict=True):
+        cut.setdefault(data[a + c : a + c + m].tobytes(), set()).add(data[a + w : a + w + n + 49].tobytes())
+    assert max(map(len, whole.values())) > 1000 and max(map(len, cut.values())) < 200
+
+
+def test_sections_depend_on_their_windows_alone():
+    texts = [t.encode() for _, t in lines_between_unlike_texts(200)]
+    data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    owner, start, count, _, reach = r.anchored_runs(data, lengths)
+    at = (np.cumsum(lengths) - lengths)[owner] + start
+    seen, total = {}, 0
+    for i, w, n, c, m in zip(*(x.tolist() for x in r.sections(count, reach)), strict=True):
+        same = data[at[i] + c : at[i] + c + m].tobytes()
+        total += n
+        for x in range(w, w + n):
+            window = data[at[i] + x : at[i] + x + 50].tobytes()
+            assert same in window and seen.setdefault(window, (same, c - x)) == (same, c - x)
+    assert total == int(count.sum()) > len(seen) > 1000
+
+
+def place_of(texts):
+    """Bytes, starts, windows and ids of the runs of all texts."""
+    data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    owner, start, count, _ = r.runs_of(data, lengths)
+    at = (np.cumsum(lengths) - lengths)[owner] + start
+    joined = np.frombuffer(b"".join(data[a : a + n + 49].tobytes() for a, n in zip(at.tolist(), count.tolist(), strict=True)), np.uint8)
+    return joined, np.cumsum(count + 49) - count - 49, count, owner.astype(np.int64)
+
+
+def test_batches_hold_equal_windows_together(monkeypatch):
+    monkeypatch.setattr(r, "SLICE", 3000)
+    data, begin, count, _ = place_of([t.encode() for _, t in lines_between_unlike_texts(150)])
+    windows, place, seen = 0, {}, set()
+    for k, (runs, joined, starts, n, low, high) in enumerate(r.batches(data, begin, count, most=400)):
+        taken = int((high - low).sum())
+        windows += taken
+        assert n.tolist() == count[runs].tolist() and taken <= 400
+        for i, s, a, b in zip(runs.tolist(), starts.tolist(), low.tolist(), high.tolist(), strict=True):
+            for x in range(a, b):
+                window = joined[s + x : s + x + 50].tobytes()
+                assert window == data[begin[i] + x : begin[i] + x + 50].tobytes() and place.setdefault(window, k) == k
+                seen.add((i, x))
+    assert windows == len(seen) == int(count.sum()) and k > 10
+
+
+def test_a_place_works_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    line = rng.integers(97, 105, 40).astype(np.uint8)
+    runs = rng.integers(97, 123, (60_000, 84)).astype(np.uint8)  # one minimiser: a line between unlike bytes
+    runs[:, 20:60] = line
+    least = r.mix64(r.gram_hashes(runs[0], 16)) & ~r.POSITION
+    reach = 20 + int(np.argmin(least[20:45]))
+    runs[:, : reach - 33] = 0
+    data, count = runs.ravel(), np.full(len(runs), 35)
+    begin, ids = np.arange(len(runs)) * 84, np.arange(len(runs))
+    sizes = []
+    tracemalloc.start()
+    try:
+        for _, *batch, low, high in r.batches(data, begin, count):
+            sizes.append(int((high - low).sum()))
+            r.candidate_windows(*batch, ids, low, high)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == int(count.sum()) and max(sizes) <= r.BATCH
+    assert peak < 90e6, peak
